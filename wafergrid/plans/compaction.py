@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wafergrid.functions.paths import stored_place
+from wafergrid.functions.paths import with_stored_place
 from wafergrid.operators.compaction import compact
 from wafergrid.sources.tables import table
 
@@ -19,16 +19,15 @@ def referenced_places(spark: SparkSession, root: str) -> DataFrame:
     scores = table(spark, root, "scores").select("run_id", F.array("heatmap_path").alias("paths"))
     masks = table(spark, root, "mask_scores").select("run_id", F.array("pred_mask_path", "sam2_mask_path").alias("paths"))
     paths = scores.unionByName(masks).select("run_id", F.explode("paths").alias("path")).where("path is not null")
-    place = stored_place(F.col("path"), F.col("output_root"), store=STORE)
-    return paths.join(roots, "run_id", "left").select(place.alias("place")).where("place is not null").distinct()
+    placed = with_stored_place(paths.join(roots, "run_id", "left"), "path", "output_root", "place", store=STORE)
+    return placed.select("place").where("place is not null").distinct()
 
 
 def tiny_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """One row per referenced place of 1 to 2**20 - 1 bytes; of several listings of a place the one with the smallest file_id."""
-    files = table(spark, root, "artifact_files").select(
-        stored_place(F.col("file_path"), F.lit(""), store=STORE).alias("place"), "file_id", "size_bytes", "payload", "modified_at"
-    )
-    files = files.where((F.col("size_bytes") > 0) & (F.col("size_bytes") < TINY) & F.col("place").isNotNull() & F.col("file_id").isNotNull())
+    files = table(spark, root, "artifact_files").select("file_path", "file_id", "size_bytes", "payload", "modified_at")
+    files = files.where((F.col("size_bytes") > 0) & (F.col("size_bytes") < TINY) & F.col("file_id").isNotNull())
+    files = with_stored_place(files, "file_path", None, "place", store=STORE)
     files = files.join(referenced_places(spark, root), "place", "left_semi")
     first = F.min(F.struct("file_id", "size_bytes", "payload", "modified_at")).alias("f")
     return files.groupBy("place").agg(first).select("f.file_id", "place", "f.size_bytes", "f.payload", "f.modified_at")
