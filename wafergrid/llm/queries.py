@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wafergrid.llm import text_queries, vector_queries
+from wafergrid.llm import overlap_queries, text_queries, vector_queries
 
-_MODULES = (vector_queries, text_queries)
+_MODULES = (vector_queries, overlap_queries, text_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
