@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wafergrid.session import written
 
 #: A range of at most so many distinct values is sorted instead of halved further.
-SORTED_ROWS = 10_000
+SORTED_ROWS = 512
 
 
 def rounded(value: Column, bits: int) -> Column:
