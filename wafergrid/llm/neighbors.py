@@ -45,8 +45,8 @@ class ListParams:
     replicas: int = 3
     boundary: float = 0.05
     probe_ratio: float = 0.35
-    min_probes: int = 8
-    max_probes: int = 32
+    min_probes: int = 12
+    max_probes: int = 48
     seed: int = 4880
 
 
@@ -78,8 +78,10 @@ def balanced_centroids(x: np.ndarray, lists: int, iterations: int, seed: int) ->
         return np.concatenate([(rows[i : i + 4096] @ cent.T).argmax(1) for i in range(0, len(rows), 4096)])
 
     def means(rows, at, old):
+        order = np.argsort(at, kind="stable")
+        some, starts = np.unique(at[order], return_index=True)
         total = np.zeros_like(old)
-        np.add.at(total, at, rows)
+        total[some] = np.add.reduceat(rows[order], starts, axis=0)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         return np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), old)
 
@@ -99,15 +101,9 @@ def balanced_centroids(x: np.ndarray, lists: int, iterations: int, seed: int) ->
             done.append(mid)
             held.append(len(rows))
             continue
-        two = np.stack([rows[(rows @ mid[0]).argmin()], mid[0]])
-        for _ in range(4):
-            two = means(rows, nearest(rows, two), two)
-        side = nearest(rows, two)
-        if 0 < side.sum() < len(rows):
-            open_ += [rows[side == 0], rows[side == 1]]
-        else:
-            done.append(mid)
-            held.append(len(rows))
+        axis = rows @ (rows[(rows @ mid[0]).argmin()] - mid[0])
+        order = np.argsort(axis, kind="stable")  # halves of the same size, towards the farthest row and away from it
+        open_ += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
     return np.concatenate(done).astype(np.float32), np.array(held) / len(x)
 
 
