@@ -7,7 +7,7 @@ import pkgutil
 
 
 def _modules():
-    for m in sorted(pkgutil.iter_modules(__path__), key=lambda m: m.name):
+    for m in sorted((m for m in pkgutil.iter_modules(__path__) if m.name[0] != "_"), key=lambda m: m.name):
         yield importlib.import_module(f"{__name__}.{m.name}")
 
 
