@@ -50,3 +50,17 @@ def p2_compacted_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_compacted_report": p2_compacted_report}
+
+
+def _oracle() -> dict[str, str]:
+    from wafergrid.plans.text_queries import place_sql
+
+    tiny = f"""WITH o AS (SELECT run_id, min(output_root) AS output_root FROM run_specs GROUP BY run_id),
+      p AS (SELECT run_id, heatmap_path AS p FROM scores UNION SELECT run_id, pred_mask_path FROM mask_scores UNION SELECT run_id, sam2_mask_path FROM mask_scores),
+      r AS (SELECT DISTINCT {place_sql('p', 'output_root')} AS place FROM p LEFT JOIN o USING (run_id)),
+      f AS (SELECT file_id, size_bytes, {place_sql('file_path', "''")} AS place FROM artifact_files WHERE size_bytes > 0 AND size_bytes < {TINY}),
+      t AS (SELECT place, min(file_id) AS file_id, arg_min(size_bytes, file_id) AS size_bytes FROM f WHERE place IN (SELECT place FROM r) GROUP BY place)"""
+    return {"p2_found": f"{tiny} SELECT file_id FROM t"}
+
+
+ORACLE = _oracle()
