@@ -156,11 +156,25 @@ def boxes_to_cells(boxes: DataFrame, image: str) -> DataFrame:
     return good.withColumn("y", F.explode(F.sequence(lo("y1"), hi("y2")))).withColumn("x", F.explode(F.sequence(lo("x1"), hi("x2")))).select(image, "x", "y").distinct()
 
 
-def grid_prompts(sizes: DataFrame, width: str, height: str, grid: int, most: int) -> DataFrame:
-    """``sizes`` once for each box of a regular grid, row by row, at most ``most`` that aren't empty; edges are rounded half to even."""
+def centre_scaled(x1: Column, x2: Column, scale: float, length: Column) -> tuple[Column, Column]:
+    """A span shrunk around its centre, moved back inside 0..length where it sticks out; rounded half to even."""
+    if scale == 1:
+        return x1, x2
+    size = F.greatest(F.lit(1), F.bround((x2 - x1) * F.lit(float(scale)))).cast("int")
+    start = F.greatest(F.lit(0), F.bround((x1 + x2) / F.lit(2.0) - size / F.lit(2.0)).cast("int"))
+    stop = F.least(start + size, length.cast("int"))
+    return F.greatest(F.lit(0), stop - size), stop
+
+
+def grid_prompts(sizes: DataFrame, width: str, height: str, grid: int, most: int, scale: float = 1.0) -> DataFrame:
+    """``sizes`` once for each box of a regular grid, row by row, at most ``most`` that aren't empty; edges are rounded half to even. Boxes may be shrunk around their centres by ``scale``."""
+    if grid < 1 or not 0 < scale <= 1:
+        raise ValueError("grid is positive, scale above 0 and at most 1")
     df = sizes.withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("__col", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     edge = lambda i, n: F.bround(i * F.col(n) / grid).cast("int")
     df = df.withColumn("x1", edge(F.col("__col"), width)).withColumn("x2", edge(F.col("__col") + 1, width)).withColumn("y1", edge(F.col("__row"), height)).withColumn("y2", edge(F.col("__row") + 1, height))
+    (a, b), (c, d) = centre_scaled(F.col("x1"), F.col("x2"), scale, F.col(width)), centre_scaled(F.col("y1"), F.col("y2"), scale, F.col(height))
+    df = df.withColumns({"x1": a, "x2": b, "y1": c, "y2": d}) if scale != 1 else df
     df = df.where("x2 > x1 and y2 > y1").withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     w = Window.partitionBy(*sizes.columns).orderBy("__row", "__col")
     df = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
@@ -205,6 +219,16 @@ def refine_in_boxes(cells: DataFrame, boxes: DataFrame, image: str, key: str, sc
     return inside.withColumn("__t", F.greatest(top * fraction, F.lit(0.0))).where(F.col(score) >= F.col("__t")).select(image, key, "x", "y", score)
 
 
+def project_to_source(patches: DataFrame, sizes: DataFrame, image: str, value: str, content: tuple[int, int], source: tuple[int, int]) -> DataFrame:
+    """(image, x, y, value): a patch grid brought to the size of the prepared content and then to that of the source, both linearly.
+
+    ``patches``: the valid ones (see ``valid_patches``) with x, y counted from the first valid row and column; ``sizes``: image, width, height of that grid.
+    """
+    first = resize_bilinear(patches, sizes, image, value, *content)
+    between = sizes.select(image, F.lit(content[0]).alias("width"), F.lit(content[1]).alias("height"))
+    return resize_bilinear(first, between, image, value, *source)
+
+
 def best_candidate(candidates: DataFrame, by: Sequence[str], index: str, *, model_score: str, heat: str, inside: str, area: str, image_area: str, most_area: float | None) -> DataFrame:
     """(by..., index, selection): the candidate mask of the highest selection, the first of equals; if every one is larger than ``most_area`` of the image, the best of all.
 
