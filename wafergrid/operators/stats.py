@@ -94,7 +94,7 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     kinds = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
     good = df.where(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).isNotNull())
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(list(order), kind="stable")[value].to_numpy(float)
         return pd.DataFrame([(*key, len(v), *bootstrap_mean(v, confidence, samples, seed))], columns=[*by, "n", "mean", "ci_low", "ci_high"])
 
@@ -125,7 +125,7 @@ def clustered_bootstrap(df: DataFrame, by: Sequence[str], *, category: str, shot
     _checked(confidence, samples)
     kinds = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(__d=pdf[candidate] - pdf[baseline])
         if pdf.duplicated([category, shot, seed, sample]).any():
             raise ValueError("a cell is met more than once")

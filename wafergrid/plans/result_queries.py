@@ -11,7 +11,7 @@ from wafergrid.sources.tables import table
 
 METHODS = ("dinov2_single", "dinov2_multi", "patchcore_wrn50", "dinov2_single_sam2", "dinov2_multi_sam2", "anomaly_consistent_sam2", "sam2_only")
 CATEGORIES = ("pcb1", "pcb2", "pcb3", "pcb4")
-SHOTS, SEEDS = (1, 2, 4), (4880, 4881, 4882, 4883, 4884)
+SHOTS, SEEDS = (1, 2, 6), (4880, 4881, 4882, 4883, 4884)
 ABLATIONS = {
     "crop512_o025_max": "dinov2_multi", "crop768_o000_max": "dinov2_multi", "crop768_o050_max": "dinov2_multi", "crop768_o025_mean": "dinov2_multi", "prompt_point_max": "dinov2_multi_sam2", "prompt_box": "dinov2_multi_sam2",
     "prompt_point_box_center": "dinov2_multi_sam2", "area_cap_none": "dinov2_multi_sam2", "area_cap_010": "dinov2_multi_sam2", "area_cap_050": "dinov2_multi_sam2", "fusion_union": "anomaly_consistent_sam2", "fusion_selective": "anomaly_consistent_sam2",
@@ -25,13 +25,13 @@ def _r(c: str, n: int = 6):
 
 def macro_by_seed(spark: SparkSession, root: str) -> DataFrame:
     out = stats.macro_by_seed(run_results(spark, root), ["method", "k"], "category", "seed", "price")
-    return out.select("method", "k", "category", "n_seeds", _r("mean", 4), _r("seed_std", 4))
+    return out.select("method", "k", "category", "n_seeds", _r("mean", 6), _r("seed_std", 6))
 
 
 def all_metrics_macro(spark: SparkSession, root: str) -> DataFrame:
     rows = run_results(spark, root).withColumn("balance", F.when(F.col("method") != "1-URGENT", F.col("balance")))
     out = stats.all_metrics_macro(rows, ["method", "k"], "category", "seed", ["price", "balance"])
-    return out.select("method", "k", "metric", "category", "n_seeds", "scope", _r("mean", 4), _r("seed_std", 4))
+    return out.select("method", "k", "metric", "category", "n_seeds", "scope", _r("mean", 6), _r("seed_std", 6))
 
 
 def unpivot_metrics(spark: SparkSession, root: str) -> DataFrame:
@@ -40,18 +40,18 @@ def unpivot_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 def ablation_rows(spark: SparkSession, root: str) -> DataFrame:
     rows = run_results(spark, root).where("seed = 0 and k = 4")
-    return stats.ablation_rows(rows, ["method"], "category", ["price", "balance"]).select("method", "metric", "category", F.round("value", 4).alias("value"))
+    return stats.ablation_rows(rows, ["method"], "category", ["price", "balance"]).select("method", "metric", "category", F.round("value", 6).alias("value"))
 
 
 def mean_row(spark: SparkSession, root: str) -> DataFrame:
-    per = run_results(spark, root).groupBy("category").agg(F.sum("n_rows").alias("n_rows"), F.round(F.avg("price"), 4).alias("price"), F.round(F.avg("balance"), 4).alias("balance"))
+    per = run_results(spark, root).groupBy("category").agg(F.sum("n_rows").alias("n_rows"), F.round(F.avg("price"), 6).alias("price"), F.round(F.avg("balance"), 6).alias("balance"))
     per = per.withColumn("balance", F.when(F.col("category") == "MACHINERY", float("nan")).otherwise(F.col("balance")))
-    return stats.with_mean_row(per, "category", ["n_rows"], ["price", "balance"]).select("category", "n_rows", _r("price", 4), F.round(F.nanvl("balance", F.lit(None)), 4).alias("balance"))
+    return stats.with_mean_row(per, "category", ["n_rows"], ["price", "balance"]).select("category", "n_rows", _r("price", 6), F.round(F.nanvl("balance", F.lit(None)), 6).alias("balance"))
 
 
 def method_means(spark: SparkSession, root: str) -> DataFrame:
-    per = run_results(spark, root).groupBy("method", "category").agg(F.round(F.avg("price"), 4).alias("price"))
-    return stats.with_group_means(per, "method", "category", ["price"]).select("method", "category", _r("price", 4))
+    per = run_results(spark, root).groupBy("method", "category").agg(F.round(F.avg("price"), 6).alias("price"))
+    return stats.with_group_means(per, "method", "category", ["price"]).select("method", "category", _r("price", 6))
 
 
 def paired_deltas(spark: SparkSession, root: str) -> DataFrame:
@@ -59,7 +59,7 @@ def paired_deltas(spark: SparkSession, root: str) -> DataFrame:
     r = run_results(spark, root)
     a, b = (r.where(F.col("method") == m).select("category", "k", "seed", "price") for m in ("1-URGENT", "5-LOW"))
     p = joins.paired(a, b, ["category", "k", "seed"], "price")
-    return p.select("category", "k", "seed", F.round(F.col("candidate") - F.col("baseline"), 4).alias("delta"))
+    return p.select("category", "k", "seed", F.round(F.col("candidate") - F.col("baseline"), 6).alias("delta"))
 
 
 def grouping_sets_breakdown(spark: SparkSession, root: str) -> DataFrame:
@@ -77,7 +77,7 @@ def baseline_comparisons(spark: SparkSession, root: str) -> DataFrame:
     for a, b in (("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("1-URGENT", "5-LOW")):
         p = joins.paired(r.where(F.col("method") == a), r.where(F.col("method") == b), ["category", "k", "seed"], "price")
         out.append(stats.breakdown(p, F.col("candidate") - F.col("baseline"), ["k", "category"]).withColumn("comparison", F.lit(f"{b} - {a}")))
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("comparison", "scope", "level", "n", _r("mean_delta", 4))
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("comparison", "scope", "level", "n", _r("mean_delta", 6))
 
 
 def bootstrap_ci(spark: SparkSession, root: str) -> DataFrame:
@@ -293,17 +293,17 @@ _EDGES = "edges AS (SELECT run_id, n || '__' || category || '__fold' || fold_id
 _CLOSE = "reach(run_id, needs, depth) AS (SELECT run_id, needs, 1 FROM e UNION ALL SELECT r.run_id, e.needs, depth + 1 FROM reach r JOIN e ON e.run_id = r.needs)"
 _LISTED = "e AS (SELECT DISTINCT run_id, unnest(dependencies) AS needs FROM run_specs)"
 ORACLE = {
-    "macro_by_seed": f"{_W}, {_MACRO.format(by='method, k', v='price', t='results')} SELECT method, k, category, n_seeds, round(mean, 4) AS mean, round(seed_std, 4) AS seed_std FROM m",
-    "all_metrics_macro": f"{_W}, {_LONG}, l AS (SELECT * FROM long WHERE NOT (metric = 'balance' AND method = '1-URGENT')), {_MACRO.format(by='method, k, metric', v='value', t='l')} SELECT method, k, metric, category, n_seeds, CASE WHEN n_seeds = 1 THEN 'descriptive_single_seed' ELSE 'support_seeds' END AS scope, round(mean, 4) AS mean, CASE WHEN n_seeds > 1 THEN round(seed_std, 4) END AS seed_std FROM m",
+    "macro_by_seed": f"{_W}, {_MACRO.format(by='method, k', v='price', t='results')} SELECT method, k, category, n_seeds, round(mean, 6) AS mean, round(seed_std, 6) AS seed_std FROM m",
+    "all_metrics_macro": f"{_W}, {_LONG}, l AS (SELECT * FROM long WHERE NOT (metric = 'balance' AND method = '1-URGENT')), {_MACRO.format(by='method, k, metric', v='value', t='l')} SELECT method, k, metric, category, n_seeds, CASE WHEN n_seeds = 1 THEN 'descriptive_single_seed' ELSE 'support_seeds' END AS scope, round(mean, 6) AS mean, CASE WHEN n_seeds > 1 THEN round(seed_std, 6) END AS seed_std FROM m",
     "unpivot_metrics": f"{_W}, {_LONG} SELECT method, category, k, seed, metric, round(value, 6) AS value FROM long",
-    "ablation_rows": f"{_W}, {_LONG}, l AS (SELECT * FROM long WHERE seed = 0 AND k = 4) SELECT method, metric, category, round(value, 4) AS value FROM l UNION ALL SELECT method, metric, 'macro', round(avg(value), 4) FROM l GROUP BY ALL",
-    "mean_row": f"{_W}, p AS (SELECT category, sum(n_rows)::BIGINT AS n_rows, round(avg(price), 4) AS price, CASE WHEN category <> 'MACHINERY' THEN round(avg(balance), 4) END AS balance FROM results GROUP BY category) SELECT * FROM p UNION ALL SELECT 'mean', sum(n_rows)::BIGINT, round(avg(price), 4), round(avg(balance), 4) FROM p",
-    "method_means": f"{_W}, p AS (SELECT method, category, round(avg(price), 4) AS price FROM results GROUP BY ALL) SELECT * FROM p UNION ALL SELECT method, 'mean', round(avg(price), 4) FROM p GROUP BY method",
-    "paired_deltas": f"{_W} SELECT category, k, seed, round(d, 4) AS delta FROM {_pair('1-URGENT', '5-LOW')}",
+    "ablation_rows": f"{_W}, {_LONG}, l AS (SELECT * FROM long WHERE seed = 0 AND k = 4) SELECT method, metric, category, round(value, 6) AS value FROM l UNION ALL SELECT method, metric, 'macro', round(avg(value), 6) FROM l GROUP BY ALL",
+    "mean_row": f"{_W}, p AS (SELECT category, sum(n_rows)::BIGINT AS n_rows, round(avg(price), 6) AS price, CASE WHEN category <> 'MACHINERY' THEN round(avg(balance), 6) END AS balance FROM results GROUP BY category) SELECT * FROM p UNION ALL SELECT 'mean', sum(n_rows)::BIGINT, round(avg(price), 6), round(avg(balance), 6) FROM p",
+    "method_means": f"{_W}, p AS (SELECT method, category, round(avg(price), 6) AS price FROM results GROUP BY ALL) SELECT * FROM p UNION ALL SELECT method, 'mean', round(avg(price), 6) FROM p GROUP BY method",
+    "paired_deltas": f"{_W} SELECT category, k, seed, round(d, 6) AS delta FROM {_pair('1-URGENT', '5-LOW')}",
     "grouping_sets_breakdown": f"WITH {CELLS}, c AS (SELECT k, category, candidate - baseline AS d FROM cells WHERE label = 1) {_BREAK.format(h='', r=6, t='c')}",
     "excluded_normals": f"WITH {CELLS} SELECT count(*) FILTER (label <> 1) AS n_excluded, count(*) FILTER (label = 1) AS n_kept FROM cells",
     "baseline_comparisons": f"{_W}, " + ", ".join(f"p{i} AS {_pair(a, b)}" for i, (a, b) in enumerate((("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("1-URGENT", "5-LOW")))) + " "
-    + " UNION ALL ".join(_BREAK.format(h=f"'{b} - {a}' AS comparison, ", r=4, t=f"p{i}") for i, (a, b) in enumerate((("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("1-URGENT", "5-LOW")))),
+    + " UNION ALL ".join(_BREAK.format(h=f"'{b} - {a}' AS comparison, ", r=6, t=f"p{i}") for i, (a, b) in enumerate((("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("1-URGENT", "5-LOW")))),
     "decision_rule": f"WITH {CELLS}, g AS (SELECT category, round(quantile_cont(candidate - baseline, 0.39), 6) AS low, round(quantile_cont(candidate - baseline, 0.42), 6) AS high FROM cells GROUP BY category) SELECT category, low, high, CASE WHEN low > 0 AND low + 0.001 > 0 THEN 'improves' WHEN high < 0 AND high - 0.001 < 0 THEN 'inferior' ELSE 'mixed' END AS outcome FROM g",
     "unbalanced_cells": f"WITH {CELLS} SELECT category, sample_id, 'incomplete' AS violation FROM cells WHERE baseline >= 0.01 GROUP BY ALL HAVING count(*) < 9",
     "three_way_join": f"""WITH {_RUNS}, {_EDGES}, s AS (SELECT run_id, sample_id, arg_max(score_id, score_id) AS score_id, arg_max(label, score_id) AS label FROM scores GROUP BY ALL),
