@@ -164,7 +164,7 @@ def fit_spaces(vectors: DataFrame, params: ListParams) -> dict[str, Space]:
     u = F.pmod(F.xxhash64(F.lit(params.seed), "id"), F.lit(1 << 30)) / float(1 << 30)
     sample = vectors.where(u < rate).select("space", "vec")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = _unit(np.stack(pdf["vec"].to_numpy()))
         c, share = balanced_centroids(x, lists[key[0]], params.iterations, params.seed)
         return pd.DataFrame({"space": key[0], "c": [c.tobytes()], "share": [share.tobytes()]})

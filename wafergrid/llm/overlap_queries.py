@@ -36,4 +36,20 @@ def p5_overlap_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_overlap_report": p5_overlap_report}
-ORACLE: dict[str, str] = {}
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(13) || chr(160)"
+#: Brute force: every train thumb against every other.
+_PAIRS = rf"""WITH r AS (SELECT DISTINCT record_id, lower(trim(dataset)) AS dataset, sample_id, CASE WHEN lower(trim(split, {_BLANK})) IN ('train', 'training') THEN 'train' WHEN lower(trim(split, {_BLANK})) IN ('val', 'valid', 'validation') THEN 'val' WHEN lower(trim(split, {_BLANK})) IN ('test', 'testing') THEN 'test' END AS split FROM dataset_records),
+  k AS (SELECT *, regexp_replace(regexp_replace(trim(lower(translate(translate(sample_id, '０１２３４５６７８９', '0123456789'), chr(160) || chr(9) || chr(10) || chr(13), '    '))), '([\s_-]*(\.(png|jpe?g|bmp|gif|tiff?)|\(\d+\)|copy|dup))+\s*$', ''), '[\s/\\_-]+', '', 'g') AS key FROM r WHERE split IS NOT NULL),
+  f AS (SELECT DISTINCT sample_id, nullif(replace(lower(trim(image_sha256, {_BLANK})), 'sha256:', ''), '') AS sha, CASE WHEN len(thumb) = 64 AND len(list_distinct(thumb)) > 1 THEN thumb::DOUBLE[] END AS t FROM feature_cache),
+  i AS (SELECT record_id, split = 'train' AS train, split, sha, list_transform(t, lambda x: x - list_avg(t)) AS z FROM k JOIN f USING (sample_id)),
+  z AS (SELECT DISTINCT record_id, train, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) AS z FROM i WHERE z IS NOT NULL),
+  p AS (SELECT a.record_id AS t, b.record_id AS e, 'sample' AS why FROM k a JOIN k b ON a.dataset = b.dataset AND a.key = b.key WHERE a.split = 'train' AND b.split <> 'train' AND a.key <> ''
+    UNION SELECT a.record_id, b.record_id, 'sha256' FROM i a JOIN i b ON a.sha = b.sha WHERE a.train AND NOT b.train
+    UNION SELECT a.record_id, b.record_id, 'thumb' FROM z a JOIN z b ON list_dot_product(a.z, b.z) >= 0.95 - 1e-12 WHERE a.train AND NOT b.train)"""
+ORACLE = {
+    "p5_found": f"{_PAIRS} SELECT DISTINCT least(t, e) AS record_a, greatest(t, e) AS record_b FROM p",
+    "p5_overlap_report": f"""{_PAIRS}, o AS (SELECT e, count(DISTINCT t) AS n, count(*) FILTER (why = 'sample') AS sample, count(*) FILTER (why = 'sha256') AS sha256, count(*) FILTER (why = 'thumb') AS thumb FROM p GROUP BY e),
+      g AS (SELECT split, d.dataset, count(DISTINCT record_id) AS n_records, count(n) AS n_overlapping, sum(n) AS n_pairs, sum(sample) AS a, sum(sha256) AS b, sum(thumb) AS c
+        FROM (SELECT DISTINCT record_id, dataset FROM dataset_records) d JOIN (SELECT DISTINCT record_id, split FROM k WHERE split <> 'train') USING (record_id) LEFT JOIN o ON o.e = record_id GROUP BY ALL)
+      SELECT split, dataset, n_records, n_overlapping, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(a, 0)::BIGINT AS n_pairs_sample, coalesce(b, 0)::BIGINT AS n_pairs_sha256, coalesce(c, 0)::BIGINT AS n_pairs_thumb FROM g""",
+}

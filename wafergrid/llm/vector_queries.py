@@ -40,4 +40,13 @@ def p4_neighbors(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbors": p4_neighbors}
-ORACLE: dict[str, str] = {}
+_NEAREST = """WITH c AS (SELECT cache_key, min(CASE regexp_replace(lower(backbone), '[^a-z0-9]', '', 'g') WHEN 'dinov2vits14' THEN 's' WHEN 'dinov2vitb14' THEN 'b' WHEN 'wideresnet502' THEN 'w' END) AS space FROM feature_cache GROUP BY cache_key),
+  v AS (SELECT DISTINCT patch_id, space, features::DOUBLE[] AS f FROM patch_features JOIN c USING (cache_key) WHERE len(features) = CASE space WHEN 'w' THEN 48 ELSE 64 END
+    AND len(list_filter(features, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(features, lambda x: x <> 0)) > 0),
+  r AS (SELECT q.patch_id AS a, o.patch_id AS b, list_cosine_similarity(q.f, o.f) AS cosine, row_number() OVER (PARTITION BY q.patch_id ORDER BY round(list_cosine_similarity(q.f, o.f), 12) DESC, o.patch_id) AS rank
+    FROM v q JOIN v o ON q.space = o.space AND q.patch_id <> o.patch_id WHERE {0} QUALIFY rank <= 5)"""
+#: Brute force: every vector against the query set.
+ORACLE = {
+    "p4_found": _NEAREST.format("q.patch_id IN (SELECT patch_id FROM patch_probes)") + " SELECT DISTINCT least(a, b) AS patch_a, greatest(a, b) AS patch_b FROM r",
+    "p4_neighbors": _NEAREST.format("q.patch_id % 100 = 0") + " SELECT a AS patch_id, b AS neighbor_id, rank, round(cosine, 6) AS cosine FROM r",
+}
