@@ -119,3 +119,17 @@ def test_running_totals(spark, n):
     df = rows(spark, [("a" if i % 3 else "b", i, i % 7) for i in range(n)], "g string, o int, v int")
     got = {(r.g, r.o): r.v_upto for r in running_totals(df, ["g"], "o", ["v"]).collect()}
     assert got == {("a" if i % 3 else "b", i): sum(j % 7 for j in range(i + 1) if bool(j % 3) == bool(i % 3)) for i in range(n)}
+
+
+def test_null_groups_stay(spark):
+    df = rows(spark, [(None, 0, 0.1), (None, 1, 0.9), ("a", 1, 0.5), ("a", 0, 0.6)], "g string, y int, s double")
+    assert {r.g: r.auc for r in metrics.roc_auc(df, ["g"], "y", "s").collect()} == {None: 1.0, "a": 0.0}
+    assert {r.g: r.f1 for r in metrics.best_f1(df, ["g"], "y", "s").collect()} == {None: 1.0, "a": pytest.approx(2 / 3)}
+    assert {r.g: r.q0 for r in metrics.exact_quantiles(df, ["g"], "s", [0.5]).collect()} == {None: 0.5, "a": 0.55}
+
+
+@pytest.mark.parametrize("q", [0.0, 1 / 3, 0.5, 0.995, 1.0])
+def test_exact_quantiles_equal_numpy(spark, q):
+    v = np.random.default_rng(9).integers(0, 60, 400) / 7
+    got = metrics.exact_quantiles(rows(spark, [(float(x),) for x in v], "v double"), [], "v", [q]).first()
+    assert got.n == 400 and got.q0 == pytest.approx(np.quantile(v, q))

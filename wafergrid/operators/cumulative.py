@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 PIECES = 64
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL; the left's keys stay."""
+    renamed = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(renamed[f"__j{i}"]) for i, k in enumerate(keys)]
+    return left.join(renamed, on).drop(*[f"__j{i}" for i in range(len(keys))])
+
+
 def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], *, descending: bool = False, suffix: str = "_upto") -> DataFrame:
     """``df`` with the running total of each of ``values`` within ``by``, in the order of ``order`` and with its own row.
 
@@ -29,7 +36,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequenc
     step = F.col("__piece").desc() if descending else F.col("__piece").asc()
     before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)  # at most PIECES rows a group
     totals = totals.select(*by, "__piece", *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
-    out = df.join(totals, [*by, "__piece"])
+    out = join_groups(df, totals, [*by, "__piece"])
     return out.select(*[c for c in df.columns if c != "__piece" and c not in [v + suffix for v in values]], *[(F.col(v + suffix) + F.col(f"__{v}")).alias(v + suffix) for v in values])
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wafergrid.session import shuffle_width
+
 
 def minmax(df: DataFrame, by: Sequence[str], value: str, out: str = "normalized") -> DataFrame:
     """``df`` with ``value`` scaled to 0..1 within ``by``; groups without contrast give 0."""
@@ -94,15 +96,16 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame, image: str) -> DataFrame:
 def components(cells: DataFrame, image: str) -> DataFrame:
     """(image, x, y, component): cells that touch at an edge share a component, named by its first cell as ``y * 2**20 + x``.
 
-    One image is one group: its cells are labelled by runs of a row that are joined with those of the row above.
+    An image is labelled in one task, many small ones together; NULL images and coordinates have none, repeated cells
+    count once. Coordinates lie below ``2**20``.
     """
     kind = cells.schema[image].dataType.simpleString()
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["x", "y"]).sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-        x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
-        key = y * (1 << 20) + x
-        parent = np.arange(len(key))
+        pdf = pdf.drop_duplicates([image, "x", "y"])
+        place = pdf["y"].to_numpy(np.int64) << 20 | pdf["x"].to_numpy(np.int64)
+        order = np.argsort(key := pd.factorize(pdf[image])[0].astype(np.int64) << 40 | place)
+        key, place, parent = key[order], place[order], list(range(len(order)))
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -110,17 +113,21 @@ def components(cells: DataFrame, image: str) -> DataFrame:
                 i = parent[i]
             return i
 
-        for shift in (1, 1 << 20):
+        for shift in (1, 1 << 20):  # the cell to the right, and the one below
             at = np.searchsorted(key, key + shift)
             hit = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + shift)
             for a, b in zip(np.flatnonzero(hit).tolist(), at[hit].tolist()):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        pdf["component"] = key[[root(i) for i in range(len(key))]]
-        return pdf[[image, "x", "y", "component"]]
-
-    return cells.select(image, "x", "y").groupBy(image).applyInPandas(label, f"{image} {kind}, x int, y int, component long")
+        out = pdf[[image, "x", "y"]].iloc[order].reset_index(drop=True)
+        out["component"] = place[[root(i) for i in range(len(key))]]
+        return out
+
+    good = cells.select(image, "x", "y").where(F.col(image).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    bucket = F.pmod(F.xxhash64(image), F.lit(8 * shuffle_width(cells.sparkSession)))
+    labelled = good.withColumn("__bucket", bucket).groupBy("__bucket").applyInPandas(lambda pdf: label(pdf), f"{image} {kind}, x int, y int, component long")
+    return labelled
 
 
 def regions(labelled: DataFrame, cells: DataFrame, image: str, score: str) -> DataFrame:

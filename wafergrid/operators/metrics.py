@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wafergrid.operators.cumulative import running_totals
+from wafergrid.operators.cumulative import join_groups, running_totals
+from wafergrid.session import written
 
 
 def finite(c: Column) -> Column:
@@ -46,8 +47,7 @@ def threshold_candidates(df: DataFrame, by: Sequence[str], score: str, most: int
     span = distinct.groupBy(*by).agg(F.count("*").alias("n"), F.max("threshold").alias("hi"), F.min("threshold").alias("lo"))
     i = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
     spaced = span.where(F.col("n") > most).withColumn("i", i).select(*by, (F.col("hi") + F.col("i") * (F.col("lo") - F.col("hi")) / F.lit(float(max(1, most - 1)))).alias("threshold"))
-    few = span.where(F.col("n") <= most).select(*[F.col(b).alias(f"__{b}") for b in by], F.lit(True).alias("__few"))
-    kept = distinct.join(few, [distinct[b].eqNullSafe(few[f"__{b}"]) for b in by])
+    kept = join_groups(distinct, span.where(F.col("n") <= most).select(*by, F.lit(True).alias("__few")), by)
     return kept.select(*by, "threshold").unionByName(spaced)
 
 
@@ -73,7 +73,7 @@ def best_f1(df: DataFrame, by: Sequence[str], label: str, score: str, most: int
     counts = score_counts(df, by, label, score)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
     at = counts_at_thresholds(counts, threshold_candidates(counts, by, "score", most), by, ["pos", "neg"])
-    at = at.join(totals, list(by))
+    at = join_groups(at, totals, by)
     tp, fp, fn = F.col("pos"), F.col("neg"), F.col("all_pos") - F.col("pos")
     f1 = F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
     iou = F.when(tp > 0, tp / (tp + fp + fn)).otherwise(0.0)
@@ -81,11 +81,33 @@ def best_f1(df: DataFrame, by: Sequence[str], label: str, score: str, most: int
     return at.withColumn("f1", f1).withColumn("iou", iou).groupBy(*by).agg(best.alias("b"), F.count("*").alias("n_thresholds")).select(*by, "b.threshold", "b.f1", "b.iou", "n_thresholds")
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """(by..., n, q0, q1, ...): exact quantiles with linear interpolation, of the finite values.
+
+    Values are counted before they move, and their order is cut into ranges: no task holds all values of a group.
+    """
+    v = F.col(value).cast("double")
+    counts = df.where(finite(F.col(value))).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
+    if not by:
+        return exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, quantiles).drop("__all")
+    upto = running_totals(counts, by, "__v", ["__n"])
+    totals = counts.groupBy(*by).agg(F.sum("__n").alias("n"))
+    upto = join_groups(upto, totals, by)
+    aggs = []
+    for i, q in enumerate(quantiles):
+        at = (F.col("n") - 1) * F.lit(float(q))
+        for part, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.min(F.when(F.col("__n_upto") > rank, F.col("__v"))).alias(f"__{part}{i}"))
+    found = upto.groupBy(*by).agg(F.first("n").alias("n"), *aggs)
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in quantiles]
+    return found.select(*by, "n", *[(F.col(f"__lo{i}") + (a - F.floor(a)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(f"q{i}") for i, a in enumerate(at)])
+
+
 def normal_threshold(df: DataFrame, by: Sequence[str], score: str, quantile: float = 0.995) -> DataFrame:
     """(by..., threshold, n_scores): the exact quantile with linear interpolation, of the finite scores given (those of normal validation rows)."""
     if not 0 < quantile < 1:
         raise ValueError("quantile lies between 0 and 1")
-    return df.where(finite(F.col(score))).groupBy(*by).agg(F.percentile(F.col(score).cast("double"), F.lit(quantile)).alias("threshold"), F.count("*").alias("n_scores"))
+    return exact_quantiles(df, by, score, [quantile]).select(*by, F.col("q0").alias("threshold"), F.col("n").alias("n_scores"))
 
 
 def not_calibratable(df: DataFrame, label: str, split: str) -> DataFrame:
@@ -131,7 +153,7 @@ def region_overlap_score(pixels: DataFrame, regions: DataFrame, image: str, scor
     """
     if not 0 < max_fpr <= 1:
         raise ValueError("max_fpr lies above 0 and at most at 1")
-    good = pixels.where(finite(F.col(score)))
+    good, regions = pixels.where(finite(F.col(score))), written(regions.select(image, "x", "y", "region"), "regions")
     sizes = regions.groupBy(image, "region").agg(F.count("*").alias("size"))
     share = regions.join(sizes, [image, "region"]).select(image, "x", "y", (1 / F.col("size")).alias("share"))
     joined = good.join(share, [image, "x", "y"], "left")

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wafergrid.operators.cumulative import join_groups, running_totals
+from wafergrid.operators.metrics import exact_quantiles
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -14,6 +18,23 @@ def seeded(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def seeded_places(df: DataFrame, by: Sequence[str], key: str, seed: int, place: str = "place") -> DataFrame:
+    """``df`` with the place of each row in seeded order within ``by``, from 1, and the size of its group as ``<place>_of``.
+
+    Hashes are cut into 256 ranges by their first digits; a group is numbered range by range, so a hot one isn't
+    sorted in one task. NULL is a group like any other.
+    """
+    h = seeded(seed, F.col(key))
+    df = df.withColumn("__h", h).withColumn("__range", F.substring(h, 1, 2))
+    within = F.row_number().over(Window.partitionBy(*by, "__range").orderBy("__h", key))
+    sizes = df.groupBy(*by, "__range").agg(F.count("*").alias("__m"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__m").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of at most 256 rows
+    sizes = sizes.select(*by, "__range", before.alias("__before"), F.sum("__m").over(group).alias(f"{place}_of"))
+    out = join_groups(df.withColumn("__within", within), sizes, [*by, "__range"])
+    return out.withColumn(place, (F.col("__within") + F.col("__before")).cast("int")).drop("__h", "__range", "__within", "__before")
+
+
 def first_k(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int) -> DataFrame:
     """The first ``k`` rows of each group in seeded order, with their ``place``: fewer if the group has fewer, and the first of any larger ``k``."""
     w = Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key)
@@ -27,12 +48,10 @@ def too_small(df: DataFrame, by: Sequence[str], k: int) -> DataFrame:
 
 def train_validation(df: DataFrame, by: Sequence[str], key: str, split: str, ratio: float, seed: int) -> DataFrame:
     """``df`` with a part of each group's train rows turned to 'val': the rounded fraction, at least 1, and not the last one; other rows stay."""
-    w = Window.partitionBy(*by, split)
-    n = F.count("*").over(w)
-    want = F.least(F.greatest(F.lit(1), F.bround(n * F.lit(ratio))), n - 1)
-    place = F.row_number().over(w.orderBy(seeded(seed, F.col(key)), key))
-    moved = (F.col(split) == "train") & (F.lit(ratio) > 0) & (F.col("__place") <= F.col("__want"))
-    return df.withColumn("__want", want).withColumn("__place", place).withColumn(split, F.when(moved, "val").otherwise(F.col(split))).drop("__want", "__place")
+    placed = seeded_places(df, [*by, split], key, seed, "__place")
+    want = F.least(F.greatest(F.lit(1), F.bround(F.col("__place_of") * F.lit(ratio))), F.col("__place_of") - 1)
+    moved = (F.col(split) == "train") & (F.lit(ratio) > 0) & (F.col("__place") <= want)
+    return placed.withColumn(split, F.when(moved, "val").otherwise(F.col(split))).drop("__place", "__place_of")
 
 
 def k_folds(df: DataFrame, by: Sequence[str], key: str, split: str, folds: int, seed: int) -> DataFrame:
@@ -40,8 +59,8 @@ def k_folds(df: DataFrame, by: Sequence[str], key: str, split: str, folds: int,
     if folds < 2:
         raise ValueError("folds must be at least 2")
     train = F.coalesce(F.col(split) == "train", F.lit(False))
-    own = (F.row_number().over(Window.partitionBy(*by, train).orderBy(seeded(seed, F.col(key)), key)) - 1) % folds
-    out = df.withColumn("__own", own).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    placed = seeded_places(df.withColumn("__train", train), [*by, "__train"], key, seed, "__place")
+    out = placed.withColumn("__own", (F.col("__place") - 1) % folds).drop("__place", "__place_of", "__train").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     return out.withColumn("fold_split", F.when(~train, "test").when(F.col("__own") == F.col("fold"), "val").otherwise("dev")).drop("__own")
 
 
@@ -55,10 +74,21 @@ def tail_validation(df: DataFrame, key: str, split: str, n_val: int) -> DataFram
 
 
 def interleaved(df: DataFrame, by: Sequence[str], label: str, key: str) -> DataFrame:
-    """Rows of label 1 and 0 with their ``place`` when they take turns, 1 first; rows of another label are left out."""
-    good = df.where(F.col(label).isin(0, 1))
-    turn = F.row_number().over(Window.partitionBy(*by, label).orderBy(key))
-    return good.withColumn("__turn", turn).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__turn", F.desc(label)))).drop("__turn")
+    """Rows of label 1 and 0 with their ``place`` when they take turns in the order of ``key``, 1 first; rows of another label are left out.
+
+    ``key`` is unique within a group and label. The place follows from a row's turn and the number of rows of the other
+    label. Turns of numeric keys are counted in ranges of the key; those of text by one sort a group and label.
+    """
+    good = df.where(F.col(label).isin(0, 1)).withColumn("__one", F.lit(1))
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        turns = running_totals(good, [*by, label], key, ["__one"], suffix="_turn")
+    else:
+        turns = good.withColumn("__one_turn", F.row_number().over(Window.partitionBy(*by, label).orderBy(key)))
+    other = good.groupBy(*by).agg(F.count_if(F.col(label) == 0).alias("__n0"), F.count_if(F.col(label) == 1).alias("__n1"))
+    j = join_groups(turns, other, by)
+    t = F.col("__one_turn")
+    place = F.when(F.col(label) == 1, t + F.least(t - 1, F.col("__n0"))).otherwise(t + F.least(t, F.col("__n1")))
+    return j.select(*[c for c in df.columns], place.cast("int").alias("place"))
 
 
 def multilabel_folds(df: DataFrame, key: str, labels: str, folds: int, seed: int) -> DataFrame:
@@ -98,7 +128,8 @@ def extremes(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str],
 
 def tertiles(df: DataFrame, value: str, eligible: Column, out: str) -> DataFrame:
     """``df`` with a stratum: 'small', 'medium', 'large' at the exact thirds of the eligible rows, edges belonging to the lower one; 'single' for all if there are fewer than 3 or the edges are equal; 'normal' for other rows."""
-    low, high, n = df.where(eligible).agg(F.percentile(value, F.lit(1 / 3)), F.percentile(value, F.lit(2 / 3)), F.count(value)).first()
+    edges = exact_quantiles(df.where(eligible), [], value, [1 / 3, 2 / 3]).first()
+    n, low, high = edges or (0, None, None)
     if n < 3 or low == high:
         return df.withColumn(out, F.when(eligible, "single").otherwise("normal"))
     return df.withColumn(out, F.when(~F.coalesce(eligible, F.lit(False)), "normal").when(F.col(value) <= low, "small").when(F.col(value) <= high, "medium").otherwise("large"))
