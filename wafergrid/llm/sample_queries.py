@@ -65,6 +65,9 @@ def _support_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     for batch in batches:
         arrived = seeded.where(F.col("batch_no") == batch)
         ledger = extend_ledger(ledger, arrived, quotas, ("category", "seed"), "sample_key", step=batch, largest_quota=largest)
+        held = ledger.groupBy("category", "seed").agg(F.count("*").alias("held"))
+        if not quotas.join(held, ["category", "seed"], "left").where("quota > coalesce(held, 0)").limit(1).count():
+            break  # every quota is filled: later deliveries can't change the ledger
     if ledger is None:
         ledger = spark.createDataFrame([], "category string, seed int, sample_key string, step int, place long, priority string")
     return ledger, runs
