@@ -114,6 +114,7 @@ def test_folder_scans(spark, tmp_path):
 
 
 def test_bad_annotation_fails_with_its_line(spark, tmp_path):
+    assert files.read_boxes(spark, str(tmp_path / "none.txt")).collect() == []
     (tmp_path / "x.txt").write_text("1,2,3\n")
     with pytest.raises(Exception, match="line 1"):
         files.read_boxes(spark, str(tmp_path / "x.txt")).collect()
@@ -164,3 +165,15 @@ def test_stream_scores_and_windows(spark, tmp_path):
     times = spark.createDataFrame([("2024-01-01 00:01:00", 1.0), ("2024-01-01 00:02:00", 3.0), ("2024-01-01 00:11:00", 5.0)], "t string, s double").select(F.to_timestamp("t").alias("t"), "s")
     got = [(r.n, r["mean"]) for r in scoring.window_summary(times, "t", "s").orderBy("start").collect()]
     assert got == [(2, 2.0), (1, 5.0)]
+
+
+def test_written_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from wafergrid import session
+
+    df = session.written(spark.range(3), "kept")
+    path = Path(session._WRITTEN[-1].removeprefix("file://"))
+    assert df.count() == 3 and path.exists()
+    session.drop_written()
+    assert not path.exists()

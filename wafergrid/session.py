@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,9 +51,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: the lineage is cut, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def drop_written() -> None:
+    """Remove the tables that this process wrote with ``written``: at its end, or earlier where no result of a query is used any more."""
+    import pyarrow.fs as pafs
+
+    while _WRITTEN:
+        try:
+            fs, path = pafs.FileSystem.from_uri(_WRITTEN.pop())
+            fs.delete_dir(path)
+        except Exception:  # gone already, or a store that can't be reached: nothing depends on it
+            continue
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

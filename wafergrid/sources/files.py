@@ -45,7 +45,9 @@ def read_checked_csv(spark: SparkSession, path: str, required: Sequence[str]) ->
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, line_no, x1, ..., class_name) of annotation files, one line a box; blank lines are passed over, a malformed one fails when it is read. The image is the file's stem."""
+    """(image_id, line_no, x1, ..., class_name) of annotation files, one line a box; blank lines are passed over, a malformed one fails when it is read. The image is the file's stem; without any file there are no boxes."""
+    if not any(c in path for c in "*?[{") and not Path(path.removeprefix("file://")).exists() and "://" not in path.removeprefix("file://"):
+        return spark.createDataFrame([], schemas.BOXES)
     lines = spark.read.text(path, wholetext=True).select(text.stem(F.col("_metadata.file_path")).alias("image_id"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
     box = text.annotation_box(F.col("line"))
     bad = F.raise_error(F.concat(F.lit("malformed annotation in "), "image_id", F.lit(", line "), (F.col("n") + 1).cast("string"))).cast(T.StructType(schemas.BOXES.fields[2:]))
