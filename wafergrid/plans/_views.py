@@ -40,7 +40,7 @@ def run_results(spark: SparkSession, root: str) -> DataFrame:
 
 def paired_cells(spark: SparkSession, root: str) -> DataFrame:
     """(category, k, seed, sample_id, label, area, thinness, baseline, candidate): a complete grid, parts x 3 shots x 3 seeds."""
-    p = table(spark, root, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    p = table(spark, root, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice").where("p_partkey is not null and p_brand is not null").distinct()
     p = p.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(2))))
     base = ((F.col("p_partkey") * 7919 + F.col("k") * 104729 + F.col("seed") * 1299709) % 1000) / F.lit(1000.0)
     delta = ((F.col("p_partkey") * 31 + F.col("k") * 17 + F.col("seed") * 13) % 200 - 80) / F.lit(1000.0)

@@ -16,8 +16,9 @@ def _round(*names: str, n: int = 6):
 
 
 def _threshold(px: DataFrame) -> float:
-    """The calibrated threshold: one number."""
-    return metrics.normal_threshold(px.where("label = 0 and split = 'val'"), [], "score", Q).first()[0]
+    """The calibrated threshold: one number; infinite, so that nothing is predicted, where there is nothing to calibrate on."""
+    found = metrics.normal_threshold(px.where("label = 0 and split = 'val'"), [], "score", Q).first()
+    return found[0] if found else float("inf")
 
 
 def calibrated_summary(spark: SparkSession, root: str) -> DataFrame:
