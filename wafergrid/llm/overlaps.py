@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,18 +69,29 @@ def sha_key(sha: Column) -> Column:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last column: 64 small integers to 128 bytes; thumbs of another size, with nulls or without any contrast to NULL."""
+    """Last column: 64 small integers to 64 bytes, or to 128 if one of them lies outside 0 to 255; thumbs of another size, with nulls or without any contrast to NULL."""
     for batch in batches:
-        out = []
-        for value in batch.column(batch.num_columns - 1).to_pylist():
-            good = value is not None and len(value) == 64 and None not in value and min(value) != max(value)
-            out.append(np.array(value, dtype="<i2").tobytes() if good else None)
+        column = batch.column(batch.num_columns - 1)
+        out: list[bytes | None] = [None] * len(column)
+        at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), 64), False).to_numpy(zero_copy_only=False))
+        if len(at):
+            values = column.take(pa.array(at)).flatten()
+            whole = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 64).all(1)
+            x = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).reshape(-1, 64)
+            narrow = (x.min(1) >= 0) & (x.max(1) < 256)
+            for i, row, small in zip(at[good := whole & (x.min(1) < x.max(1))].tolist(), x[good], narrow[good].tolist()):
+                out[i] = row.astype("u1" if small else "<i2").tobytes()
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=batch.schema.names)
 
 
 def _standard(thumbs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(thumbs), "<i2").reshape(len(thumbs), -1).astype(np.float64)
-    x = x - x.mean(1, keepdims=True)
+    """Rows of packed thumbs less their mean, of length 1."""
+    x = np.empty((len(thumbs), 64))
+    for size, kind in ((64, "u1"), (128, "<i2")):
+        at = [i for i, t in enumerate(thumbs) if len(t) == size]
+        if at:
+            x[at] = np.frombuffer(b"".join([thumbs[i] for i in at]), kind).reshape(len(at), 64)
+    x -= x.mean(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -105,7 +117,7 @@ def own_directions(thumbs: DataFrame, shared: float) -> np.ndarray:
 
 
 def bucket_arrays(thumbs: DataFrame, directions: np.ndarray, params: BandParams) -> DataFrame:
-    """(class_id, train, eval, buckets ARRAY<BIGINT>): the bucket of each band."""
+    """(class_id, buckets ARRAY<BIGINT>): the bucket of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = params.bands * params.rows
@@ -124,9 +136,9 @@ def bucket_arrays(thumbs: DataFrame, directions: np.ndarray, params: BandParams)
                 parts.append((((2 * top + sign).reshape(len(z), params.bands, params.rows) * weight).sum(2) + band).ravel())
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * params.bands, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("train"), batch.column("eval"), lists], names=["class_id", "train", "eval", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), lists], names=["class_id", "buckets"])
 
-    return thumbs.select("class_id", "train", "eval", "thumb").mapInArrow(run, "class_id long, train boolean, eval boolean, buckets array<long>")
+    return thumbs.select("class_id", "thumb").mapInArrow(run, "class_id long, buckets array<long>")
 
 
 def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
@@ -134,9 +146,9 @@ def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
 
     ``classes``: class_id, thumb BINARY (see ``_packed``), train and eval BOOLEAN.
     """
-    buckets = bucket_arrays(classes, own_directions(classes, params.shared), params).select("class_id", "train", "eval", F.explode("buckets").alias("bucket"))
-    left = buckets.where("train").select("bucket", F.col("class_id").alias("a"))
-    right = buckets.where("eval").select("bucket", F.col("class_id").alias("b"))
+    directions = own_directions(classes, params.shared)
+    # each side by itself: a filter isn't pushed below Python, which would work out all buckets for either side
+    left, right = (bucket_arrays(classes.where(side), directions, params).select(F.explode("buckets").alias("bucket"), F.col("class_id").alias(n)) for side, n in (("train", "a"), ("eval", "b")))
     candidates = left.join(right, "bucket").where("a <> b").select("a", "b").distinct()
     thumbs = classes.select("class_id", "thumb")
     both = candidates.join(thumbs.toDF("a", "ta"), "a").join(thumbs.toDF("b", "tb"), "b")
