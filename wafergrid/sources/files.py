@@ -19,9 +19,9 @@ from wafergrid.operators.joins import last_of_each
 from wafergrid.sources import schemas
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV file with a header; without a schema every column is text. Quoted line ends stay in a value."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, *, line_ends: bool = True) -> DataFrame:
+    """A CSV file with a header; without a schema every column is text. Quoted line ends stay in a value; where there are none, ``line_ends=False`` lets a large file be read in parts."""
+    r = spark.read.option("header", True).option("multiLine", line_ends).option("escape", '"')
     return (r.schema(schema).option("enforceSchema", False) if schema else r).csv(path)
 
 
