@@ -192,3 +192,18 @@ def test_overlaps_of_nothing(spark):
     r = spark.createDataFrame([], "record_id long, dataset string, sample_id string, split string")
     m = spark.createDataFrame([], "sample_id string, image_sha256 string, thumb array<smallint>")
     assert overlaps.cross_split_pairs(r, m).collect() == []
+
+
+def test_rough_correlations_and_wide_thumbs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (50, 64))
+    y = np.where(rng.random((50, 1)) < 0.5, x + rng.integers(-3, 3, (50, 64)), rng.integers(0, 256, (50, 64))).clip(0, 255)
+    y[7] = y[7] * 100
+    packed = [next(overlaps._packed([pa.RecordBatch.from_pydict({"t": pa.array([list(map(int, r)) for r in m], pa.list_(pa.int16()))})])).column(0) for m in (x, y)]
+    assert [len(b) for b in packed[1].to_pylist()].count(128) == 1
+    want = np.array([np.corrcoef(a, b)[0, 1] for a, b in zip(x, y)])
+    exact = (overlaps._standard(packed[0].to_pylist()) * overlaps._standard(packed[1].to_pylist())).sum(1)
+    rough = overlaps._roughly(packed[0].slice(3), packed[1].slice(3))
+    assert np.allclose(exact, want) and rough[4] == 1 and np.allclose(np.delete(rough, 4), np.delete(want[3:], 4), atol=1e-4)
