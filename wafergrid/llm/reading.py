@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from wafergrid.functions.paths import once
 
-#: Frequent function words, by which English prose is told from German.
+#: Frequent function words of plain letters, by which English prose is told from German.
 ENGLISH = "a an and are as at be because been but by for from has have if in into is it its no not of on or that the their then this to was we when where which who whom whose with you".split()
-GERMAN = "aber als auch am auf aus bei bitte das dem den der des die ein eine einem einen einer es für im ist mit nach nicht sich sie sind sodass und von vor weil werden wird wurde während zu zum zur über".split()
+GERMAN = "aber als auch am auf aus bei bitte das dem den der des die ein eine einem einen einer es im ist mit nach nicht sich sie sind sodass und von vor weil werden wird wurde zu zum zur".split()
 
 #: Ends of words that mark English where function words are lacking.
 ENGLISH_ENDS = "ly ity ous ing ates ises izes ness sis ics als".split()
@@ -51,16 +51,15 @@ def measured(texts: DataFrame, key: str, text: str, params: LevelParams) -> Data
     bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"<[^<>]{1,80}>", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[\p{Cf}]", ""), r"\p{Cc}", " ")
     df = once(texts.select(key, text), "__t", F.lower(bare)).drop(text)
-    t = F.col("__t")
-    one_of = lambda words: F.regexp_count(t, F.lit(r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"))
+    t, ends = F.col("__t"), r"\p{L}(?:" + "|".join(ENGLISH_ENDS) + r")(?!\p{L})"
     df = df.select(
-        key,
-        F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"),
-        F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"[.!?](?=\s|$)"))).alias("n_sentences"),
+        key, "__t", F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"), F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"[.!?](?=\s|$)"))).alias("n_sentences"),
         F.regexp_count(t, F.lit(r"\S+")).alias("__n"), F.regexp_count(t, F.lit(PURE)).alias("__pure"),
-        (one_of(ENGLISH) + F.regexp_count(t, F.lit(r"\p{L}(?:" + "|".join(ENGLISH_ENDS) + r")(?!\p{L})"))).alias("__en"), one_of(GERMAN).alias("__de"),
     )
-    prose = (F.size("words") >= params.least_words) & (F.size("words") >= params.pure * F.col("__n")) & (F.col("__pure") >= params.pure * F.col("__n")) & (F.col("__en") > F.col("__de"))
+    among = lambda names: F.size(F.filter("words", lambda w: w.isin(*names)))
+    df = df.withColumn("__en", among(ENGLISH)).withColumn("__de", among(GERMAN))
+    english = F.when(F.col("__en") > F.col("__de"), True).otherwise(F.col("__en") + F.regexp_count(t, F.lit(ends)) > F.col("__de"))  # the ends are looked at only where words don't tell
+    prose = (F.size("words") >= params.least_words) & (F.size("words") >= params.pure * F.col("__n")) & (F.col("__pure") >= params.pure * F.col("__n")) & english
     return df.select(key, "words", "n_sentences", prose.alias("prose"))
 
 
