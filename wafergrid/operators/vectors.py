@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A bank is broadcast up to so many bytes; a larger one is split into blocks that meet the queries in a shuffle.
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def norm(v: Column) -> Column:
@@ -63,10 +63,9 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, key: str, by: str, vec
         return np.sqrt(np.maximum(out, 0))
 
     if n * width * 8 <= BROADCAST_BYTES:
-        banks: dict[int, list] = {}
-        for r in bank.collect():  # its size was checked
-            banks.setdefault(r[0], []).append(r[1])
-        shared = queries.sparkSession.sparkContext.broadcast({g: np.array(rows, np.float64) for g, rows in banks.items()})
+        held = bank.toArrow()  # its size was checked
+        of, rows = held.column(0).to_numpy(), _rows(held.column(1).combine_chunks()) if n else np.zeros((0, 0))
+        shared = queries.sparkSession.sparkContext.broadcast({int(g): rows[of == g] for g in np.unique(of)})
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -219,9 +219,8 @@ def identity_constant(spark: SparkSession, root: str) -> DataFrame:
 
 
 def classify_errors(spark: SparkSession, root: str) -> DataFrame:
-    """Classes of failure of messages made of the texts' first lines."""
-    line = F.regexp_extract("text", r"^[^\n]*", 0)
-    return table(spark, root, "documents").groupBy(lineage.failure_class(F.coalesce(line, F.lit(""))).alias("failure")).agg(F.count("*").alias("n_docs"))
+    """Classes of failure, the texts taken as messages."""
+    return table(spark, root, "documents").groupBy(lineage.failure_class(F.coalesce("text", F.lit(""))).alias("failure")).agg(F.count("*").alias("n_docs"))
 
 
 def lineage_hash(spark: SparkSession, root: str) -> DataFrame:
@@ -334,7 +333,7 @@ ORACLE = {
       SELECT coalesce(abs(x - y) <= greatest(1e-10 * greatest(abs(x), abs(y)), 1e-12), false) AS close, count(*) AS n_rows FROM a GROUP BY 1""",
     "id_set_diff": "SELECT DISTINCT run_id, 'left' AS side FROM run_specs ANTI JOIN normal_thresholds USING (run_id) UNION ALL SELECT DISTINCT run_id, 'right' FROM normal_thresholds ANTI JOIN run_specs USING (run_id)",
     "identity_constant": "SELECT run_id, count(*) AS n_identities FROM (SELECT DISTINCT run_id, refiner, sam2_model_config, sam2_checkpoint_sha256 FROM mask_scores) GROUP BY run_id HAVING count(*) > 1",
-    "classify_errors": """WITH l AS (SELECT lower(split_part(coalesce(text, ''), chr(10), 1)) AS t FROM documents) SELECT CASE WHEN contains(t, 'missing') OR contains(t, 'no such') OR contains(t, 'directory must be real') THEN 'missing' WHEN contains(t, 'failed') OR contains(t, 'not complete') THEN 'failed'
+    "classify_errors": """WITH l AS (SELECT lower(coalesce(text, '')) AS t FROM documents) SELECT CASE WHEN contains(t, 'missing') OR contains(t, 'no such') OR contains(t, 'directory must be real') THEN 'missing' WHEN contains(t, 'failed') OR contains(t, 'not complete') THEN 'failed'
       WHEN contains(t, 'duplicate') THEN 'duplicate' WHEN contains(t, 'dependency') OR contains(t, 'ancestor') THEN 'dependency' WHEN contains(t, 'stale') OR contains(t, 'identity') OR contains(t, 'checksum') THEN 'stale' WHEN contains(t, 'manifest row set') OR contains(t, 'metric') OR contains(t, 'evidence class') THEN 'semantic' ELSE 'artifact' END AS failure, count(*) AS n_docs FROM l GROUP BY 1""",
     "lineage_hash": f"""WITH {_RUNS} SELECT run_id, sha256('{{"category":"' || category || '","k":' || k || ',"method":"' || method || '","seed":' || seed || '}}') AS identity FROM runs""",
     "support_violations": f"""WITH {RECORDS}, {_RUNS}, r AS (SELECT category, sample_id, row_number() OVER (PARTITION BY category ORDER BY record_id) AS n FROM records WHERE sample_id IS NOT NULL), s AS (SELECT run_id, runs.category, sample_id, k FROM runs JOIN r USING (category) WHERE k > 0 AND n <= k),
