@@ -64,8 +64,9 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, key: str, by: str, vec
 
     if n * width * 8 <= BROADCAST_BYTES:
         held = bank.toArrow()  # its size was checked
-        of, rows = held.column(0).to_numpy(), _rows(held.column(1).combine_chunks()) if n else np.zeros((0, 0))
-        shared = queries.sparkSession.sparkContext.broadcast({int(g): rows[of == g] for g in np.unique(of)})
+        of, rows = held.column(0).to_numpy(), held.column(1)
+        banks = {int(g): _rows(rows.take(pa.array(np.flatnonzero(of == g))).combine_chunks()) for g in np.unique(of)}  # widths differ between groups
+        shared = queries.sparkSession.sparkContext.broadcast(banks)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
