@@ -39,13 +39,15 @@ def roc_auc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFra
 
 def threshold_candidates(df: DataFrame, by: Sequence[str], score: str, most: int | None) -> DataFrame:
     """(by..., threshold): the distinct scores of a group, or ``most`` evenly spaced values from the highest to the lowest if there are more."""
-    if not by:
-        return threshold_candidates(df.withColumn("__all", F.lit(1)), ["__all"], score, most).drop("__all")
     distinct = df.where(finite(F.col(score))).select(*by, F.col(score).cast("double").alias("threshold")).distinct()
     if most is None:
         return distinct
     span = distinct.groupBy(*by).agg(F.count("*").alias("n"), F.max("threshold").alias("hi"), F.min("threshold").alias("lo"))
     i = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    if not by:
+        few = span.first()["n"] <= most
+        spaced = span.withColumn("i", i).select((F.col("hi") + F.col("i") * (F.col("lo") - F.col("hi")) / F.lit(float(max(1, most - 1)))).alias("threshold"))
+        return distinct if few else spaced
     spaced = span.where(F.col("n") > most).withColumn("i", i).select(*by, (F.col("hi") + F.col("i") * (F.col("lo") - F.col("hi")) / F.lit(float(max(1, most - 1)))).alias("threshold"))
     kept = join_groups(distinct, span.where(F.col("n") <= most).select(*by, F.lit(True).alias("__few")), by)
     return kept.select(*by, "threshold").unionByName(spaced)
@@ -68,16 +70,17 @@ def best_f1(df: DataFrame, by: Sequence[str], label: str, score: str, most: int
 
     Without any positive row F1 and IoU are 0; groups without a usable row are missing.
     """
-    if not by:
-        return best_f1(df.withColumn("__all", F.lit(1)), ["__all"], label, score, most).drop("__all")
     counts = score_counts(df, by, label, score)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
     at = counts_at_thresholds(counts, threshold_candidates(counts, by, "score", most), by, ["pos", "neg"])
-    at = join_groups(at, totals, by)
+    at = join_groups(at, totals, by) if by else at.withColumn("all_pos", F.lit(totals.first()[0]).cast("long"))
     tp, fp, fn = F.col("pos"), F.col("neg"), F.col("all_pos") - F.col("pos")
     f1 = F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
     iou = F.when(tp > 0, tp / (tp + fp + fn)).otherwise(0.0)
     best = F.max_by(F.struct("threshold", "f1", "iou"), F.struct("f1", "threshold"))
+    if not by:
+        at = at.withColumn("__all", F.lit(1))  # grouped, so that no row gives none
+        return at.withColumn("f1", f1).withColumn("iou", iou).groupBy("__all").agg(best.alias("b"), F.count("*").alias("n_thresholds")).select("b.threshold", "b.f1", "b.iou", "n_thresholds")
     return at.withColumn("f1", f1).withColumn("iou", iou).groupBy(*by).agg(best.alias("b"), F.count("*").alias("n_thresholds")).select(*by, "b.threshold", "b.f1", "b.iou", "n_thresholds")
 
 
@@ -88,17 +91,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Seq
     """
     v = F.col(value).cast("double")
     counts = df.where(finite(F.col(value))).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
-    if not by:
-        return exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, quantiles).drop("__all")
     upto = running_totals(counts, by, "__v", ["__n"])
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("n"))
-    upto = join_groups(upto, totals, by)
+    upto = join_groups(upto, totals, by) if by else upto.withColumn("n", F.lit(totals.first()[0]).cast("long"))
     aggs = []
     for i, q in enumerate(quantiles):
         at = (F.col("n") - 1) * F.lit(float(q))
         for part, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             aggs.append(F.min(F.when(F.col("__n_upto") > rank, F.col("__v"))).alias(f"__{part}{i}"))
-    found = upto.groupBy(*by).agg(F.first("n").alias("n"), *aggs)
+    found = (upto.groupBy(*by) if by else upto.groupBy(F.lit(1).alias("__all"))).agg(F.first("n").alias("n"), *aggs)
     at = [(F.col("n") - 1) * F.lit(float(q)) for q in quantiles]
     return found.select(*by, "n", *[(F.col(f"__lo{i}") + (a - F.floor(a)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(f"q{i}") for i, a in enumerate(at)])
 

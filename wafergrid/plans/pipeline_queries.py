@@ -60,12 +60,18 @@ def score_auc_by_run(spark: SparkSession, root: str) -> DataFrame:
 def heatmap_evaluation(spark: SparkSession, root: str) -> DataFrame:
     """Image AUC, pixel AUC, region overlap and best F1 of all heatmaps, in one row."""
     px = pixels(spark, root)
-    image = metrics.roc_auc(px.groupBy("img", "label").agg(F.max("score").alias("score")), [], "label", "score").select(F.round("auc", 6).alias("image_auc"), F.lit(1).alias("one"))
-    pixel = metrics.roc_auc(px, [], "target", "score").select(F.round("auc", 6).alias("pixel_auc"), F.lit(1).alias("one"))
-    best = metrics.best_f1(px, [], "target", "score").select(F.round("f1", 6).alias("best_f1"), F.round("iou", 6).alias("best_iou"), F.lit(1).alias("one"))
+    image = metrics.roc_auc(px.groupBy("img", "label").agg(F.max("score").alias("score")), [], "label", "score")
+    pixel = metrics.roc_auc(px, [], "target", "score")
+    best = metrics.best_f1(px, [], "target", "score")
     found = grids.components(px.where("target = 1"), "img").withColumnRenamed("component", "region")
-    overlap = metrics.region_overlap_score(px, found, "img", "score", "target").select(F.round("aupro", 6).alias("aupro"), F.lit(1).alias("one"))
-    return image.join(pixel, "one").join(best, "one").join(overlap, "one").drop("one")
+    overlap = metrics.region_overlap_score(px, found, "img", "score", "target")
+    parts = ((image, {"image_auc": "auc"}), (pixel, {"pixel_auc": "auc"}), (best, {"best_f1": "f1", "best_iou": "iou"}), (overlap, {"aupro": "aupro"}))
+    long = None  # one row a metric, turned to one row
+    for df, names in parts:
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("m")).select("m.*")
+        long = rows if long is None else long.unionByName(rows)
+    order = ("image_auc", "pixel_auc", "best_f1", "best_iou", "aupro")
+    return long.agg(*[F.round(F.max(F.when(F.col("name") == n, F.col("value"))), 6).alias(n) for n in order])
 
 
 def audit_invariants(spark: SparkSession, root: str) -> DataFrame:
@@ -133,13 +139,16 @@ _PATCH = f"""WITH {RECORDS}, l AS (SELECT sample_id, max(label) AS label, max(CA
   d AS (SELECT u.patch_id, u.backbone, sample_id, label, min(sqrt(greatest(0, list_sum(list_transform(list_zip(v, b), lambda q: (q[1] - q[2]) * (q[1] - q[2])))))) AS distance FROM u JOIN bank ON u.backbone = bank.backbone WHERE u.patch_id NOT IN (SELECT patch_id FROM bank) GROUP BY ALL),
   s AS (SELECT backbone, sample_id, label, round(max(distance), 4) AS image_score, count(*) AS n_patches FROM d GROUP BY ALL)"""
 _AUC = "SELECT {k}, n_pos, n_neg, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN (rs - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos * n_neg) END, {r}) AS auc FROM (SELECT {k}, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, sum(rk) FILTER (label = 1) AS rs FROM (SELECT {k}, label, rank() OVER (PARTITION BY {k} ORDER BY image_score) + (count(*) OVER (PARTITION BY {k}, image_score) - 1) / 2.0::DOUBLE AS rk FROM {t} WHERE label IN (0, 1) AND NOT isnan(image_score)) GROUP BY {k})"
-_PRO = PIXEL_ORACLE["aupro"].replace("WITH RECURSIVE", "").strip()
+#: All pixels as one category.
+_ONE = {k: PIXEL_ORACLE[k].replace("CAST(user_id % 4 AS INT) AS category", "0 AS category") for k in ("roc_auc_pixels", "best_f1_linspace")}
 ORACLE = {
     "patch_anomaly_scores": f"{_PATCH} SELECT * FROM s",
     "patch_anomaly_auc": f"{_PATCH} {_AUC.format(k='backbone', r=6, t='s')}",
     "score_auc_by_run": f"WITH s AS (SELECT run_id, label, image_score FROM (SELECT DISTINCT run_id, sample_id, score_id, label, image_score FROM scores) QUALIFY row_number() OVER (PARTITION BY run_id, sample_id ORDER BY score_id DESC) = 1) {_AUC.format(k='run_id', r=9, t='s')}",
     "audit_invariants": f"""{_W}, {_AGREE}, j AS (SELECT *, x = 7 AND y = 0 AS gone FROM chosen) SELECT 0::BIGINT AS only_guided, count(*) FILTER (gone) AS only_fused, count(*) FILTER (NOT gone AND fused = 1 AND anomaly = 0) AS outside_proposal,
       count(*) FILTER (NOT gone AND fused = 1 AND cand = 0) AS outside_raw, count(*) FILTER (NOT gone AND fused <> anomaly * cand) AS inexact, count(*) AS n_pixels, count(*) FILTER (gone) = 0 AND count(*) FILTER (fused <> anomaly * cand) = 0 AS ok FROM j""",
+    "heatmap_evaluation": f"""SELECT round(a.auc, 6) AS image_auc, round(b.auc, 6) AS pixel_auc, c.f1 AS best_f1, c.iou AS best_iou, d.aupro
+      FROM ({PIXEL_ORACLE['image_auc']}) a, ({_ONE['roc_auc_pixels']}) b, ({_ONE['best_f1_linspace']}) c, ({PIXEL_ORACLE['aupro']}) d""",
     "override_merge": """WITH r AS (SELECT DISTINCT run_id, overrides_json FROM run_specs), k AS (SELECT run_id, overrides_json AS j, unnest(list_distinct(list_concat(['fusion', 'crop_size', 'prompt'], coalesce(json_keys(overrides_json), [])))) AS name FROM r)
       SELECT run_id, name, coalesce(j ->> ('$."' || name || '"'), MAP {'fusion': 'max', 'crop_size': '768', 'prompt': 'point_box'}[name]) AS value FROM k""",
     "artifact_hashes": "SELECT DISTINCT file_id, sha256(payload) AS sha256, CAST(length(payload) AS INT) AS n_chars FROM artifact_files WHERE payload IS NOT NULL",
