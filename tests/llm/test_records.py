@@ -188,6 +188,26 @@ def test_overlaps_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_overlaps_near_by_their_layout(spark):
+    """A hot board of low contrast: 3 to 8 % of a thumb's energy is its own, so pairs are near by the layout alone."""
+    rng = np.random.default_rng(12)
+    layouts = rng.normal(size=(4, 64))
+    thumbs = []
+    for i in range(400):
+        board = 0 if i % 3 == 0 else 1 + i % 3
+        base, noise = (x - x.mean() for x in (layouts[board], rng.normal(size=64)))
+        own = rng.uniform(0.03, 0.08) if board == 0 else rng.uniform(0.2, 0.8)
+        z = base / np.linalg.norm(base) * np.sqrt(1 - own) + noise / np.linalg.norm(noise) * np.sqrt(own)
+        thumbs.append([int(v) for v in np.clip(np.round(128 + 280 * z), 0, 255)])
+    r = spark.createDataFrame([(i, "d", f"s{i}", ("train", "val")[i % 2]) for i in range(400)], "record_id long, dataset string, sample_id string, split string")
+    m = spark.createDataFrame([(f"s{i}", None, t) for i, t in enumerate(thumbs)], "sample_id string, image_sha256 string, thumb array<smallint>")
+    c = np.corrcoef(np.array(thumbs))
+    want = {(a, b) for a in range(0, 400, 2) for b in range(1, 400, 2) if c[a, b] >= 0.95}
+    for params in (overlaps.BandParams(), overlaps.BandParams(piece=50)):
+        assert {(x.train_id, x.eval_id) for x in overlaps.cross_split_pairs(r, m, params).collect()} == want
+    assert len(want) > 1000
+
+
 def test_overlaps_of_nothing(spark):
     r = spark.createDataFrame([], "record_id long, dataset string, sample_id string, split string")
     m = spark.createDataFrame([], "sample_id string, image_sha256 string, thumb array<smallint>")

@@ -10,6 +10,11 @@ largest in size, with its sign. The chance that two thumbs agree rises with thei
 hashes does with the Jaccard similarity. A band joins ``rows`` of these hashes. Directions that most thumbs share
 (the layout of a board) would put all of them into one bucket; they are found in the second moments of all thumbs
 and left out of the hashes, and only there: verification uses the whole thumb.
+
+Where little of a thumb is its own, a pair can be near by its layout alone, which such hashes don't see. Thumbs with
+less than ``own`` of their energy in the directions of their own have no buckets: they are compared with all thumbs
+of the other splits, in pieces as matrix products. With an energy e or more in both thumbs, the cosine of their own
+parts is at least 1 - (1 - correlation) / e, so the chance of the hashes holds for every pair that is left to them.
 """
 
 from __future__ import annotations
@@ -36,15 +41,18 @@ _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 
 @dataclass(frozen=True)
 class BandParams:
-    """Correlation asked for, bands, hashes a band, components of a rotation, and how far above the median second moment
-    a shared direction lies. With the defaults a pair at a correlation of 0.95 is met with a chance of 0.998, at 0.97 of
-    0.99999, and a pair without more in common than its board layout with 0.00009 (measured on 13,544 thumbs)."""
+    """Correlation asked for, bands, hashes a band, components of a rotation, how far above the median second moment a
+    shared direction lies, the part of a thumb's energy that is its own from which hashes are used, and thumbs a piece
+    of the exact search. With the defaults a pair at a correlation of 0.95 is met with a chance of 0.998 even where all
+    of its difference lies in its own parts."""
 
     correlation: float = 0.95
-    bands: int = 64
+    bands: int = 128
     rows: int = 4
     components: int = 16
     shared: float = 3.0
+    own: float = 0.35
+    piece: int = 4096
     seed: int = 4880
 
 
@@ -157,14 +165,64 @@ def bucket_arrays(thumbs: DataFrame, directions: np.ndarray, params: BandParams)
     return thumbs.select("class_id", "thumb").mapInArrow(run, "class_id long, buckets array<long>")
 
 
+def with_little_own(classes: DataFrame, directions: np.ndarray, own: float) -> DataFrame:
+    """``classes`` with ``little`` BOOLEAN: less than ``own`` of the thumb's energy lies in ``directions``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                energy = ((_standard(part.column("thumb").to_pylist()) @ directions) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(energy < own)], names=[*part.schema.names, "little"])
+
+    return classes.select("class_id", "thumb", "train", "eval").mapInArrow(run, "class_id long, thumb binary, train boolean, eval boolean, little boolean")
+
+
+def all_near(left: DataFrame, right: DataFrame, along: np.ndarray, least: float, piece: int) -> DataFrame:
+    """(a, b): class ids of different thumbs of ``left`` and ``right`` (class_id, thumb) that correlate at least so much; no pair is left out.
+
+    Each piece of one side meets each of the other. Thumbs of length 1 that correlate so much lie within a distance
+    of sqrt(2 - 2 least), also along one direction: what lies farther apart ``along`` it isn't multiplied.
+    """
+    n, m = (max(1, -(-df.count() // piece)) for df in (left, right))
+    deal = lambda c, k: F.pmod(F.xxhash64("class_id"), F.lit(k)).alias(c)
+    every = lambda c, k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(c)
+    reach = float(np.sqrt(2 - 2 * least)) + 1e-6
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        sides = []
+        for t in (one, other):
+            z, ids = _standard(t.column("thumb").to_pylist()), t.column("class_id").to_numpy()
+            order = np.argsort(at := z @ along)
+            sides.append((z[order], ids[order], at[order]))
+        (x, a, u), (y, b, v) = sides
+        rough, found = y.astype(np.float32).T.copy(), [(np.zeros(0, np.int64),) * 2]
+        for i in range(0, len(x), 512):
+            low, high = np.searchsorted(v, u[i] - reach), np.searchsorted(v, u[min(i + 512, len(x)) - 1] + reach, "right")
+            for j in range(low, high, 4096):
+                p, q = np.nonzero(x[i : i + 512].astype(np.float32) @ rough[:, j : min(j + 4096, high)] >= least - 1e-4)
+                for k in range(0, len(p), 65_536):
+                    pk, qk = p[k : k + 65_536] + i, q[k : k + 65_536] + j
+                    good = ((x[pk] * y[qk]).sum(1) >= least - 1e-12) & (a[pk] != b[qk])
+                    found.append((a[pk[good]], b[qk[good]]))
+        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+
+    one = left.select("class_id", "thumb", deal("i", n), every("j", m)).groupBy("i", "j")
+    other = right.select("class_id", "thumb", every("i", n), deal("j", m)).groupBy("i", "j")
+    return one.cogroup(other).applyInArrow(meet, "a long, b long")
+
+
 def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
     """(a, b): class ids of different thumbs, a with a training and b with an evaluation record, correlated enough.
 
     ``classes``: class_id, thumb BINARY (see ``_packed``), train and eval BOOLEAN.
     """
     directions = own_directions(classes, params.shared)
+    classes = written(with_little_own(classes, directions, params.own), "energies")
     # each side by itself: a filter isn't pushed below Python, which would work out all buckets for either side
-    left, right = (bucket_arrays(classes.where(side), directions, params).select(F.explode("buckets").alias("bucket"), F.col("class_id").alias(n)) for side, n in (("train", "a"), ("eval", "b")))
+    left, right = (
+        bucket_arrays(classes.where(side).where("not little"), directions, params).select(F.explode("buckets").alias("bucket"), F.col("class_id").alias(n)) for side, n in (("train", "a"), ("eval", "b"))
+    )
     candidates = left.join(right, "bucket").where("a <> b").select("a", "b").distinct()
     thumbs = classes.select("class_id", "thumb")
     both = candidates.join(thumbs.toDF("a", "ta"), "a").join(thumbs.toDF("b", "tb"), "b")
@@ -179,7 +237,15 @@ def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
             keep = pa.array(r >= least - 1e-12)
             yield pa.RecordBatch.from_arrays([close.column("a").filter(keep), close.column("b").filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    hashed = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    # the direction left out first, if any, else any one: it only saves work
+    aside = np.linalg.svd(np.eye(64) - directions @ directions.T)[0][:, 0]
+    train, evaluation = classes.where("train"), classes.where("eval")
+    exact = (
+        all_near(train.where("little"), evaluation, aside, least, params.piece),
+        all_near(train.where("not little"), evaluation.where("little"), aside, least, params.piece),
+    )
+    return hashed.unionByName(exact[0]).unionByName(exact[1])
 
 
 def cross_split_pairs(records: DataFrame, images: DataFrame, params: BandParams = BandParams()) -> DataFrame:
