@@ -150,3 +150,25 @@ def test_matrices(spark):
 def test_failure_classes(spark):
     df = spark.createDataFrame([("No such file",), ("run not complete",), ("metric differs",), ("what",)], "m string")
     assert [r[0] for r in df.select(lineage.failure_class(F.col("m"))).collect()] == ["missing", "failed", "semantic", "artifact"]
+
+
+def test_support_banks_are_all_patches_of_some_samples_of_each_category(spark, monkeypatch):
+    """A hot category and a small one: the small one has its own bank, and no patch of a drawn sample is left out."""
+    from wafergrid.operators import vectors
+    from wafergrid.plans.pipeline_queries import support_banks
+
+    rng = np.random.default_rng(5)
+    rows = [(100 * i + j, 0, "hot" if i < 60 else "small", f"s{i:02d}", int(i % 2 == 0), [float(x) for x in rng.normal(size=6)]) for i in range(70) for j in range(9)]
+    p = spark.createDataFrame(rows, "patch_id long, backbone int, category string, sample_id string, support int, features array<double>")
+    bank, queries = support_banks(p, 3, 4880)
+    b, q = bank.collect(), queries.collect()
+    for c in ("hot", "small"):
+        drawn = {r.sample_id for r in b if r.category == c}
+        assert len(drawn) == 3 and sorted(r.patch_id for r in b if r.category == c) == sorted(x[0] for x in rows if x[3] in drawn)
+    assert {r.patch_id for r in b} | {r.patch_id for r in q} == {x[0] for x in rows} and len(b) + len(q) == len(rows)
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {r.patch_id: min(np.linalg.norm(unit(r.features) - unit(x.features)) for x in b if x.category == r.category) for r in q}
+    for most in (vectors.BROADCAST_BYTES, 0):  # broadcast, and in pieces
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", most)
+        got = {r.patch_id: r.distance for r in vectors.nearest_distance(queries, bank, "patch_id", "bank_id", "features").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)

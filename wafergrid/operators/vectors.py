@@ -79,15 +79,16 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, key: str, by: str, vec
         return queries.mapInArrow(score, f"{key} {kind}, distance double")
 
     pieces = int(np.ceil(n * width * 8 / (32 << 20)))
-    b = bank.withColumn("__piece", F.pmod(F.xxhash64(vec), F.lit(pieces)))
+    # other names, since both sides may come of one table
+    b = bank.select(F.col(by).alias("__by"), F.pmod(F.xxhash64(vec), F.lit(pieces)).alias("__piece_of"), F.col(vec).alias("__b"))
     q = queries.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("__piece", F.col("__piece").cast("long"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({key: left[key][:0], "distance": np.zeros(0)})
-        return pd.DataFrame({key: left[key], "distance": distances(np.stack(left[vec]).astype(float), np.stack(right[vec]).astype(float))})
+        return pd.DataFrame({key: left[key], "distance": distances(np.stack(left[vec]).astype(float), np.stack(right["__b"]).astype(float))})
 
-    met = q.groupBy(by, "__piece").cogroup(b.groupBy(by, "__piece")).applyInPandas(meet, f"{key} {kind}, distance double")
+    met = q.groupBy(by, "__piece").cogroup(b.groupBy("__by", "__piece_of")).applyInPandas(meet, f"{key} {kind}, distance double")
     return met.groupBy(key).agg(F.min("distance").alias("distance"))
 
 

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from wafergrid.operators import grids, masks, metrics, sampling, vectors as vec
 from wafergrid.plans._views import PIXELS, RECORDS, images, pixels, records
 from wafergrid.plans.pixel_queries import _AGREE, ORACLE as PIXEL_ORACLE
+from wafergrid.session import written
 from wafergrid.sources.tables import table
 
 #: Backbones by their name in lower case without separators, with a number and the width of their vectors.
 BACKBONES = {"dinov2vits14": (0, 64), "dinov2vitb14": (1, 64), "wideresnet502": (2, 48)}
 SHOTS = 64
+#: Support samples a category for banks of whole samples.
+SUPPORT = 5
 
 
 def _patches(spark: SparkSession, root: str) -> DataFrame:
@@ -49,6 +52,35 @@ def patch_anomaly_auc(spark: SparkSession, root: str) -> DataFrame:
     return out.select("backbone", "n_pos", "n_neg", F.round("auc", 6).alias("auc"))
 
 
+def support_banks(patches: DataFrame, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(bank, queries) of ``patches``: backbone, category, sample_id, support and more; both with ``bank_id``.
+
+    Of each backbone and category ``k`` support samples are drawn, the same for all backbones that have them, and all
+    their patches are the bank; the patches of all other samples are the queries.
+    """
+    p = patches.withColumn("bank_id", F.xxhash64("backbone", "category"))
+    drawn = sampling.first_k(p.where("support = 1").select("bank_id", "sample_id").distinct(), ["bank_id"], "sample_id", k, seed).select("bank_id", "sample_id")
+    return p.join(drawn, ["bank_id", "sample_id"]), p.join(drawn, ["bank_id", "sample_id"], "left_anti")
+
+
+def support_bank_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Each sample's largest patch distance to the bank of its category: all patches of few normal samples. Without such samples the score is NULL."""
+    r = records(spark, root).where("sample_id is not null")
+    support = (F.max(F.when(F.col("split") == "train", 1).otherwise(0)) == 1) & (F.max("label") == 0)
+    samples = r.groupBy("sample_id").agg(F.min("category").alias("category"), F.max("label").alias("label"), F.when(support, 1).otherwise(0).alias("support"))
+    p = written(_patches(spark, root).join(samples, "sample_id"), "patches")
+    bank, queries = support_banks(p, SUPPORT, 4880)
+    d = vec.nearest_distance(queries, bank, "patch_id", "bank_id", "features").groupBy("patch_id").agg(F.min("distance").alias("distance"))
+    s = queries.select("patch_id", "backbone", "category", "sample_id", "label").distinct().join(d, "patch_id", "left")
+    return s.groupBy("backbone", "category", "sample_id", "label").agg(F.round(F.max("distance"), 4).alias("image_score"), F.count("*").alias("n_patches"))
+
+
+def support_bank_auc(spark: SparkSession, root: str) -> DataFrame:
+    """ROC-AUC of each backbone and category that has a bank."""
+    out = metrics.roc_auc(support_bank_scores(spark, root).where("image_score is not null"), ["backbone", "category"], "label", "image_score")
+    return out.select("backbone", "category", "n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+
+
 def score_auc_by_run(spark: SparkSession, root: str) -> DataFrame:
     """ROC-AUC of the stored image scores of each run; of retried rows the last one counts."""
     s = table(spark, root, "scores").select("run_id", "sample_id", "score_id", "label", "image_score")
@@ -125,7 +157,7 @@ def event_windows(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        patch_anomaly_scores, patch_anomaly_auc, score_auc_by_run, heatmap_evaluation, audit_invariants, override_merge, artifact_hashes, scaled_grid_prompts, patch_projection, event_windows,
+        patch_anomaly_scores, patch_anomaly_auc, support_bank_scores, support_bank_auc, score_auc_by_run, heatmap_evaluation, audit_invariants, override_merge, artifact_hashes, scaled_grid_prompts, patch_projection, event_windows,
     )
 }
 
@@ -138,12 +170,24 @@ _PATCH = f"""WITH {RECORDS}, l AS (SELECT sample_id, max(label) AS label, max(CA
   bank AS (SELECT patch_id, backbone, v AS b FROM u WHERE support = 1 QUALIFY row_number() OVER (PARTITION BY backbone ORDER BY md5('4880:' || patch_id), patch_id) <= {SHOTS}),
   d AS (SELECT u.patch_id, u.backbone, sample_id, label, min(sqrt(greatest(0, list_sum(list_transform(list_zip(v, b), lambda q: (q[1] - q[2]) * (q[1] - q[2])))))) AS distance FROM u JOIN bank ON u.backbone = bank.backbone WHERE u.patch_id NOT IN (SELECT patch_id FROM bank) GROUP BY ALL),
   s AS (SELECT backbone, sample_id, label, round(max(distance), 4) AS image_score, count(*) AS n_patches FROM d GROUP BY ALL)"""
+_SUPPORT = f"""WITH {RECORDS}, l AS (SELECT sample_id, min(category) AS category, max(label) AS label, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) = 1 AND max(label) = 0 AS support FROM records WHERE sample_id IS NOT NULL GROUP BY sample_id),
+  c AS (SELECT cache_key, min(regexp_replace(lower(backbone), '[^a-z0-9]', '', 'g')) AS n, min(sample_id) AS sample_id FROM feature_cache GROUP BY cache_key),
+  p AS (SELECT DISTINCT patch_id, CASE n WHEN 'dinov2vits14' THEN 0 WHEN 'dinov2vitb14' THEN 1 WHEN 'wideresnet502' THEN 2 END AS backbone, features, c.sample_id, category, label, support
+    FROM patch_features JOIN c USING (cache_key) JOIN l ON l.sample_id = c.sample_id WHERE len(features) = CASE n WHEN 'dinov2vits14' THEN 64 WHEN 'dinov2vitb14' THEN 64 WHEN 'wideresnet502' THEN 48 END AND len(list_filter(features, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  u AS (SELECT *, list_transform(features, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(features, lambda z: z::DOUBLE * z::DOUBLE))), 1e-12)) AS v FROM p),
+  drawn AS (SELECT backbone, category, sample_id FROM (SELECT DISTINCT backbone, category, sample_id FROM u WHERE support) QUALIFY row_number() OVER (PARTITION BY backbone, category ORDER BY md5('4880:' || sample_id), sample_id) <= {SUPPORT}),
+  q AS (SELECT u.* FROM u LEFT JOIN drawn d ON u.backbone = d.backbone AND u.category IS NOT DISTINCT FROM d.category AND u.sample_id = d.sample_id WHERE d.sample_id IS NULL),
+  bank AS (SELECT u.backbone, u.category, v AS b FROM u JOIN drawn d ON u.backbone = d.backbone AND u.category IS NOT DISTINCT FROM d.category AND u.sample_id = d.sample_id),
+  d AS (SELECT q.patch_id, q.backbone, q.category, q.sample_id, q.label, min(CASE WHEN b IS NOT NULL THEN sqrt(greatest(0, list_sum(list_transform(list_zip(v, b), lambda w: (w[1] - w[2]) * (w[1] - w[2]))))) END) AS distance FROM q LEFT JOIN bank ON q.backbone = bank.backbone AND q.category IS NOT DISTINCT FROM bank.category GROUP BY ALL),
+  s AS (SELECT backbone, category, sample_id, label, round(max(distance), 4) AS image_score, count(*) AS n_patches FROM d GROUP BY ALL), t AS (SELECT * FROM s WHERE image_score IS NOT NULL)"""
 _AUC = "SELECT {k}, n_pos, n_neg, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN (rs - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos * n_neg) END, {r}) AS auc FROM (SELECT {k}, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, sum(rk) FILTER (label = 1) AS rs FROM (SELECT {k}, label, rank() OVER (PARTITION BY {k} ORDER BY image_score) + (count(*) OVER (PARTITION BY {k}, image_score) - 1) / 2.0::DOUBLE AS rk FROM {t} WHERE label IN (0, 1) AND NOT isnan(image_score)) GROUP BY {k})"
 #: All pixels as one category.
 _ONE = {k: PIXEL_ORACLE[k].replace("CAST(user_id % 4 AS INT) AS category", "0 AS category") for k in ("roc_auc_pixels", "best_f1_linspace")}
 ORACLE = {
     "patch_anomaly_scores": f"{_PATCH} SELECT * FROM s",
     "patch_anomaly_auc": f"{_PATCH} {_AUC.format(k='backbone', r=6, t='s')}",
+    "support_bank_scores": f"{_SUPPORT} SELECT * FROM s",
+    "support_bank_auc": f"{_SUPPORT} {_AUC.format(k='backbone, category', r=6, t='t')}",
     "score_auc_by_run": f"WITH s AS (SELECT run_id, label, image_score FROM (SELECT DISTINCT run_id, sample_id, score_id, label, image_score FROM scores) QUALIFY row_number() OVER (PARTITION BY run_id, sample_id ORDER BY score_id DESC) = 1) {_AUC.format(k='run_id', r=9, t='s')}",
     "audit_invariants": f"""{_W}, {_AGREE}, j AS (SELECT *, x = 7 AND y = 0 AS gone FROM chosen) SELECT 0::BIGINT AS only_guided, count(*) FILTER (gone) AS only_fused, count(*) FILTER (NOT gone AND fused = 1 AND anomaly = 0) AS outside_proposal,
       count(*) FILTER (NOT gone AND fused = 1 AND cand = 0) AS outside_raw, count(*) FILTER (NOT gone AND fused <> anomaly * cand) AS inexact, count(*) AS n_pixels, count(*) FILTER (gone) = 0 AND count(*) FILTER (fused <> anomaly * cand) = 0 AS ok FROM j""",
