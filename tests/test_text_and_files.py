@@ -113,6 +113,27 @@ def test_folder_scans(spark, tmp_path):
         files.dataset_from_config(spark, {"name": "other"})
 
 
+def test_manifests_by_any_of_their_names(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/b.png").write_bytes(b"x")
+    f = tmp_path / "a.csv"
+
+    def read(content, **more):
+        f.write_text(content)
+        return files.dataset_from_config(spark, {"name": "manifest", "root": str(tmp_path), "manifest_csv": str(f)} | more).collect()
+
+    a, b, c = read("IMG_PATH,is_anomaly,phase,class,ground_truth,name\npcb2/a.png,yes,Training,pcb1,,n1\n/x/b.png,true,holdout,,m/b.png,\npcb3/test/c.png,0,,,m/none.png,\n")
+    assert (a.category, a.sample_id, a.split, a.label, a.image_path, a.mask_path) == ("pcb1", "pcb1/n1", "train", "0", f"{tmp_path}/pcb2/a.png", None)
+    assert (b.category, b.sample_id, b.split, b.label, b.image_path, b.mask_path) == ("unknown", "unknown/b", "holdout", "1", "/x/b.png", f"{tmp_path}/m/b.png")
+    assert (c.category, c.sample_id, c.split, c.label, c.mask_path) == ("pcb3", "pcb3/c", "test", "0", None)
+    (d,) = read("filename,annotation,object_type,subset\nd.png,m/none.png,pcb4,val\ne.png,,pcb9,val\n", categories=["pcb4"])
+    assert (d.sample_id, d.label, d.mask_path, d.split) == ("pcb4/d", "1", None, "val")
+    with pytest.raises(ValueError, match="no column"):
+        read("picture,label\na.png,1\n")
+    with pytest.raises(Exception, match="row 3: no image path"):
+        read("image,label\na.png,1\n ,0\n")
+
+
 def test_bad_annotation_fails_with_its_line(spark, tmp_path):
     assert files.read_boxes(spark, str(tmp_path / "none.txt")).collect() == []
     (tmp_path / "x.txt").write_text("1,2,3\n")

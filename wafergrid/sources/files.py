@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
@@ -18,6 +19,10 @@ from wafergrid.functions import text
 from wafergrid.operators.joins import last_of_each
 from wafergrid.sources import schemas
 
+#: Usual categories, and the names that a manifest's column of images goes by.
+PCB_CATEGORIES = ("pcb1", "pcb2", "pcb3", "pcb4")
+IMAGE_COLUMNS = ("image_path", "img_path", "path", "image", "filename", "file", "filepath")
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, *, line_ends: bool = True) -> DataFrame:
     """A CSV file with a header; without a schema every column is text. Quoted line ends stay in a value; where there are none, ``line_ends=False`` lets a large file be read in parts."""
@@ -109,17 +114,49 @@ def board_records(spark: SparkSession, root: str, dataset: str = "deeppcb") -> D
     )
 
 
-def manifest_records(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Records of a manifest whose columns go by several names; label by word, mask or path."""
-    m = read_csv(spark, path)
-    image, mask = text.first_value(m, ["image_path", "image", "path", "filepath"]), text.first_value(m, ["mask_path", "mask", "gt_path"])
-    label = text.label_value(text.first_value(m, ["label", "target", "class"]), mask, image)
-    sample = F.coalesce(text.first_value(m, ["sample_id", "id"]), text.stem(image))
-    return m.select(
-        F.lit(dataset).alias("dataset"), F.coalesce(text.first_value(m, ["category", "object"]), text.category_of(image)).alias("category"), sample.alias("sample_id"),
-        F.coalesce(text.split_name(text.first_value(m, ["split", "set"])), text.path_split(image), F.lit("all")).alias("split"), image.alias("image_path"), label.cast("string").alias("label"), mask.alias("mask_path"),
+def _without_missing(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with NULL where a path names no file that the workers see; paths of another scheme than file: stay."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(at).to_pylist()
+            local = [p if p is None else re.sub("^file:(//)?", "", p) for p in paths]
+            kept = pa.array([p if p and ("://" in q or os.path.exists(q)) else None for p, q in zip(paths, local)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], kept, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def manifest_records(spark: SparkSession, path: str, dataset: str, root: str | None = None, categories: Sequence[str] = PCB_CATEGORIES) -> DataFrame:
+    """Records of a manifest whose columns go by several names; label by word, mask or path.
+
+    Relative paths lie below ``root``, which is the manifest's folder if not given; a mask that isn't there is NULL. A
+    category that isn't given is the first of ``categories`` in the image's path, else 'unknown'; ids begin with it. A
+    row without an image fails with its number, counted from 2 with the header as 1.
+    """
+    m = read_csv(spark, path).withColumn("__row", F.monotonically_increasing_id() + 2)  # quoted line ends: a file is read in one part
+    if not {c.lower() for c in m.columns} & set(IMAGE_COLUMNS):
+        raise ValueError(f"{path}: no column of {list(IMAGE_COLUMNS)}")
+    base = (root if root is not None else os.path.dirname(path)).rstrip("/") + "/"
+
+    def resolved(c: Column) -> Column:
+        home = F.concat(F.lit(os.path.expanduser("~")), F.substr(c, F.lit(2)))
+        return F.when(c.rlike("^~(/|$)"), home).when(c.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), c).otherwise(F.concat(F.lit(base), c))
+
+    given = text.first_value(m, IMAGE_COLUMNS)
+    image = resolved(F.coalesce(given, F.raise_error(F.concat(F.lit(f"{path}, row "), F.col("__row").cast("string"), F.lit(": no image path"))).cast("string")))
+    mask = resolved(text.first_value(m, ["mask_path", "gt_path", "ground_truth", "mask", "annotation"]))
+    label = text.label_value(text.first_value(m, ["label", "is_anomaly", "anomaly", "target", "defect"]), mask, image)
+    category = F.coalesce(text.first_value(m, ["category", "object", "object_type", "class", "cls"]), text.path_category(image, categories), F.lit("unknown"))
+    split = text.first_value(m, ["split", "phase", "subset", "set"])
+    sample = F.coalesce(text.first_value(m, ["sample_id", "id", "name"]), text.stem(image))
+    out = m.select(
+        F.lit(dataset).alias("dataset"), category.alias("category"), F.concat(category, F.lit("/"), sample).alias("sample_id"),
+        F.coalesce(text.split_name(split), split, text.path_split(image), F.lit("all")).alias("split"), image.alias("image_path"), label.cast("string").alias("label"), mask.alias("mask_path"),
         *[F.lit(None).cast("string").alias(c) for c in ("box_path", "template_path", "metadata_json")],
     )
+    return _without_missing(out, "mask_path")
 
 
 #: The known kinds of data set, by the name a configuration gives.
@@ -127,14 +164,20 @@ DATASETS = {"visa_pcb": image_records, "deeppcb": board_records, "manifest": man
 
 
 def dataset_from_config(spark: SparkSession, config: Mapping[str, object]) -> DataFrame:
-    """Records of the data set that ``config`` names: ``name``, ``root``, and for folder trees ``categories``."""
+    """Records of the data set that ``config`` names: ``name``, ``root``, and for folder trees and manifests ``categories``.
+
+    Of a manifest ``root`` is the file, or with ``manifest_csv`` for the file the folder of its relative paths; given
+    ``categories`` leave out all others.
+    """
     name = config.get("name")
     if name == "visa_pcb":
-        return image_records(spark, str(config["root"]), "visa_pcb", list(config.get("categories", ("pcb1", "pcb2", "pcb3", "pcb4"))))
+        return image_records(spark, str(config["root"]), "visa_pcb", list(config.get("categories", PCB_CATEGORIES)))
     if name == "deeppcb":
         return board_records(spark, str(config["root"]))
     if name == "manifest":
-        return manifest_records(spark, str(config["root"]), str(config.get("dataset", "manifest")))
+        root, file, wanted = str(config["root"]), config.get("manifest_csv"), config.get("categories")
+        out = manifest_records(spark, str(file or root), str(config.get("dataset", "manifest")), root if file else None, list(wanted or PCB_CATEGORIES))
+        return out.where(F.col("category").isin(list(wanted))) if wanted else out
     raise ValueError(f"unknown data set {name!r}; known are {sorted(DATASETS)}")
 
 
