@@ -113,6 +113,18 @@ def test_folder_scans(spark, tmp_path):
         files.dataset_from_config(spark, {"name": "other"})
 
 
+def test_boards_of_a_split_list(spark, tmp_path):
+    for p in ("g1/1_test.jpg", "g1/1.txt", "g2/2_test.jpg", "g2/3_test.jpg", "g2/4_test.jpg"):
+        (tmp_path / "d" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "d" / p).write_text("x")
+    (tmp_path / "list.txt").write_text(f"# boards\n\ng1/1.jpg g1_not/1.txt\n3_test.jpg\n{tmp_path}/d/g2/4_test.jpg\n")
+    config = {"name": "deeppcb", "root": str(tmp_path / "d"), "split": "val", "split_file": str(tmp_path / "list.txt")}
+    got = sorted((r.sample_id, r.category, r.split, r.label) for r in files.dataset_from_config(spark, config).collect())
+    assert got == [("1_test", "g1", "val", "1"), ("3_test", "g2", "val", "1"), ("4_test", "g2", "val", "1")]
+    every = files.dataset_from_config(spark, {"name": "deeppcb", "root": str(tmp_path / "d")}).collect()
+    assert len(every) == 4 and {(r.split, r.label) for r in every} == {("all", "1")}
+
+
 def test_manifests_by_any_of_their_names(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m/b.png").write_bytes(b"x")

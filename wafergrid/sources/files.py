@@ -91,11 +91,19 @@ def image_records(spark: SparkSession, root: str, dataset: str, categories: Sequ
     )
 
 
-def board_records(spark: SparkSession, root: str, dataset: str = "deeppcb") -> DataFrame:
-    """Records of boards with templates: test images, with the first template and annotation file that exist among the candidates."""
+def board_records(spark: SparkSession, root: str, dataset: str = "deeppcb", split: str = "all", split_file: str | None = None) -> DataFrame:
+    """Records of boards with templates: test images, with the first template and annotation file that exist among the candidates.
+
+    Every board counts as anomalous; its category is the parent folder. With a split list only images that it names by
+    stem, file name or path are kept (see ``read_split_list``); ``split`` is the name that the records get.
+    """
     images, notes = list_files(spark, root, ("jpg", "jpeg", "png", "bmp")), list_files(spark, root, ("txt",))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     test = images.where(text.looks_like_test(F.col("path"))).withColumn("folder", folder("path"))
+    if split_file is not None:
+        names = F.array(text.stem(F.col("path")), text.file_name(F.col("path")), "path", F.regexp_replace("path", "^file:(//)?", ""))
+        named = test.select("path", F.explode(F.array_distinct(names)).alias("sample_id")).join(read_split_list(spark, split_file), "sample_id").select("path")
+        test = test.join(named, "path", "left_semi")
     other = images.select(folder("path").alias("folder"), text.stem(F.col("path")).alias("s"), F.col("path").alias("found"))
 
     def first(candidates: Column, there: DataFrame, name: str) -> DataFrame:
@@ -109,8 +117,8 @@ def board_records(spark: SparkSession, root: str, dataset: str = "deeppcb") -> D
     boxes = first(near, notes.select(folder("path").alias("folder"), text.stem(F.col("path")).alias("s"), F.col("path").alias("found")), "box_path")
     out = test.join(templates, "path", "left").join(boxes, "path", "left")
     return out.select(
-        F.lit(dataset).alias("dataset"), F.lit(dataset).alias("category"), text.stem(F.col("path")).alias("sample_id"), F.lit("test").alias("split"), F.col("path").alias("image_path"),
-        F.when(F.col("box_path").isNotNull(), "1").otherwise("0").alias("label"), F.lit(None).cast("string").alias("mask_path"), "box_path", "template_path", F.lit(None).cast("string").alias("metadata_json"),
+        F.lit(dataset).alias("dataset"), text.file_name(F.col("folder")).alias("category"), text.stem(F.col("path")).alias("sample_id"), F.lit(split).alias("split"), F.col("path").alias("image_path"),
+        F.lit("1").alias("label"), F.lit(None).cast("string").alias("mask_path"), "box_path", "template_path", F.lit(None).cast("string").alias("metadata_json"),
     )
 
 
@@ -167,13 +175,14 @@ def dataset_from_config(spark: SparkSession, config: Mapping[str, object]) -> Da
     """Records of the data set that ``config`` names: ``name``, ``root``, and for folder trees and manifests ``categories``.
 
     Of a manifest ``root`` is the file, or with ``manifest_csv`` for the file the folder of its relative paths; given
-    ``categories`` leave out all others.
+    ``categories`` leave out all others. Boards take ``split`` and ``split_file``.
     """
     name = config.get("name")
     if name == "visa_pcb":
         return image_records(spark, str(config["root"]), "visa_pcb", list(config.get("categories", PCB_CATEGORIES)))
     if name == "deeppcb":
-        return board_records(spark, str(config["root"]))
+        listed = config.get("split_file")
+        return board_records(spark, str(config["root"]), split=str(config.get("split", "all")), split_file=str(listed) if listed else None)
     if name == "manifest":
         root, file, wanted = str(config["root"]), config.get("manifest_csv"), config.get("categories")
         out = manifest_records(spark, str(file or root), str(config.get("dataset", "manifest")), root if file else None, list(wanted or PCB_CATEGORIES))
