@@ -172,3 +172,14 @@ def test_support_banks_are_all_patches_of_some_samples_of_each_category(spark, m
         monkeypatch.setattr(vectors, "BROADCAST_BYTES", most)
         got = {r.patch_id: r.distance for r in vectors.nearest_distance(queries, bank, "patch_id", "bank_id", "features").collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_bootstrap_queries_draw_as_often_as_usual(spark, monkeypatch):
+    from wafergrid.plans import result_queries
+    from wafergrid.sources.config import ScoringParams
+
+    seen = []
+    monkeypatch.setattr(stats, "_checked", lambda confidence, samples: seen.append(samples))
+    for name in ("bootstrap_ci", "paired_bootstrap", "clustered_bootstrap"):
+        result_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [ScoringParams().bootstrap_samples] * 3

@@ -81,16 +81,16 @@ def baseline_comparisons(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, root: str) -> DataFrame:
-    return stats.bootstrap_ci(run_results(spark, root), ["method"], ["category", "k", "seed"], "price", samples=500)
+    return stats.bootstrap_ci(run_results(spark, root), ["method"], ["category", "k", "seed"], "price")
 
 
 def paired_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    return stats.paired_bootstrap(paired_cells(spark, root).where("label = 1"), ["category", "k"], ["seed", "sample_id"], "baseline", "candidate", samples=256)
+    return stats.paired_bootstrap(paired_cells(spark, root).where("label = 1"), ["category", "k"], ["seed", "sample_id"], "baseline", "candidate")
 
 
 def clustered_bootstrap(spark: SparkSession, root: str) -> DataFrame:
     c = paired_cells(spark, root).where("label = 1").withColumn("comparison", F.lit("candidate - baseline"))
-    return stats.clustered_bootstrap(c, ["comparison"], category="category", shot="k", seed="seed", sample="sample_id", baseline="baseline", candidate="candidate", samples=512)
+    return stats.clustered_bootstrap(c, ["comparison"], category="category", shot="k", seed="seed", sample="sample_id", baseline="baseline", candidate="candidate")
 
 
 def decision_rule(spark: SparkSession, root: str) -> DataFrame:
