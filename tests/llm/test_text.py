@@ -130,3 +130,14 @@ def test_coverage_rank_by_hand(spark):
     t = spark.createDataFrame([("k", ["a", "a", "b", "c"], 2)], "key string, words array<string>, n_sentences int")
     r = reading.coverage(t, spark.createDataFrame([("a", 1), ("b", 2)], "word string, rank int"), "key", params).first()
     assert [round(2.718281828459045 ** v, 6) for v in (r.x0, r.x1, r.x2)] == [1, 3, 2]
+
+
+def test_words_beyond_those_broadcast_have_ranks_of_their_own(spark):
+    params = reading.LevelParams(vocabulary=2, shares=(0.5, 0.9))
+    words = {"k": ["a"] * 9 + ["b"] * 8, "rare": ["a", "f", "f", "g", "g"], "rarer": ["b", "c", "h", "i"], "new": ["z"]}
+    t = spark.createDataFrame([(k, w, 1) for k, w in words.items()], "key string, words array<string>, n_sentences int")
+    seen = t.where("key <> 'new'")
+    ranks = reading.ranked_words(seen, params)
+    assert {r.word: r["rank"] for r in ranks.collect()} == {"a": 1, "b": 2, "f": 3, "g": 4, "c": 5, "h": 6, "i": 7}
+    got = {r.key: (round(2.718281828459045**r.x0), round(2.718281828459045**r.x1)) for r in reading.coverage(t, ranks, "key", params).collect()}
+    assert got == {"k": (1, 2), "rare": (3, 4), "rarer": (5, 7), "new": (8, 8)}

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wafergrid.functions.paths import once
+from wafergrid.session import written
 
 #: Frequent function words of plain letters, by which English prose is told from German.
 ENGLISH = "a an and are as at be because been but by for from has have if in into is it its no not of on or that the their then this to was we when where which who whom whose with you".split()
@@ -64,23 +65,35 @@ def measured(texts: DataFrame, key: str, text: str, params: LevelParams) -> Data
 
 
 def ranked_words(texts: DataFrame, params: LevelParams) -> DataFrame:
-    """(word, rank): the most frequent words of all texts, 1 the most frequent; equal counts in alphabetical order."""
+    """(word, rank): all words of all texts, 1 the most frequent; equal counts in alphabetical order. Sorted in ranges, which are numbered one after the other."""
     counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(params.vocabulary)  # of each partition only so many rows move
-    return top.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"))
+    placed = written(counts.orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("id")), "sorted_words")
+    part = F.shiftright("id", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before.alias("before"))
+    within = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("word", (F.col("before") + within + 1).cast("int").alias("rank"))
 
 
 def coverage(texts: DataFrame, ranks: DataFrame, key: str, params: LevelParams) -> DataFrame:
     """(key, x0, x1, ...): log of the smallest rank that covers each share of the tokens, and of the words per sentence.
 
     ``texts``: key, words, n_sentences. A text without words has no row. The texts are dealt by key once; counting,
-    ranking and covering follow without another shuffle.
+    ranking and covering follow without another shuffle, unless there are more words than are broadcast: then the
+    counts of all others, none of them frequent, meet their ranks by word. Words without a rank come last.
     """
+    last = ranks.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
     dealt = texts.repartition(key)
     words = dealt.select(key, F.size("words").alias("n_words"), "n_sentences", F.explode("words").alias("word"))
     counts = words.groupBy(key, "n_words", "n_sentences", "word").agg(F.count("*").alias("n"))
-    rank = F.coalesce("rank", F.lit(params.vocabulary + 1))
-    counts = counts.join(F.broadcast(ranks), "word", "left").groupBy(key, "n_words", "n_sentences", rank.alias("rank")).agg(F.sum("n").alias("n"))
+    counts = counts.join(F.broadcast(ranks.where(F.col("rank") <= params.vocabulary)), "word", "left")
+    if last > params.vocabulary:
+        ranked = counts.where("rank is not null")
+        rest = counts.where("rank is null").drop("rank").join(ranks.where(F.col("rank") > params.vocabulary), "word", "left")
+        counts = ranked.unionByName(rest)
+    rank = F.coalesce("rank", F.lit(max(params.vocabulary, last) + 1))
+    counts = counts.groupBy(key, "n_words", "n_sentences", rank.alias("rank")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(key).orderBy("rank"))
     covered = counts.withColumn("upto", upto)
     at = [F.log(F.min(F.when(F.col("upto") >= s * F.col("n_words"), F.col("rank"))).cast("double")).alias(f"x{i}") for i, s in enumerate(params.shares)]
