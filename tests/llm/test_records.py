@@ -20,14 +20,35 @@ def test_percentiles_equal_sorting_for_any_cut_of_the_rows(spark):
     ps = (0.01, 0.5, 0.9, 1.0)
     want = {(g, p): sorted(vs)[max(1, math.ceil(p * len(vs))) - 1] for g, vs in data.items() for p in ps}
     days = percentiles.summarize(_points(spark, rows), ["g"], "part", "v", bits=None)
-    for least in (1, 64, 10_000):
-        got = percentiles.multi_select(percentiles.merge([days], ["g"]), ["g"], ps, sorted_rows=least)
+    for cell_rows, halvings in ((8, 1), (64, 3), (10_000, 5)):
+        got = percentiles.multi_select(percentiles.merge([days], ["g"]), ["g"], ps, cell_rows=cell_rows, halvings=halvings)
         assert {(r.g, r.p): r.value for r in got.collect()} == want
     early, late = days.where("part < '2'"), days.where("part >= '2'")
     got = percentiles.multi_select(percentiles.merge([early, late], ["g"]), ["g"], ps)
     assert {(r.g, r.p): r.value for r in got.collect()} == want
 
 
+def test_summaries_of_days_are_saved_and_added_to(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [("g" if i % 3 else "h", str(i % 7), float(v)) for i, v in enumerate(rng.normal(size=700))]
+    store, df = f"file://{tmp_path}/store", _points(spark, rows)
+    assert percentiles.saved_summaries(spark, store) is None
+    later = spark.newSession()
+    for name, some in (("monday", "part < '4'"), ("tuesday", "part >= '4'"), ("monday", "part < '4'")):  # a delivery that comes again counts once
+        percentiles.save_summary(percentiles.summarize(df.where(some), ["g"], "part", "v", bits=None), store, name)
+    got = percentiles.multi_select(percentiles.merge([percentiles.saved_summaries(later, store)], ["g"]), ["g"], [0.5])
+    want = {g: sorted(v for a, _, v in rows if a == g) for g in "gh"}
+    assert {r.g: (r.n_values, r.value) for r in got.collect()} == {g: (len(v), v[math.ceil(len(v) / 2) - 1]) for g, v in want.items()}
+
+
+def test_a_hot_group_is_spread_over_cells(spark):
+    df = spark.range(200_000).select(F.lit("hot").alias("g"), F.lit("0").alias("part"), (F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    points = percentiles.merge([percentiles.summarize(df, ["g"], "part", "v", bits=None)], ["g"])
+    got = percentiles.multi_select(points, ["g"], [0.5, 0.999], cell_rows=4_096).collect()
+    want = sorted(i * 7919 % 200_003 for i in range(200_000))
+    assert {r.p: r.value for r in got} == {0.5: want[99_999], 0.999: want[199_799]}
+
+
 def test_rounding_keeps_its_bound(spark):
     v = [0.0, 1.0, -3.7, 0.25, 1e-300, 123456789.123, 0.2499999]
     df = spark.createDataFrame([(x,) for x in v], "v double")
@@ -42,25 +63,48 @@ def test_percentiles_of_nothing(spark):
         percentiles.multi_select(none.drop("part"), ["g"], [0.0])
 
 
-def _batch(spark, keys):
-    df = spark.createDataFrame([("g", k) for k in keys] + [("g", None), ("other", "z")], "g string, k string")
+def _batch(spark, keys, step):
+    df = spark.createDataFrame([("g", k) for k in keys] + [("g", None), ("other", "z")], "g string, k string").withColumn("step", F.lit(step))
     return df.withColumn("priority", ledger.priority(F.lit(5), F.coalesce("k", F.lit(""))))
 
 
+def _quota(spark, n):
+    return spark.createDataFrame([("g", n), ("g", None)], "g string, quota int")
+
+
 def test_ledger_keeps_what_it_holds_and_grows(spark):
-    quota = lambda n: spark.createDataFrame([("g", n)], "g string, quota int")
-    first = ledger.extend_ledger(None, _batch(spark, map(str, range(50))), quota(4), ["g"], "k", step=1, largest_quota=4)
-    again = ledger.extend_ledger(None, _batch(spark, [str(i) for i in reversed(range(50))] * 2).repartition(7), quota(4), ["g"], "k", step=1, largest_quota=4)
+    first = ledger.extend_ledger(None, _batch(spark, map(str, range(50)), 1), _quota(spark, 4), ["g"], "k")
+    again = ledger.extend_ledger(None, _batch(spark, [str(i) for i in reversed(range(50))] * 2, 1).repartition(7), _quota(spark, 4), ["g"], "k")
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) and first.count() == 4
-    same = ledger.extend_ledger(first, _batch(spark, map(str, range(200))), quota(4), ["g"], "k", step=2, largest_quota=4)
+    same = ledger.extend_ledger(first, _batch(spark, map(str, range(200)), 2), _quota(spark, 4), ["g"], "k")
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, first.collect()))
-    more = ledger.extend_ledger(first, _batch(spark, map(str, range(200))), quota(9), ["g"], "k", step=3, largest_quota=9)
+    more = ledger.extend_ledger(first, _batch(spark, map(str, range(200)), 3), _quota(spark, 9), ["g"], "k")
     assert more.count() == 9 and more.join(first, ["g", "k"]).count() == 4
     assert sorted(r.place for r in more.collect()) == list(range(1, 10))
-    less = ledger.extend_ledger(more, _batch(spark, ["new"]), quota(2), ["g"], "k", step=4, largest_quota=9)
+    less = ledger.extend_ledger(more, _batch(spark, ["new"], 4), _quota(spark, 2), ["g"], "k")
     assert less.count() == 9
 
 
+def test_deliveries_at_once_or_one_by_one(spark):
+    a, b = _batch(spark, map(str, range(6)), 1), _batch(spark, map(str, range(3, 40)), 2)
+    one = ledger.extend_ledger(ledger.extend_ledger(None, a, _quota(spark, 9), ["g"], "k"), b, _quota(spark, 9), ["g"], "k")
+    both = ledger.extend_ledger(None, b.unionByName(a), _quota(spark, 9), ["g"], "k")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, both.collect()))
+
+
+def test_a_late_record_of_an_early_delivery_displaces_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    assert ledger.saved_ledger(spark, path) is None
+    early = ledger.extend_saved_ledger(path, _batch(spark, map(str, range(20)), 2), _quota(spark, 5), ["g"], "k").collect()
+    late = _batch(spark, [f"late{i}" for i in range(50)], 1)
+    assert sorted(ledger.extend_saved_ledger(path, late, _quota(spark, 5), ["g"], "k").collect()) == sorted(early)
+    other = spark.newSession()
+    grown = ledger.extend_saved_ledger(path, late.unionByName(_batch(spark, ["x"], 3)), _quota(spark, 8), ["g"], "k")
+    kept = sorted(map(tuple, ledger.saved_ledger(other, path).collect()))
+    assert kept == sorted(map(tuple, grown.collect())) and set(map(tuple, early)) <= set(kept)
+    assert [r[1][:4] for r in sorted(kept, key=lambda r: r[3])[5:]] == ["late"] * 3
+
+
 def _vectors(spark, spaces):
     rows = [(s, i, [float(x) for x in v]) for s, items in spaces.items() for i, v in items]
     return spark.createDataFrame(rows, "space string, id long, vec array<float>")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wafergrid.llm.ledger import extend_ledger, priority
+from wafergrid.llm.ledger import extend_saved_ledger, priority
 from wafergrid.llm.overlaps import split_side, with_sample_key
-from wafergrid.llm.percentiles import merge, multi_select, summarize
-from wafergrid.session import written
+from wafergrid.llm.percentiles import finite, merge, multi_select, save_summary, saved_summaries, summarize
+from wafergrid.session import scratch_path
 from wafergrid.sources.tables import table
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.995)
@@ -16,61 +16,58 @@ BITS = 10  # values are off by at most 2**-10 of their size
 GROUP = ("scope", "group_key", "measure")
 
 
-def _measured(spark: SparkSession, root: str) -> DataFrame:
-    """(scope, group_key, measure, day, value): each calibration once a scope and measure; counts must be positive.
+def _measured(spark: SparkSession, root: str, bits: int | None) -> DataFrame:
+    """(scope, group_key, measure, day, value): each calibration once a scope and measure, values rounded to ``bits``; counts must be positive.
 
     Quantiles written as percent are divided by 100, and differences beyond six digits are dropped.
     """
     rows = table(spark, root, "normal_thresholds").select("calib_id", "run_id", "quantile", "threshold", "num_pixels", F.to_date("fitted_at").alias("day")).distinct()
     runs = table(spark, root, "run_specs").groupBy("run_id").agg(F.min("category").alias("category"))
     q = F.round(F.when(F.col("quantile") > 1, F.col("quantile") / 100).otherwise(F.col("quantile")), 6)
-    rows = rows.join(runs, "run_id", "left").withColumn("q", q)
-    counted = F.when(F.col("num_pixels") > 0, F.col("num_pixels")).cast("double")
-    rows = rows.withColumn("t", F.col("threshold").cast("double")).withColumn("px", counted)
+    counted = F.when(F.col("num_pixels") > 0, F.col("num_pixels"))
+    rows = rows.select("run_id", "day", q.alias("q"), finite(F.col("threshold"), bits).alias("t"), finite(counted, bits).alias("px")).join(runs, "run_id", "left")
     kinds = F.expr("array(struct('run' AS scope, run_id AS group_key), struct('category_quantile' AS scope, concat(category, '/', CASE WHEN q IS NOT NULL THEN format_string('%.6f', q) END) AS group_key))")
     measures = F.expr("array(struct('threshold' AS measure, t AS value), struct('num_pixels' AS measure, px AS value))")
-    out = rows.select("day", F.explode(kinds).alias("k"), measures.alias("ms")).select("day", "k", F.explode("ms").alias("m"))
-    return out.select("k.scope", "k.group_key", "m.measure", "day", "m.value").where("group_key is not null")
+    out = rows.select("day", F.explode(kinds).alias("k"), measures.alias("ms")).where("k.group_key is not null").select("day", "k", F.explode("ms").alias("m"))
+    return out.select("k.scope", "k.group_key", "m.measure", "day", "m.value")
+
+
+def _saved(spark: SparkSession, root: str, bits: int | None) -> DataFrame:
+    """The day summaries of the data folder, saved to a store of their own and read from there."""
+    store = scratch_path(spark, "day_summaries")
+    save_summary(summarize(_measured(spark, root, bits), GROUP, "day", "value", bits=None), store, "all")
+    return saved_summaries(spark, store)
 
 
 def p1_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    days = written(summarize(_measured(spark, root), GROUP, "day", "value", bits=BITS), "days")
-    found = multi_select(merge([days], GROUP), GROUP, PERCENTILES)
+    found = multi_select(merge([_saved(spark, root, BITS)], GROUP), GROUP, PERCENTILES)
     return found.withColumn("relative_bound", F.lit(2.0**-BITS))
 
 
 def p1_exact_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """The same of summaries without rounding."""
-    days = summarize(_measured(spark, root), GROUP, "day", "value", bits=None)
-    return multi_select(merge([days], GROUP), GROUP, PERCENTILES)
+    return multi_select(merge([_saved(spark, root, None)], GROUP), GROUP, PERCENTILES)
 
 
 def p1_day_summary_report(spark: SparkSession, root: str) -> DataFrame:
     """How small the summaries are."""
-    days = summarize(_measured(spark, root), GROUP, "day", "value", bits=BITS)
+    days = summarize(_measured(spark, root, BITS), GROUP, "day", "value", bits=None)
     return days.groupBy("scope", "measure").agg(F.count("*").alias("n_summary_rows"), F.sum("n").alias("n_values"), F.countDistinct("day").alias("n_days"))
 
 
 def _support_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The ledger of each category and seed after all batches, and the runs. Runs of a category and seed share it: a run has its first k places."""
+    """The ledger of each category and seed after all batches, and the runs. Runs of a category and seed share it: a run has its first k places.
+
+    The ledger saved at the path in the setting ``spark.wafergrid.ledger`` is read and extended; without the setting a new one begins.
+    """
     runs = table(spark, root, "run_specs").select("run_id", "category", "k", "seed").where("k is not null and seed is not null").distinct()
     quotas = runs.groupBy("category", "seed").agg(F.max("k").alias("quota"))
     records = table(spark, root, "dataset_records").where((split_side(F.col("split")) == "train") & (F.col("label") == 0) & F.col("category").isNotNull())
     keyed = with_sample_key(records.select("category", "sample_id", "batch_no"), "sample_id", "sample_key").where("sample_key is not null and batch_no is not null")
-    seen = written(keyed.groupBy("category", "sample_key").agg(F.min("batch_no").alias("batch_no")), "samples")
+    seen = keyed.groupBy("category", "sample_key").agg(F.min("batch_no").alias("step"))
     seeded = seen.join(quotas.select("category", "seed"), "category").withColumn("priority", priority(F.col("seed"), F.col("sample_key")))
-    largest = quotas.agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
-    batches = [r[0] for r in seen.select("batch_no").distinct().orderBy("batch_no").collect()]  # one number a delivery
-    ledger = None
-    for batch in batches:
-        arrived = seeded.where(F.col("batch_no") == batch)
-        ledger = extend_ledger(ledger, arrived, quotas, ("category", "seed"), "sample_key", step=batch, largest_quota=largest)
-        held = ledger.groupBy("category", "seed").agg(F.count("*").alias("held"))
-        if not quotas.join(held, ["category", "seed"], "left").where("quota > coalesce(held, 0)").limit(1).count():
-            break  # every quota is filled: later deliveries can't change the ledger
-    if ledger is None:
-        ledger = spark.createDataFrame([], "category string, seed int, sample_key string, step int, place long, priority string")
-    return ledger, runs
+    path = spark.conf.get("spark.wafergrid.ledger", None) or scratch_path(spark, "support_ledger")
+    return extend_saved_ledger(path, seeded, quotas, ("category", "seed"), "sample_key"), runs
 
 
 def p3_support(spark: SparkSession, root: str) -> DataFrame:
