@@ -143,6 +143,39 @@ def test_neighbours_of_uneven_clusters_and_copies(spark):
     assert hits >= 0.9 and got[2003] == want[2003] and got[5001] == want[5001]
 
 
+def _share_found(spark, v, spaces, asked, params):
+    got: dict[int, set] = {}
+    for r in neighbors.nearest(v, v.where(F.col("id").isin(*asked)), 5, params).collect():
+        got.setdefault(r["query"], set()).add(r.neighbor)
+    want = _brute(spaces, asked, 5)
+    assert got.keys() == want.keys() and all(len(got[q]) == 5 for q in got)
+    return sum(len(got[q] & set(want[q])) for q in want) / (5 * len(want))
+
+
+def test_neighbours_where_few_lists_are_read(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(40, 16))
+    spaces = {"s": [(i, centres[min(39, int(rng.exponential(8)))] + rng.uniform(0.1, 0.6) * rng.normal(size=16)) for i in range(6000)]}
+    v = _vectors(spark, spaces).cache()
+    asked = set(range(0, 6000, 60))
+    whole = neighbors.ListParams(list_rows=12, least_sample=2_000)
+    fitted = neighbors.fit_spaces(v, whole)
+    lists = len(fitted["s"].centroids)
+    read = neighbors.probes(v.where(F.col("id").isin(*asked)), fitted, whole).count() / len(asked) / lists
+    assert lists > 300 and read < 0.2 and _share_found(spark, v, spaces, asked, whole) >= 0.95
+    divided = neighbors.ListParams(list_rows=60, top_lists=8, least_sample=600)
+    assert (neighbors.fit_spaces(v, divided)["s"].leaves > 1).any() and _share_found(spark, v, spaces, asked, divided) >= 0.95
+
+
+def test_neighbours_in_parts_of_long_lists(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    spaces = {"s": [(i, rng.normal(size=8)) for i in range(1500)]}
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 300)
+    params = neighbors.ListParams(list_rows=500, least_sample=1_500)
+    v = _vectors(spark, spaces)
+    assert (neighbors.fit_spaces(v, params)["s"].parts > 1).all() and _share_found(spark, v, spaces, {1, 2, 3, 700}, params) == 1
+
+
 def test_neighbours_of_nothing(spark):
     v = _vectors(spark, {})
     assert neighbors.nearest(v, v, 5).collect() == []
@@ -161,9 +194,9 @@ def test_graph_finds_the_nearest_centroids():
     g, hits = neighbors.CentroidGraph(c), 0
     for q in c[:50] + 0.05 * rng.normal(size=(50, 12)).astype(np.float32):
         q = q / np.linalg.norm(q)
-        ids, d = g.search(q, 16)
-        assert (np.diff(d) >= 0).all()
-        hits += len(set(ids[:8]) & set(np.argsort(-(c @ q))[:8]))
+        ids, d = g.search(q[None], 16)
+        assert (np.diff(d[0]) >= 0).all()
+        hits += len(set(ids[0, :8]) & set(np.argsort(-(c @ q))[:8]))
     assert hits / 400 > 0.95
 
 
