@@ -107,18 +107,23 @@ def measured(spark):
         ("log", "threshold: 0.28 quantile=0.995 pixels=46 retry 1 " * 9), ("null", None), ("empty", ""), ("blank", " \n\t"), ("markup", f"<p>{HARD}</p>​<p>{HARD}</p>"), ("short", "The board."),
     ]
     params = reading.LevelParams(vocabulary=500)
-    return params, reading.measured(spark.createDataFrame(rows, "key string, text string"), "key", "text", params).cache()
+    label = F.when(F.col("key").isin("e3", "h1"), False).when(F.col("key") != "markup", F.col("key") != "german")  # two of them are wrong, one is missing
+    texts = spark.createDataFrame(rows, "key string, text string").withColumn("en", label)
+    return params, reading.measured(texts, "key", "text", params, "en").cache()
 
 
 def test_prose(measured):
-    prose = {r.key: r.prose for r in measured[1].collect()}
-    assert {k for k, v in prose.items() if not v} == {"german", "log", "null", "empty", "blank", "short"}
+    params, texts = measured
+    form = {r.key: r.prose for r in texts.collect()}
+    assert {k for k, v in form.items() if not v} == {"log", "null", "empty", "blank", "short"}
+    told = {r.key: r.english for r in reading.coverage(texts.where("prose"), reading.ranked_words(texts, "en"), "key", params).collect()}
+    assert {k for k, v in told.items() if not v} == {"german"} and told.keys() == {k for k, v in form.items() if v}
 
 
 def test_levels_judge_the_body(spark, measured):
     params, texts = measured
-    ranks = reading.ranked_words(texts, params)
-    x = reading.coverage(texts.where("prose"), ranks, "key", params)
+    ranks = reading.ranked_words(texts, "en")
+    x = reading.coverage(texts.where("prose and key <> 'german'"), ranks, "key", params)
     labels = spark.createDataFrame([(f"e{i}", 1 if i else 5) for i in range(10)] + [(f"h{i}", 5) for i in range(5)], "key string, level int")
     got = {r.key: r.level for r in reading.with_level(x, reading.calibrated(x.join(labels, "key"), "level", params), params).collect()}
     assert got["trap"] == 1 and got["mostly_hard"] == 5 and got["markup"] == 5 and got["e15"] == 1
@@ -128,7 +133,7 @@ def test_levels_judge_the_body(spark, measured):
 def test_coverage_rank_by_hand(spark):
     params = reading.LevelParams(vocabulary=2, shares=(0.5, 0.9))
     t = spark.createDataFrame([("k", ["a", "a", "b", "c"], 2)], "key string, words array<string>, n_sentences int")
-    r = reading.coverage(t, spark.createDataFrame([("a", 1), ("b", 2)], "word string, rank int"), "key", params).first()
+    r = reading.coverage(t, spark.createDataFrame([("a", 1, 0.0), ("b", 2, 0.0)], "word string, rank int, weight double"), "key", params).first()
     assert [round(2.718281828459045 ** v, 6) for v in (r.x0, r.x1, r.x2)] == [1, 3, 2]
 
 
@@ -137,7 +142,7 @@ def test_words_beyond_those_broadcast_have_ranks_of_their_own(spark):
     words = {"k": ["a"] * 9 + ["b"] * 8, "rare": ["a", "f", "f", "g", "g"], "rarer": ["b", "c", "h", "i"], "new": ["z"]}
     t = spark.createDataFrame([(k, w, 1) for k, w in words.items()], "key string, words array<string>, n_sentences int")
     seen = t.where("key <> 'new'")
-    ranks = reading.ranked_words(seen, params)
+    ranks = reading.ranked_words(seen.withColumn("en", F.lit(None).cast("boolean")), "en")
     assert {r.word: r["rank"] for r in ranks.collect()} == {"a": 1, "b": 2, "f": 3, "g": 4, "c": 5, "h": 6, "i": 7}
     got = {r.key: (round(2.718281828459045**r.x0), round(2.718281828459045**r.x1)) for r in reading.coverage(t, ranks, "key", params).collect()}
     assert got == {"k": (1, 2), "rare": (3, 4), "rarer": (5, 7), "new": (8, 8)}

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wafergrid.llm.reading import LevelParams, calibrated, coverage, measured, ranked_words, with_level
-from wafergrid.session import shuffle_width, written
+from wafergrid.llm.text_queries import spread
+from wafergrid.session import written
 from wafergrid.sources.tables import table
 
 PARAMS = LevelParams()
 
 
-def _levels(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, x0, ..., level) of each English prose text. Passages are told from documents by their sign of key."""
-    docs = table(spark, root, "documents").select("doc_id", "text").where("doc_id is not null").repartition(shuffle_width(spark), "doc_id")
-    docs = written(measured(docs, "doc_id", "text", PARAMS), "words")
+def labelled_english(lang: Column) -> Column:
+    """Whether a label names English, however it is written ('en', 'EN', 'eng', ...); NULL where there is none or it is undetermined."""
+    name = F.lower(F.trim(lang))
+    return F.when((name != "") & (name != "und"), F.startswith(name, F.lit("en")))
+
+
+def _measures(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(key, x0, ...) of each passage ('p' and its number) and each English prose text ('d' and its number), and (key, kind, reading_level) of the labels."""
+    docs = spread(table(spark, root, "documents").select("doc_id", "text", labelled_english(F.col("lang")).alias("en")).where("doc_id is not null"))
+    docs = written(measured(docs, "doc_id", "text", PARAMS, "en"), "words")
     given = table(spark, root, "level_passages").where("reading_level is not null").distinct()
     passages = measured(given, "passage_id", "passage", PARAMS).select(F.concat(F.lit("p"), "passage_id").alias("key"), "words", "n_sentences")
     prose = docs.where("prose").select(F.concat(F.lit("d"), "doc_id").alias("key"), "words", "n_sentences")
-    ranks = written(ranked_words(docs, PARAMS), "ranks")
-    measures = written(coverage(prose.unionByName(passages), ranks, "key", PARAMS), "measures")
+    ranks = written(ranked_words(docs, "en"), "ranks")
+    measures = written(coverage(prose.unionByName(passages), ranks, "key", PARAMS).where("english or key like 'p%'").drop("english"), "measures")
 
     rated = table(spark, root, "doc_labels").where("reading_level is not null").select("doc_id", "rater", "reading_level").distinct()
-    labels = rated.orderBy(F.md5(F.concat_ws("/", "doc_id", "rater"))).limit(PARAMS.labelled).select(F.concat(F.lit("d"), "doc_id").alias("key"), "reading_level")
-    labels = labels.unionByName(given.select(F.concat(F.lit("p"), "passage_id").alias("key"), "reading_level"))
+    labels = rated.orderBy(F.md5(F.concat_ws("/", "doc_id", "rater"))).limit(PARAMS.labelled).select(F.concat(F.lit("d"), "doc_id").alias("key"), F.lit("document").alias("kind"), "reading_level")
+    return measures, labels.unionByName(given.select(F.concat(F.lit("p"), "passage_id").alias("key"), F.lit("passage").alias("kind"), "reading_level"))
+
+
+def _levels(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, x0, ..., level) of each English prose text. Passages are told from documents by their sign of key."""
+    measures, labels = _measures(spark, root)
     calibration = calibrated(measures.join(labels, "key"), "reading_level", PARAMS)
     mine = measures.where(F.startswith("key", F.lit("d"))).withColumn("doc_id", F.expr("cast(substr(key, 2) as bigint)")).drop("key")
     return with_level(mine, calibration, PARAMS)
@@ -35,15 +47,27 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_levels(spark: SparkSession, root: str) -> DataFrame:
+    """Each document; what isn't English prose has NULL for its level."""
     ranks = [F.round(F.exp(f"x{i}")).cast("long").alias(f"rank_{round(100 * s)}") for i, s in enumerate(PARAMS.shares)]
-    return _levels(spark, root).select("doc_id", "level", *ranks, F.round(F.exp(f"x{len(ranks)}"), 3).alias("words_a_sentence"))
+    levels = _levels(spark, root).select("doc_id", "level", *ranks, F.round(F.exp(f"x{len(ranks)}"), 3).alias("words_a_sentence"))
+    return table(spark, root, "documents").select("doc_id").where("doc_id is not null").join(levels, "doc_id", "left")
 
 
 def p8_level_profile(spark: SparkSession, root: str) -> DataFrame:
-    """How many English prose texts of each level a source has."""
-    docs = table(spark, root, "documents").select("doc_id", "source")
-    return docs.join(_levels(spark, root).select("doc_id", "level"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("n_docs"))
+    """How many texts of each level a source has; those without a level are no English prose."""
+    docs = table(spark, root, "documents").select("doc_id", "source").where("doc_id is not null")
+    return docs.join(_levels(spark, root).select("doc_id", "level"), "doc_id", "left").groupBy("source", "level").agg(F.count("*").alias("n_docs"))
+
+
+def p8_heldout_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    """How well levels agree with raters' opinions that took no part in the calibration: those of a fifth of the rated documents, by hash."""
+    measures, labels = _measures(spark, root)
+    held = (F.col("kind") == "document") & (F.pmod(F.xxhash64("key"), F.lit(5)) == 0)
+    calibration = calibrated(measures.join(labels.where(~held), "key"), "reading_level", PARAMS)
+    judged = with_level(measures.join(labels.where(held), "key"), calibration, PARAMS)
+    off = F.abs(F.col("level") - F.col("reading_level"))
+    return judged.agg(F.count("*").alias("n_opinions"), F.round(F.avg((off == 0).cast("int")), 4).alias("same"), F.round(F.avg((off <= 1).cast("int")), 4).alias("within_one"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_levels": p8_levels, "p8_level_profile": p8_level_profile}
+QUERIES = {"p8_found": p8_found, "p8_levels": p8_levels, "p8_level_profile": p8_level_profile, "p8_heldout_accuracy": p8_heldout_accuracy}
 ORACLE: dict[str, str] = {}

@@ -6,6 +6,10 @@ for specialists need rare ones. A rare word dropped into a plain text moves no s
 four fifths judge the body as a whole. These coverage ranks and the words per sentence (on log scales) are calibrated
 in SQL on labelled texts: by level the median and the spread between the quartiles, which raters' errors hardly move;
 a text gets the level under which its measures are likeliest.
+
+Whether a text is English is learned as well: how often each word occurs in texts that are labelled English and in texts
+labelled otherwise gives it a weight (the log of the odds), and the weights of a text's words are added up. Wrong labels
+are outnumbered, as each word is judged by all texts of the corpus. Prose is told by its form alone.
 """
 
 from __future__ import annotations
@@ -19,21 +23,13 @@ from pyspark.sql import functions as F
 from wafergrid.functions.paths import once
 from wafergrid.session import written
 
-#: Frequent function words of plain letters, by which English prose is told from German.
-ENGLISH = "a an and are as at be because been but by for from has have if in into is it its no not of on or that the their then this to was we when where which who whom whose with you".split()
-GERMAN = "aber als auch am auf aus bei bitte das dem den der des die ein eine einem einen einer es im ist mit nach nicht sich sie sind sodass und von vor weil werden wird wurde zu zum zur".split()
-
-#: Ends of words that mark English where function words are lacking.
-ENGLISH_ENDS = "ly ity ous ing ates ises izes ness sis ics als".split()
-
 WORD = r"(?<![\p{L}\p{N}_])[a-z]+(?:[-'’][a-z]+)*(?![\p{L}\p{N}_])"
 PURE = r"(?<!\S)[(\[\"'“‘]*\p{L}+(?:[-'’]\p{L}+)*[.,;:!?)\]\"'”’]*(?!\S)"
 
 
 @dataclass(frozen=True)
 class LevelParams:
-    """``vocabulary``: so many words of the corpus get a rank of their own (a table that is broadcast), all others the next
-    one. ``shares``: covered shares of the tokens. ``labelled``: at most so many labelled rows calibrate. ``least_spread`` and
+    """``vocabulary``: the ranks of so many words are broadcast, all others meet theirs by word. ``shares``: covered shares of the tokens. ``labelled``: at most so many labelled rows calibrate. ``least_spread`` and
     ``least_pace_spread``: spreads below it count as so much; the wide one lets sentence length decide only where coverage
     doesn't, as run-on sentences of plain words and terse ones of rare words both occur. ``pure`` and ``least_words``: prose has at least this share of plain words among
     what blanks separate, and so many words."""
@@ -47,41 +43,43 @@ class LevelParams:
     least_words: int = 5
 
 
-def measured(texts: DataFrame, key: str, text: str, params: LevelParams) -> DataFrame:
-    """(key, words ARRAY<STRING>, n_sentences, prose BOOLEAN): tags, control characters and zero-width characters count as nothing. NULL texts have no words."""
+def measured(texts: DataFrame, key: str, text: str, params: LevelParams, *keep: str) -> DataFrame:
+    """(key, keep..., words ARRAY<STRING>, n_sentences, prose BOOLEAN): tags, control characters and zero-width characters count as nothing. NULL texts have no words. ``prose`` tells by the form, whatever the language."""
     bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"<[^<>]{1,80}>", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[\p{Cf}]", ""), r"\p{Cc}", " ")
-    df = once(texts.select(key, text), "__t", F.lower(bare)).drop(text)
-    t, ends = F.col("__t"), r"\p{L}(?:" + "|".join(ENGLISH_ENDS) + r")(?!\p{L})"
+    df = once(texts.select(key, *keep, text), "__t", F.lower(bare)).drop(text)
+    t = F.col("__t")
     df = df.select(
-        key, "__t", F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"), F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"[.!?](?=\s|$)"))).alias("n_sentences"),
+        key, *keep, F.regexp_extract_all(t, F.lit(WORD), 0).alias("words"), F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"[.!?](?=\s|$)"))).alias("n_sentences"),
         F.regexp_count(t, F.lit(r"\S+")).alias("__n"), F.regexp_count(t, F.lit(PURE)).alias("__pure"),
     )
-    among = lambda names: F.size(F.filter("words", lambda w: w.isin(*names)))
-    df = df.withColumn("__en", among(ENGLISH)).withColumn("__de", among(GERMAN))
-    english = F.when(F.col("__en") > F.col("__de"), True).otherwise(F.col("__en") + F.regexp_count(t, F.lit(ends)) > F.col("__de"))  # the ends are looked at only where words don't tell
-    prose = (F.size("words") >= params.least_words) & (F.size("words") >= params.pure * F.col("__n")) & (F.col("__pure") >= params.pure * F.col("__n")) & english
-    return df.select(key, "words", "n_sentences", prose.alias("prose"))
+    prose = (F.size("words") >= params.least_words) & (F.size("words") >= params.pure * F.col("__n")) & (F.col("__pure") >= params.pure * F.col("__n"))
+    return df.select(key, *keep, "words", "n_sentences", prose.alias("prose"))
 
 
-def ranked_words(texts: DataFrame, params: LevelParams) -> DataFrame:
-    """(word, rank): all words of all texts, 1 the most frequent; equal counts in alphabetical order. Sorted in ranges, which are numbered one after the other."""
-    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    placed = written(counts.orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("id")), "sorted_words")
+def ranked_words(texts: DataFrame, english: str) -> DataFrame:
+    """(word, rank, weight): all words of all texts. Rank 1 is the most frequent, equal counts in alphabetical order; sorted in ranges, which are numbered one after the other.
+
+    ``weight``: log of the odds that a text with the word has a true ``english``, by its tokens in texts where it is true
+    and false, one added to each. Texts where it is NULL count for the ranks only.
+    """
+    counts = texts.select(F.explode("words").alias("word"), F.col(english).alias("e")).groupBy("word").agg(F.count("*").alias("n"), F.count_if("e").alias("yes"), F.count_if(~F.col("e")).alias("no"))
+    placed = written(counts.orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("id"), "yes", "no"), "sorted_words")
+    weight = F.log((F.col("yes") + 1) / (F.col("no") + 1))
     part = F.shiftright("id", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a range
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))
     within = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("word", (F.col("before") + within + 1).cast("int").alias("rank"))
+    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("word", (F.col("before") + within + 1).cast("int").alias("rank"), weight.alias("weight"))
 
 
 def coverage(texts: DataFrame, ranks: DataFrame, key: str, params: LevelParams) -> DataFrame:
-    """(key, x0, x1, ...): log of the smallest rank that covers each share of the tokens, and of the words per sentence.
+    """(key, english, x0, x1, ...): whether the weights of the words add up to 0 or more; log of the smallest rank that covers each share of the tokens, and of the words per sentence.
 
     ``texts``: key, words, n_sentences. A text without words has no row. The texts are dealt by key once; counting,
     ranking and covering follow without another shuffle, unless there are more words than are broadcast: then the
-    counts of all others, none of them frequent, meet their ranks by word. Words without a rank come last.
+    counts of all others, none of them frequent, meet their ranks by word. Words without a rank come last, at a weight of 0.
     """
     last = ranks.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
     dealt = texts.repartition(key)
@@ -90,15 +88,15 @@ def coverage(texts: DataFrame, ranks: DataFrame, key: str, params: LevelParams)
     counts = counts.join(F.broadcast(ranks.where(F.col("rank") <= params.vocabulary)), "word", "left")
     if last > params.vocabulary:
         ranked = counts.where("rank is not null")
-        rest = counts.where("rank is null").drop("rank").join(ranks.where(F.col("rank") > params.vocabulary), "word", "left")
+        rest = counts.where("rank is null").drop("rank", "weight").join(ranks.where(F.col("rank") > params.vocabulary), "word", "left")
         counts = ranked.unionByName(rest)
     rank = F.coalesce("rank", F.lit(max(params.vocabulary, last) + 1))
-    counts = counts.groupBy(key, "n_words", "n_sentences", rank.alias("rank")).agg(F.sum("n").alias("n"))
+    counts = counts.groupBy(key, "n_words", "n_sentences", rank.alias("rank")).agg(F.sum("n").alias("n"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
     upto = F.sum("n").over(Window.partitionBy(key).orderBy("rank"))
     covered = counts.withColumn("upto", upto)
     at = [F.log(F.min(F.when(F.col("upto") >= s * F.col("n_words"), F.col("rank"))).cast("double")).alias(f"x{i}") for i, s in enumerate(params.shares)]
     pace = F.log(F.first("n_words") / F.first("n_sentences")).alias(f"x{len(params.shares)}")
-    return covered.groupBy(key).agg(*at, pace)
+    return covered.groupBy(key).agg((F.sum("weight") >= 0).alias("english"), *at, pace)
 
 
 def calibrated(measures: DataFrame, level: str, params: LevelParams) -> list[dict]:

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from wafergrid.llm.bpe import with_ids, with_token_count
 from wafergrid.llm.packing import pack
-from wafergrid.session import shuffle_width
 from wafergrid.sources.tables import table
 
 CAPACITY = 2_048
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as its files are split; dealt anew only where these are fewer than the tasks that run at once, which are few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _documents(spark: SparkSession, root: str) -> DataFrame:
-    """Rows dealt evenly: encoding is bound by CPU, and a file's splits may be few and of unlike cost."""
-    return table(spark, root, "documents").select("doc_id", "text").repartition(shuffle_width(spark), "doc_id")
+    return spread(table(spark, root, "documents").select("doc_id", "text"))
 
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
