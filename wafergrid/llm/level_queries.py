@@ -19,27 +19,29 @@ def labelled_english(lang: Column) -> Column:
     return F.when((name != "") & (name != "und"), F.startswith(name, F.lit("en")))
 
 
+KEY = ["passage", "id"]
+
+
 def _measures(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(key, x0, ...) of each passage ('p' and its number) and each English prose text ('d' and its number), and (key, kind, reading_level) of the labels."""
+    """(passage, id, x0, ...) of each passage and each English prose text, and (passage, id, reading_level) of the labels; ``passage`` tells which of the two an id is of."""
     docs = spread(table(spark, root, "documents").select("doc_id", "text", labelled_english(F.col("lang")).alias("en")).where("doc_id is not null"))
     docs = written(measured(docs, "doc_id", "text", PARAMS, "en"), "words")
     given = table(spark, root, "level_passages").where("reading_level is not null").distinct()
-    passages = measured(given, "passage_id", "passage", PARAMS).select(F.concat(F.lit("p"), "passage_id").alias("key"), "words", "n_sentences")
-    prose = docs.where("prose").select(F.concat(F.lit("d"), "doc_id").alias("key"), "words", "n_sentences")
+    passages = measured(given, "passage_id", "passage", PARAMS).select(F.lit(True).alias("passage"), F.col("passage_id").alias("id"), "words", "n_sentences")
+    prose = docs.where("prose").select(F.lit(False).alias("passage"), F.col("doc_id").alias("id"), "words", "n_sentences")
     ranks = written(ranked_words(docs, "en"), "ranks")
-    measures = written(coverage(prose.unionByName(passages), ranks, "key", PARAMS).where("english or key like 'p%'").drop("english"), "measures")
+    measures = written(coverage(prose.unionByName(passages), ranks, KEY, PARAMS).where("english or passage").drop("english"), "measures")
 
     rated = table(spark, root, "doc_labels").where("reading_level is not null").select("doc_id", "rater", "reading_level").distinct()
-    labels = rated.orderBy(F.md5(F.concat_ws("/", "doc_id", "rater"))).limit(PARAMS.labelled).select(F.concat(F.lit("d"), "doc_id").alias("key"), F.lit("document").alias("kind"), "reading_level")
-    return measures, labels.unionByName(given.select(F.concat(F.lit("p"), "passage_id").alias("key"), F.lit("passage").alias("kind"), "reading_level"))
+    labels = rated.orderBy(F.md5(F.concat_ws("/", "doc_id", "rater"))).limit(PARAMS.labelled).select(F.lit(False).alias("passage"), F.col("doc_id").alias("id"), "reading_level")
+    return measures, labels.unionByName(given.select(F.lit(True).alias("passage"), F.col("passage_id").alias("id"), "reading_level"))
 
 
 def _levels(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, x0, ..., level) of each English prose text. Passages are told from documents by their sign of key."""
+    """(doc_id, x0, ..., level) of each English prose text."""
     measures, labels = _measures(spark, root)
-    calibration = calibrated(measures.join(labels, "key"), "reading_level", PARAMS)
-    mine = measures.where(F.startswith("key", F.lit("d"))).withColumn("doc_id", F.expr("cast(substr(key, 2) as bigint)")).drop("key")
-    return with_level(mine, calibration, PARAMS)
+    calibration = calibrated(measures.join(labels, KEY), "reading_level", PARAMS)
+    return with_level(measures.where("not passage").drop("passage").withColumnRenamed("id", "doc_id"), calibration, PARAMS)
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -62,9 +64,9 @@ def p8_level_profile(spark: SparkSession, root: str) -> DataFrame:
 def p8_heldout_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """How well levels agree with raters' opinions that took no part in the calibration: those of a fifth of the rated documents, by hash."""
     measures, labels = _measures(spark, root)
-    held = (F.col("kind") == "document") & (F.pmod(F.xxhash64("key"), F.lit(5)) == 0)
-    calibration = calibrated(measures.join(labels.where(~held), "key"), "reading_level", PARAMS)
-    judged = with_level(measures.join(labels.where(held), "key"), calibration, PARAMS)
+    held = ~F.col("passage") & (F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
+    calibration = calibrated(measures.join(labels.where(~held), KEY), "reading_level", PARAMS)
+    judged = with_level(measures.join(labels.where(held), KEY), calibration, PARAMS)
     off = F.abs(F.col("level") - F.col("reading_level"))
     return judged.agg(F.count("*").alias("n_opinions"), F.round(F.avg((off == 0).cast("int")), 4).alias("same"), F.round(F.avg((off <= 1).cast("int")), 4).alias("within_one"))
 

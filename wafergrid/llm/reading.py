@@ -74,29 +74,28 @@ def ranked_words(texts: DataFrame, english: str) -> DataFrame:
     return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("word", (F.col("before") + within + 1).cast("int").alias("rank"), weight.alias("weight"))
 
 
-def coverage(texts: DataFrame, ranks: DataFrame, key: str, params: LevelParams) -> DataFrame:
-    """(key, english, x0, x1, ...): whether the weights of the words add up to 0 or more; log of the smallest rank that covers each share of the tokens, and of the words per sentence.
+def coverage(texts: DataFrame, ranks: DataFrame, key: str | list[str], params: LevelParams) -> DataFrame:
+    """(key..., english, x0, x1, ...): whether the weights of the words add up to 0 or more; log of the smallest rank that covers each share of the tokens, and of the words per sentence.
 
-    ``texts``: key, words, n_sentences. A text without words has no row. The texts are dealt by key once; counting,
-    ranking and covering follow without another shuffle, unless there are more words than are broadcast: then the
-    counts of all others, none of them frequent, meet their ranks by word. Words without a rank come last, at a weight of 0.
+    ``texts``: key, words, n_sentences. A text without words has no row. The texts are dealt by key once; counting and
+    covering follow without another shuffle, unless there are more words than are broadcast: then the counts of all
+    others, none of them frequent, meet their ranks by word. Words without a rank come last, at a weight of 0.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     last = ranks.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
-    dealt = texts.repartition(key)
-    words = dealt.select(key, F.size("words").alias("n_words"), "n_sentences", F.explode("words").alias("word"))
-    counts = words.groupBy(key, "n_words", "n_sentences", "word").agg(F.count("*").alias("n"))
+    words = texts.repartition(*keys).select(*keys, F.size("words").alias("n_words"), "n_sentences", F.explode("words").alias("word"))
+    counts = words.groupBy(*keys, "word").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("n_sentences").alias("n_sentences"))
     counts = counts.join(F.broadcast(ranks.where(F.col("rank") <= params.vocabulary)), "word", "left")
     if last > params.vocabulary:
         ranked = counts.where("rank is not null")
         rest = counts.where("rank is null").drop("rank", "weight").join(ranks.where(F.col("rank") > params.vocabulary), "word", "left")
         counts = ranked.unionByName(rest)
-    rank = F.coalesce("rank", F.lit(max(params.vocabulary, last) + 1))
-    counts = counts.groupBy(key, "n_words", "n_sentences", rank.alias("rank")).agg(F.sum("n").alias("n"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
-    upto = F.sum("n").over(Window.partitionBy(key).orderBy("rank"))
+    counts = counts.drop("word").withColumn("rank", F.coalesce("rank", F.lit(max(params.vocabulary, last) + 1)))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("rank"))  # equal ranks count together
     covered = counts.withColumn("upto", upto)
     at = [F.log(F.min(F.when(F.col("upto") >= s * F.col("n_words"), F.col("rank"))).cast("double")).alias(f"x{i}") for i, s in enumerate(params.shares)]
     pace = F.log(F.first("n_words") / F.first("n_sentences")).alias(f"x{len(params.shares)}")
-    return covered.groupBy(key).agg((F.sum("weight") >= 0).alias("english"), *at, pace)
+    return covered.groupBy(*keys).agg((F.sum(F.coalesce("weight", F.lit(0.0))) >= 0).alias("english"), *at, pace)
 
 
 def calibrated(measures: DataFrame, level: str, params: LevelParams) -> list[dict]:
