@@ -44,6 +44,13 @@ def paired(baseline: DataFrame, candidate: DataFrame, key: Sequence[str], value:
     return baseline.select(*key, F.col(value).alias("baseline")).join(candidate.select(*key, F.col(value).alias("candidate")), list(key))
 
 
+def join_groups_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which NULL equals NULL; the left's keys stay."""
+    renamed = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(renamed[f"__j{i}"]) for i, k in enumerate(keys)]
+    return left.join(renamed, on, "left").drop(*[f"__j{i}" for i in range(len(keys))])
+
+
 def unmatched(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key..., side): keys that only one side has; both sides are compared as sets."""
     a, b = left.select(*key).distinct(), right.select(*key).distinct()
