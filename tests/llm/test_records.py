@@ -243,7 +243,9 @@ def test_overlaps_equal_brute_force(spark):
     images += [("s/3", None, [5] * 64), ("s/4", "bad", [1, 2]), ("s/5", None, [None] * 64), (None, "ff" * 32, None)]
     r = spark.createDataFrame(records, "record_id long, dataset string, sample_id string, split string").withColumn("key", F.lit(1))
     m = spark.createDataFrame(images, "sample_id string, image_sha256 string, thumb array<smallint>")
-    got = {(x.train_id, x.eval_id) for x in overlaps.cross_split_pairs(r, m).collect()}
+    found = overlaps.cross_split_pairs(r, m).collect()
+    got = {(x.train_id, x.eval_id) for x in found}
+    assert len(found) == len(got)
 
     side = {i: {"train": "t", "training": "t", "val": "e", "test": "e"}.get((s or "").strip().lower()) for i, _, _, s in records}
     core = lambda s: s and s.lower().removesuffix(".png").replace("/", "").replace("_", "")
@@ -280,8 +282,7 @@ def test_overlaps_near_by_their_layout(spark):
     m = spark.createDataFrame([(f"s{i}", None, t) for i, t in enumerate(thumbs)], "sample_id string, image_sha256 string, thumb array<smallint>")
     c = np.corrcoef(np.array(thumbs))
     want = {(a, b) for a in range(0, 400, 2) for b in range(1, 400, 2) if c[a, b] >= 0.95}
-    for params in (overlaps.BandParams(), overlaps.BandParams(piece=50)):
-        assert {(x.train_id, x.eval_id) for x in overlaps.cross_split_pairs(r, m, params).collect()} == want
+    assert {(x.train_id, x.eval_id) for x in overlaps.cross_split_pairs(r, m).collect()} == want
     assert len(want) > 1000
 
 
@@ -291,7 +292,7 @@ def test_overlaps_of_nothing(spark):
     assert overlaps.cross_split_pairs(r, m).collect() == []
 
 
-def test_rough_correlations_and_wide_thumbs():
+def test_packed_thumbs():
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
@@ -301,6 +302,31 @@ def test_rough_correlations_and_wide_thumbs():
     packed = [next(overlaps._packed([pa.RecordBatch.from_pydict({"t": pa.array([list(map(int, r)) for r in m], pa.list_(pa.int16()))})])).column(0) for m in (x, y)]
     assert [len(b) for b in packed[1].to_pylist()].count(128) == 1
     want = np.array([np.corrcoef(a, b)[0, 1] for a, b in zip(x, y)])
-    exact = (overlaps._standard(packed[0].to_pylist()) * overlaps._standard(packed[1].to_pylist())).sum(1)
-    rough = overlaps._roughly(packed[0].slice(3), packed[1].slice(3))
-    assert np.allclose(exact, want) and rough[4] == 1 and np.allclose(np.delete(rough, 4), np.delete(want[3:], 4), atol=1e-4)
+    assert np.allclose((overlaps._standard(packed[0].to_pylist()) * overlaps._standard(packed[1].to_pylist())).sum(1), want)
+
+
+def test_jaccard_equals_that_of_shingle_sets_and_has_its_bound():
+    rng = np.random.default_rng(5)
+    p = overlaps.BandParams()
+    z, e = (m - m.mean(1, keepdims=True) for m in rng.normal(size=(2, 200, 64)))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    e -= (e * z).sum(1, keepdims=True) * z
+    near = 0.95 * z + np.sqrt(1 - 0.95**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    a, b = overlaps.quantised(z, p), overlaps.quantised(near, p)
+    sets = [[{(i, o, (int(v) + o) // p.offsets) for i, v in enumerate(row) for o in range(p.offsets)} for row in m] for m in (a, b)]
+    want = [len(s & t) / len(s | t) for s, t in zip(*sets)]
+    assert np.allclose(overlaps.jaccard(a, b, p), want) and min(want) > 0.65 > p.jaccard
+
+
+def test_one_hash_of_many_records_makes_no_pairs(spark):
+    """A hundred thousand records of one image hash: one class a set of images, and links counted by class."""
+    n = 100_000
+    ids = spark.range(n).select("id", F.concat(F.lit("s"), F.col("id")).alias("sample_id"))
+    r = ids.select(F.col("id").alias("record_id"), F.lit("d").alias("dataset"), "sample_id", F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"))
+    thumb = F.when(F.col("id") % 1000 == 1, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * i % 251).cast("smallint")))
+    m = ids.select("sample_id", F.lit("ab" * 32).alias("image_sha256"), thumb.alias("thumb"))
+    found = overlaps.overlaps(r, m)
+    assert found.links.count() == 2 and found.records.select("image_class").distinct().count() == 2
+    counts = overlaps.link_counts(found, True).collect()
+    assert {c.n_links for c in counts} == {3 * n // 4} and len(counts) == n // 4  # each has a sample id of its own
+    assert overlaps.link_counts(found, False).agg(F.sum("n_links")).first()[0] == n // 4 * (3 * n // 4)
