@@ -133,3 +133,43 @@ def test_exact_quantiles_equal_numpy(spark, q):
     v = np.random.default_rng(9).integers(0, 60, 400) / 7
     got = metrics.exact_quantiles(rows(spark, [(float(x),) for x in v], "v double"), [], "v", [q]).first()
     assert got.n == 400 and got.q0 == pytest.approx(np.quantile(v, q))
+
+
+def test_running_totals_of_a_hot_group_and_of_text(spark):
+    n = 30_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("g"), F.format_string("%08d", F.col("id") * 7919 % 30_011).alias("o"), F.lit(1).alias("v"))
+    got = running_totals(df, ["g"], "o", ["v"], descending=True)
+    order = sorted(((f"{i * 7919 % 30_011:08d}", "cold" if i % 3 == 0 else "hot") for i in range(n)), reverse=True)
+    seen, want = {"cold": 0, "hot": 0}, {}
+    for o, g in order:
+        seen[g] += 1
+        want[o] = seen[g]
+    assert {r.o: r.v_upto for r in got.collect()} == want
+
+
+def test_components_of_images_longer_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rng = np.random.default_rng(1)
+        cells = [(f"i{k % 5}", int(x), int(y)) for k, (x, y) in enumerate(rng.integers(0, 16, (800, 2)))] + [(None, 1, 1), ("i0", None, 1)]
+        got = grids.components(rows(spark, cells, "img string, x int, y int"), "img").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    there: dict[str, set] = {}
+    for i, x, y in cells:
+        if i is not None and x is not None:
+            there.setdefault(i, set()).add((y, x))
+    want = {}
+    for i, some in there.items():
+        left = set(some)
+        while left:
+            first = min(left)
+            todo, part = [first], set()
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in left:
+                    left.discard((y, x))
+                    part.add((y, x))
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            want |= {(i, x, y): min(part)[0] << 20 | min(part)[1] for y, x in part}
+    assert {(r.img, r.x, r.y): r.component for r in got} == want and len(got) == len(want)

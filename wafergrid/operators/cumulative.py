@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 64
+from wafergrid.session import written
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,36 +17,22 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(renamed, on).drop(*[f"__j{i}" for i in range(len(keys))])
 
 
-def running_totals(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], *, descending: bool = False, suffix: str = "_upto") -> DataFrame:
+def running_totals(df: DataFrame, by: Sequence[str], order: str | Sequence[str], values: Sequence[str], *, descending: bool = False, suffix: str = "_upto") -> DataFrame:
     """``df`` with the running total of each of ``values`` within ``by``, in the order of ``order`` and with its own row.
 
-    ``order`` is numeric, not null, and unique within ``by``. Rows are cut into up to ``PIECES`` ranges of ``order`` at
-    approximate quantiles; totals run within a range, and what the ranges before it hold is added. So neither a single
-    group nor a hot one is sorted in one task. No rows: no rows.
+    ``order`` is one column or several, of any types that sort, together unique within ``by``. Rows are dealt into
+    ranges of ``by`` and ``order`` together, as many and as long as the session's shuffles have it; totals run within a
+    range, and what the group's ranges before it hold is added. So a group of any size is as many tasks as it has
+    ranges. The rows are written once. No rows: no rows.
     """
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / PIECES for i in range(1, PIECES)], 1_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    piece = _piece(F.col(order), cuts)
-    df = df.withColumn("__piece", piece)
-    key = F.col(order).desc() if descending else F.col(order).asc()
-    within = Window.partitionBy(*by, "__piece").orderBy(key)
-    for v in values:
-        df = df.withColumn(v + suffix, F.sum(v).over(within))
-    totals = df.groupBy(*by, "__piece").agg(*[F.sum(v).alias(f"__{v}") for v in values])
-    step = F.col("__piece").desc() if descending else F.col("__piece").asc()
-    before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)  # at most PIECES rows a group
+    keys = [order] if isinstance(order, str) else list(order)
+    keys = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    placed = written(df.repartitionByRange(*[F.col(b).asc() for b in by], *keys).withColumn("__piece", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy(*by, "__piece").orderBy(*keys)
+    before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a range that the group has
+    totals = placed.groupBy(*by, "__piece").agg(*[F.sum(v).alias(f"__{v}") for v in values])
     totals = totals.select(*by, "__piece", *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
-    out = join_groups(df, totals, [*by, "__piece"])
-    return out.select(*[c for c in df.columns if c != "__piece" and c not in [v + suffix for v in values]], *[(F.col(v + suffix) + F.col(f"__{v}")).alias(v + suffix) for v in values])
-
-
-def _piece(value: Column, cuts: list[float]) -> Column:
-    """How many of ``cuts`` lie below ``value``, by halving."""
-
-    def half(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value <= cuts[mid], half(low, mid)).otherwise(half(mid + 1, high))
-
-    return half(0, len(cuts))
+    for v in values:
+        placed = placed.withColumn(v + suffix, F.sum(v).over(within))
+    out = join_groups(placed, totals, [*by, "__piece"])
+    return out.select(*df.columns, *[(F.col(v + suffix) + F.col(f"__{v}")).alias(v + suffix) for v in values])

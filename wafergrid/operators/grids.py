@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wafergrid.session import shuffle_width
-
 
 def minmax(df: DataFrame, by: Sequence[str], value: str, out: str = "normalized") -> DataFrame:
     """``df`` with ``value`` scaled to 0..1 within ``by``; groups without contrast give 0."""
@@ -93,41 +92,63 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame, image: str) -> DataFrame:
     return cells.join(rows, [image, "y"]).where("x >= x1 and x < x2")
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of ``n`` nodes with edges a-b the smallest node of each one's component."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low != high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while True:
+            shorter = root[root]
+            if (shorter == root).all():
+                break
+            root = shorter
+    return root
+
+
 def components(cells: DataFrame, image: str) -> DataFrame:
     """(image, x, y, component): cells that touch at an edge share a component, named by its first cell as ``y * 2**20 + x``.
 
-    An image is labelled in one task, many small ones together; NULL images and coordinates have none, repeated cells
-    count once. Coordinates lie below ``2**20``.
+    Images are dealt by hash and pass through a task one after the other, in order: it holds one image and one batch
+    of rows at a time. NULL images and coordinates have no component, repeated cells count once. Coordinates lie below
+    ``2**20``.
     """
     kind = cells.schema[image].dataType.simpleString()
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates([image, "x", "y"])
-        place = pdf["y"].to_numpy(np.int64) << 20 | pdf["x"].to_numpy(np.int64)
-        order = np.argsort(key := pd.factorize(pdf[image])[0].astype(np.int64) << 40 | place)
-        key, place, parent = key[order], place[order], list(range(len(order)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+    def labelled(t: pa.Table, number: np.ndarray) -> pa.RecordBatch:
+        """``number``: of the image, in the order of the rows."""
+        place = t.column(2).to_numpy().astype(np.int64) << 20 | t.column(1).to_numpy().astype(np.int64)
+        key, first = np.unique(number << 40 | place, return_index=True)
+        a, b = [], []
         for shift in (1, 1 << 20):  # the cell to the right, and the one below
-            at = np.searchsorted(key, key + shift)
-            hit = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + shift)
-            for a, b in zip(np.flatnonzero(hit).tolist(), at[hit].tolist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        out = pdf[[image, "x", "y"]].iloc[order].reset_index(drop=True)
-        out["component"] = place[[root(i) for i in range(len(key))]]
-        return out
-
-    good = cells.select(image, "x", "y").where(F.col(image).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    bucket = F.pmod(F.xxhash64(image), F.lit(8 * shuffle_width(cells.sparkSession)))
-    labelled = good.withColumn("__bucket", bucket).groupBy("__bucket").applyInPandas(lambda pdf: label(pdf), f"{image} {kind}, x int, y int, component long")
-    return labelled
+            at = np.minimum(np.searchsorted(key, key + shift), len(key) - 1)
+            hit = np.flatnonzero(key[at] == key + shift)
+            a.append(hit)
+            b.append(at[hit])
+        root = _joined(len(key), np.concatenate(a), np.concatenate(b))
+        some = t.take(pa.array(first))
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in some.columns], pa.array(place[first][root])], names=[image, "x", "y", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            names = held.column(0).combine_chunks()
+            if not len(names):
+                continue
+            number = np.concatenate([[0], np.cumsum(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            last = int(np.searchsorted(number, number[-1]))
+            if last:  # the last image may go on in the next batch
+                yield labelled(held.slice(0, last), number[:last])
+            held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield labelled(held, np.zeros(held.num_rows, np.int64))
+
+    good = cells.select(image, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).where(F.col(image).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return good.repartition(image).sortWithinPartitions(image).mapInArrow(run, f"{image} {kind}, x int, y int, component long")
 
 
 def regions(labelled: DataFrame, cells: DataFrame, image: str, score: str) -> DataFrame:

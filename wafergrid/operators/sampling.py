@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wafergrid.operators.cumulative import join_groups, running_totals
 from wafergrid.operators.metrics import exact_quantiles
@@ -77,13 +76,10 @@ def interleaved(df: DataFrame, by: Sequence[str], label: str, key: str) -> DataF
     """Rows of label 1 and 0 with their ``place`` when they take turns in the order of ``key``, 1 first; rows of another label are left out.
 
     ``key`` is unique within a group and label. The place follows from a row's turn and the number of rows of the other
-    label. Turns of numeric keys are counted in ranges of the key; those of text by one sort a group and label.
+    label. Turns are counted in ranges of the key.
     """
     good = df.where(F.col(label).isin(0, 1)).withColumn("__one", F.lit(1))
-    if isinstance(df.schema[key].dataType, T.NumericType):
-        turns = running_totals(good, [*by, label], key, ["__one"], suffix="_turn")
-    else:
-        turns = good.withColumn("__one_turn", F.row_number().over(Window.partitionBy(*by, label).orderBy(key)))
+    turns = running_totals(good, [*by, label], key, ["__one"], suffix="_turn")
     other = good.groupBy(*by).agg(F.count_if(F.col(label) == 0).alias("__n0"), F.count_if(F.col(label) == 1).alias("__n1"))
     j = join_groups(turns, other, by)
     t = F.col("__one_turn")

@@ -35,7 +35,7 @@ def _labelled_samples(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _patch_scores(spark: SparkSession, root: str) -> DataFrame:
-    p = _patches(spark, root).join(_labelled_samples(spark, root), "sample_id")
+    p = written(_patches(spark, root).join(_labelled_samples(spark, root), "sample_id"), "patches")
     bank = sampling.first_k(p.where("support = 1"), ["backbone"], "patch_id", SHOTS, 4880)
     d = vec.nearest_distance(p, bank, "patch_id", "backbone", "features")
     return p.select("patch_id", "backbone", "sample_id", "label").join(d, "patch_id").join(bank.select("patch_id"), "patch_id", "left_anti")
@@ -91,7 +91,7 @@ def score_auc_by_run(spark: SparkSession, root: str) -> DataFrame:
 
 def heatmap_evaluation(spark: SparkSession, root: str) -> DataFrame:
     """Image AUC, pixel AUC, region overlap and best F1 of all heatmaps, in one row."""
-    px = pixels(spark, root)
+    px = written(pixels(spark, root).select("img", "label", "x", "y", "score", "target"), "pixels")
     image = metrics.roc_auc(px.groupBy("img", "label").agg(F.max("score").alias("score")), [], "label", "score")
     pixel = metrics.roc_auc(px, [], "target", "score")
     best = metrics.best_f1(px, [], "target", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wafergrid.operators import grids, masks, metrics
 from wafergrid.plans._views import IMAGES, PIXELS, images, pixels
+from wafergrid.session import written
 
 Q = 0.995
 
@@ -228,7 +229,7 @@ def grid_prompts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def aupro(spark: SparkSession, root: str) -> DataFrame:
-    px = pixels(spark, root)
+    px = written(pixels(spark, root).select("img", "x", "y", "score", "target"), "pixels")
     found = grids.components(px.where("target = 1"), "img").withColumnRenamed("component", "region")
     return metrics.region_overlap_score(px, found, "img", "score", "target").select("n_regions", "n_negative", F.round("aupro", 6).alias("aupro"))
 
