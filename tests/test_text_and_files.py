@@ -210,3 +210,37 @@ def test_written_tables_are_dropped(spark):
     assert df.count() == 3 and path.exists()
     session.drop_written()
     assert not path.exists()
+
+
+def test_views_that_are_not_whole_fail(spark, tmp_path):
+    good = ("i", 0, 0, 0, 4, 4, 2, 2, [1.0, 2.0, 3.0, 4.0], "max")
+    for n, (at, value) in enumerate(((8, [1.0, 2.0]), (9, "median"), (9, None), (4, 0), (8, None))):
+        bad = list(good)
+        bad[at] = value
+        df = spark.createDataFrame([good, tuple(bad)], files.schemas.COMPONENTS)
+        with pytest.raises(Exception, match="grid, box or fusion"):
+            files.write_components(df, str(tmp_path / f"v{n}"))
+    files.write_components(spark.createDataFrame([good], files.schemas.COMPONENTS), str(tmp_path / "v"))
+    assert files.read_components(spark, str(tmp_path / "v")).count() == 1
+    spark.range(1).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        files.read_components(spark, str(tmp_path / "other"))
+
+
+def test_optional_file_on_another_file_system(spark, tmp_path):
+    schema = spark.createDataFrame([], "a string, b string").schema
+    (tmp_path / "x.csv").write_text('a,b\n1,"2,3"\n')
+    assert files.read_optional_csv(spark, f"file:{tmp_path}/x.csv", schema).first().b == "2,3"
+    assert files.read_optional_csv(spark, f"file://{tmp_path}/none.csv", schema).count() == 0
+    with pytest.raises(Exception):  # a store that can't be reached is no missing file
+        files.read_optional_csv(spark, "nowhere://bucket/none.csv", schema)
+    (tmp_path / "y.csv").write_text('"a,b",c\n1,2\n')
+    assert files.read_checked_csv(spark, str(tmp_path / "y.csv"), ["a,b", "c"]).count() == 1
+
+
+def test_metrics_that_a_file_lacks(spark, tmp_path):
+    for c, content in (("pcb1", {"num_images": 2, "aupro": 0.5, "image_auroc": 0.8}), ("pcb2", {"num_images": 3})):
+        files.write_json(str(tmp_path / f"{c}/metrics.json"), content)
+    got = {r.category: r for r in files.metric_summary(files.read_metrics(spark, [str(tmp_path / "*/metrics.json")])).collect()}
+    assert (got["pcb2"].image_auroc, got["pcb2"].aupro) == (0.0, None)
+    assert (got["mean"].num_images, got["mean"].image_auroc, got["mean"].aupro, got["mean"].best_pixel_f1) == (5, 0.4, 0.5, 0.0)

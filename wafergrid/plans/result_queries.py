@@ -9,9 +9,10 @@ from wafergrid.operators import joins, lineage, stats
 from wafergrid.plans._views import CELLS, RECORDS, RESULTS, paired_cells, records, run_results
 from wafergrid.sources.tables import table
 
-METHODS = ("dinov2_single", "dinov2_multi", "patchcore_wrn50", "dinov2_single_sam2", "dinov2_multi_sam2", "anomaly_consistent_sam2", "sam2_only")
+#: The methods, categories, shots, seeds and variants of the matrices.
+METHODS = ("dinov2_single", "dinov2_multi", "patchcore", "dinov2_single_sam2", "dinov2_multi_sam2", "anomaly_consistent_sam2", "sam2_only")
 CATEGORIES = ("pcb1", "pcb2", "pcb3", "pcb4")
-SHOTS, SEEDS = (1, 2, 6), (4880, 4881, 4882, 4883, 4884)
+SHOTS, SEEDS = (1, 2, 4), (4880, 4881, 4882, 4883, 4884)
 ABLATIONS = {
     "crop512_o025_max": "dinov2_multi", "crop768_o000_max": "dinov2_multi", "crop768_o050_max": "dinov2_multi", "crop768_o025_mean": "dinov2_multi", "prompt_point_max": "dinov2_multi_sam2", "prompt_box": "dinov2_multi_sam2",
     "prompt_point_box_center": "dinov2_multi_sam2", "area_cap_none": "dinov2_multi_sam2", "area_cap_010": "dinov2_multi_sam2", "area_cap_050": "dinov2_multi_sam2", "fusion_union": "anomaly_consistent_sam2", "fusion_selective": "anomaly_consistent_sam2",
@@ -244,10 +245,11 @@ def support_violations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def public_projection(spark: SparkSession, root: str) -> DataFrame:
-    from wafergrid.functions.text import public_columns
+    from wafergrid.functions.text import null_for_nan, public_columns
 
     m = table(spark, root, "scores")
-    return m.select(*public_columns([c for c in m.columns if c not in ("scored_at", "ingested_at")]))
+    names = public_columns([c for c in m.columns if c not in ("scored_at", "ingested_at")])
+    return m.select(*[null_for_nan(F.col(c)).alias(c) if m.schema[c].dataType.simpleString() == "double" else c for c in names])
 
 
 def metric_projection(spark: SparkSession, root: str) -> DataFrame:
@@ -317,7 +319,9 @@ ORACLE = {
       m AS (SELECT DISTINCT mask_row_id, run_id, proposal_threshold FROM mask_scores) SELECT mask_row_id, round(coalesce(CASE WHEN NOT isnan(proposal_threshold) THEN proposal_threshold END, threshold), 6) AS threshold FROM m LEFT JOIN c USING (run_id)""",
     "semi_anti": f"WITH {RECORDS} SELECT category, count(*) FILTER (s IN (SELECT sample_id FROM feature_cache)) AS n_cached, count(*) FILTER (NOT coalesce(s IN (SELECT sample_id FROM feature_cache), false)) AS n_missing FROM (SELECT category, sample_id AS s FROM records) GROUP BY category",
     "cache_lookup": f"WITH {RECORDS} SELECT sample_id, min(image_sha256) AS image_sha256 FROM feature_cache WHERE sample_id IN (SELECT sample_id FROM records) GROUP BY sample_id UNION ALL SELECT DISTINCT sample_id, sha256(sample_id) FROM records WHERE sample_id IS NOT NULL AND sample_id NOT IN (SELECT sample_id FROM feature_cache WHERE sample_id IS NOT NULL)",
-    "run_matrix": f"""WITH r AS (SELECT DISTINCT method, category, 0 AS fold_id, CASE WHEN method = 'sam2_only' THEN 0 ELSE k END AS k, CASE WHEN method = 'sam2_only' THEN 0 ELSE seed END AS seed FROM (SELECT unnest({list(METHODS)}) AS method), (SELECT unnest({list(CATEGORIES)}) AS category), (SELECT unnest({list(SHOTS)}) AS k), (SELECT unnest({list(SEEDS)}) AS seed))
+    "run_matrix": """WITH m AS (SELECT unnest(['patchcore', 'dinov2_single', 'dinov2_multi', 'sam2_only', 'dinov2_single_sam2', 'dinov2_multi_sam2', 'anomaly_consistent_sam2']) AS method),
+      s AS (SELECT * FROM (SELECT unnest([1, 2, 4]) AS k), (SELECT unnest(range(4880, 4885))::INT AS seed)),
+      r AS (SELECT method, 'pcb' || c AS category, 0 AS fold_id, k, seed FROM m, (SELECT unnest(range(1, 5)) AS c), s WHERE method <> 'sam2_only' UNION ALL SELECT 'sam2_only', 'pcb' || c, 0, 0, 0 FROM (SELECT unnest(range(1, 5)) AS c))
       SELECT method || '__' || category || '__fold0__k' || k || '__seed' || seed AS run_id, * FROM r""",
     "ablation_matrix": "SELECT method || '__' || category || '__fold0__k4__seed4880__' || variant AS run_id, method, category, variant FROM (VALUES " + ", ".join(f"('{v}', '{m}')" for v, m in ABLATIONS.items()) + f") a(variant, method), (SELECT unnest({list(CATEGORIES)}) AS category)",
     "dependency_edges": f"WITH {_RUNS}, {_EDGES} SELECT * FROM edges",
@@ -339,7 +343,7 @@ ORACLE = {
     "support_violations": f"""WITH {RECORDS}, {_RUNS}, r AS (SELECT category, sample_id, row_number() OVER (PARTITION BY category ORDER BY record_id) AS n FROM records WHERE sample_id IS NOT NULL), s AS (SELECT run_id, runs.category, sample_id, k FROM runs JOIN r USING (category) WHERE k > 0 AND n <= k),
       c AS (SELECT run_id, k, count(sample_id) AS n, count(DISTINCT sample_id) AS d FROM runs LEFT JOIN s USING (run_id, k) WHERE k > 0 GROUP BY ALL), g AS (SELECT DISTINCT category, sample_id FROM records WHERE split = 'train' AND label = 0)
       SELECT run_id, 'count' AS violation FROM c WHERE n <> k UNION ALL SELECT run_id, 'repeated' FROM c WHERE n <> d UNION ALL SELECT DISTINCT run_id, 'not_normal_train' FROM s ANTI JOIN g USING (category, sample_id)""",
-    "public_projection": "SELECT score_id, run_id, dataset, sample_id, category, label, fold_split, image_score FROM scores",
+    "public_projection": "SELECT score_id, run_id, dataset, sample_id, category, label, fold_split, CASE WHEN NOT isnan(image_score) THEN image_score END AS image_score FROM scores",
     "metric_projection": f"{_W} SELECT method, category, k, seed, CASE WHEN method IN ('1-URGENT', '2-HIGH') THEN 'normal_q995' ELSE 'binary_model_output' END AS policy, round(CASE WHEN method IN ('1-URGENT', '2-HIGH') THEN price END, 6) AS image_auroc, round(CASE WHEN method IN ('1-URGENT', '2-HIGH') THEN balance * 2 ELSE balance END, 6) AS mean_f1 FROM results",
     "config_binding": "SELECT method, k, min(regexp_extract(output_root, '^([^/]+/[^/]+)', 1)) = max(regexp_extract(output_root, '^([^/]+/[^/]+)', 1)) AS one_folder, count(DISTINCT variant) AS n_variants FROM run_specs GROUP BY ALL",
 }

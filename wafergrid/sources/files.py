@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import os
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 
 from wafergrid.functions import text
 from wafergrid.operators.joins import last_of_each
+from wafergrid.operators.stats import with_mean_row
+from wafergrid.session import path_exists
 from wafergrid.sources import schemas
 
 #: Usual categories, and the names that a manifest's column of images goes by.
@@ -25,20 +28,20 @@ IMAGE_COLUMNS = ("image_path", "img_path", "path", "image", "filename", "file",
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, *, line_ends: bool = True) -> DataFrame:
-    """A CSV file with a header; without a schema every column is text. Quoted line ends stay in a value; where there are none, ``line_ends=False`` lets a large file be read in parts."""
+    """A CSV file or folder of such files, with a header; without a schema every column is text. Quoted line ends stay in a value; where there are none, ``line_ends=False`` lets a large file be read in parts."""
     r = spark.read.option("header", True).option("multiLine", line_ends).option("escape", '"')
     return (r.schema(schema).option("enforceSchema", False) if schema else r).csv(path)
 
 
 def read_optional_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """No rows if the file isn't there."""
-    return read_csv(spark, path, schema) if Path(path.removeprefix("file://")).exists() else spark.createDataFrame([], schema)
+    """No rows if the file isn't there, on whatever file system it is looked for."""
+    return read_csv(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_checked_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """A CSV file with unique column names, the required ones among them, and at least one row; else ValueError."""
-    first = spark.read.text(path).limit(1).collect()
-    names = [c.strip().strip('"') for c in first[0][0].split(",")] if first else []
+    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
+    names = [c.strip() for c in next(csv.reader([first[0][0].lstrip("\ufeff").rstrip("\r")]), [])] if first else []
     if len(set(names)) != len(names):
         raise ValueError(f"{path}: repeated column names")
     if missing := [c for c in required if c not in names]:
@@ -51,7 +54,7 @@ def read_checked_csv(spark: SparkSession, path: str, required: Sequence[str]) ->
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, line_no, x1, ..., class_name) of annotation files, one line a box; blank lines are passed over, a malformed one fails when it is read. The image is the file's stem; without any file there are no boxes."""
-    if not any(c in path for c in "*?[{") and not Path(path.removeprefix("file://")).exists() and "://" not in path.removeprefix("file://"):
+    if not any(c in path for c in "*?[{") and not path_exists(spark, path):
         return spark.createDataFrame([], schemas.BOXES)
     lines = spark.read.text(path, wholetext=True).select(text.stem(F.col("_metadata.file_path")).alias("image_id"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
     box = text.annotation_box(F.col("line"))
@@ -75,14 +78,16 @@ def list_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataF
 def image_records(spark: SparkSession, root: str, dataset: str, categories: Sequence[str]) -> DataFrame:
     """Records of a folder tree: category, split and label by parts of the path, a mask by category and stem.
 
-    Files below mask folders are no images; of several masks of a stem the last in path order counts, and only
-    anomalous images have one. Files without a category are left out; a split that isn't told is 'all'.
+    Files below mask folders are no images. Only anomalous images have a mask: that of their own stem, else that of their
+    stem with ``_mask`` at its end, in any case; of several of one name the last in path order. Files without a category are left out; a split that isn't told is 'all'.
     """
     files = list_files(spark, root, text.IMAGE_SUFFIXES)
     is_mask, category = text.has_part(F.col("path"), text.MASK_PARTS), text.path_category(F.col("path"), categories)
-    files = files.select("path", is_mask.alias("is_mask"), category.alias("category"), F.regexp_replace(F.lower(text.stem(F.col("path"))), "_mask$", "").alias("stem")).where("category is not null")
-    masks = files.where("is_mask").groupBy("category", "stem").agg(F.max("path").alias("mask"))
-    out = files.where("not is_mask").join(masks, ["category", "stem"], "left")
+    files = files.select("path", is_mask.alias("is_mask"), category.alias("category"), text.stem(F.col("path")).alias("stem")).where("category is not null")
+    files = files.withColumn("loose", F.regexp_replace(F.lower("stem"), "_mask$", ""))
+    masks = files.where("is_mask")
+    exact, loose = (masks.groupBy("category", c).agg(F.max("path").alias(name)) for c, name in (("stem", "exact"), ("loose", "near")))
+    out = files.where("not is_mask").join(exact, ["category", "stem"], "left").join(loose, ["category", "loose"], "left").withColumn("mask", F.coalesce("exact", "near"))
     label = text.label_value(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("path"))
     return out.select(
         F.lit(dataset).alias("dataset"), "category", F.concat("category", F.lit("/"), text.stem(F.col("path"))).alias("sample_id"), F.coalesce(text.path_split(F.col("path")), F.lit("all")).alias("split"),
@@ -192,7 +197,7 @@ def dataset_from_config(spark: SparkSession, config: Mapping[str, object]) -> Da
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """CSV with a header, NULL as an empty field."""
-    df.select(*(columns or df.columns)).write.option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
+    df.select(*(columns or df.columns)).write.option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report(df: DataFrame, path: str, folder: str) -> None:
@@ -263,9 +268,28 @@ def write_pixels(df: DataFrame, path: str) -> None:
 
 
 def write_components(df: DataFrame, path: str) -> None:
-    """Views of images as patch grids with their boxes, small beside rendered pixels; see ``rendered``. Grids of another size than stated fail."""
-    good = F.assert_true((F.size("scores") == F.col("grid_w") * F.col("grid_h")) & F.col("fusion").isin("max", "mean"), "grid size or fusion")
-    df.select(*schemas.COMPONENTS.fieldNames()).withColumn("__ok", good).drop("__ok").where(F.size("scores") == F.col("grid_w") * F.col("grid_h")).write.parquet(path)
+    """Views of images as patch grids with their boxes, small beside rendered pixels; see ``rendered``. A view whose grid is empty or not of the size stated, whose box is empty, or whose fusion is neither 'max' nor 'mean' fails, and so does one with a NULL."""
+    df = df.select(*schemas.COMPONENTS.fieldNames())
+    whole = F.coalesce((F.size("scores") > 0) & (F.size("scores") == F.col("grid_w") * F.col("grid_h")) & F.col("fusion").isin("max", "mean") & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    named = F.concat(F.lit("view "), F.coalesce(F.col("component_ix").cast("string"), F.lit("?")), F.lit(" of "), F.coalesce("image_id", F.lit("?")), F.lit(": grid, box or fusion"))
+    scores = F.when(whole, F.col("scores")).otherwise(F.raise_error(named).cast("array<float>"))  # in a column that is kept
+    df.withColumn("scores", scores).write.parquet(path)
+
+
+def read_components(spark: SparkSession, path: str) -> DataFrame:
+    """Views as ``write_components`` writes them; a table of other columns or types raises ValueError."""
+    df = spark.read.parquet(path)
+    kinds = {f.name: f.dataType.simpleString() for f in schemas.COMPONENTS.fields}
+    if dict(df.dtypes) != kinds:
+        raise ValueError(f"{path}: columns {dict(df.dtypes)}, {kinds} are expected")
+    return df
+
+
+def metric_summary(metrics: DataFrame) -> DataFrame:
+    """(category, num_images, metrics...) by category, and a row 'mean' with the sum of images and the means of the metrics: a metric that a file lacks is 0, but ``aupro`` stays NULL and out of the mean."""
+    names = schemas.METRICS.fieldNames()[3:]
+    filled = metrics.select("category", F.coalesce("num_images", F.lit(0)).alias("num_images"), *[F.col(n) if n == "aupro" else F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    return with_mean_row(filled, "category", ["num_images"], names)
 
 
 def rendered(components: DataFrame) -> DataFrame:
