@@ -143,6 +143,32 @@ def whole_numbers(c: Column) -> Column:
     return F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))
 
 
+#: The words of a flag.
+YES, NO = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
+
+
+def flag(c: Column) -> Column:
+    """A word as BOOLEAN; NULL and blank give NULL, any other word fails when it is read."""
+    word = F.nullif(F.lower(strip_blank(c)), F.lit(""))
+    return F.when(word.isin(*YES), True).when(word.isin(*NO), False).when(word.isNotNull(), F.raise_error(F.concat(F.lit("no flag: "), c)).cast("boolean"))
+
+
+def fraction(c: Column) -> Column:
+    """A number from 0 to 1 written as '0.25', '25%' or '1/4'; NULL and blank give NULL, anything else fails when it is read."""
+    word = F.nullif(strip_blank(c), F.lit(""))
+    parts_ = F.split(word, "/")
+    top, bottom = (F.get(parts_, F.lit(i)).try_cast("double") for i in (0, 1))
+    percent = F.regexp_extract(word, r"^(.*)%$", 1).try_cast("double") / 100
+    x = F.when(F.endswith(word, F.lit("%")), percent).when(F.size(parts_) == 2, top / F.when(bottom != 0, bottom)).otherwise(word.try_cast("double"))
+    return F.when(word.isNull(), None).when((x >= 0) & (x <= 1), x).otherwise(F.raise_error(F.concat(F.lit("no fraction: "), c)).cast("double"))
+
+
+def report_rank(category: Column, method: Column, methods: Sequence[str]) -> Column:
+    """A struct to order a report by: 'macro' first and 'mean' last among the categories, methods in their given order and others after them."""
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(methods) for x in (m, i)]), method), F.lit(999))
+    return F.struct(F.when(category == "macro", 0).when(category == "mean", 2).otherwise(1).alias("a"), category.alias("b"), place.alias("c"), method.alias("d"))
+
+
 def fixed_point(c: Column, digits: int = 4) -> Column:
     """A number with so many digits, 'inf' and '-inf' as words, '-' for NULL and NaN."""
     x = c.cast("double")

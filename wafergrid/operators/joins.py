@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +40,70 @@ def fill_from(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequ
 
 
 def paired(baseline: DataFrame, candidate: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """(key..., baseline, candidate) of the keys that both have."""
+    """(key..., baseline, candidate) of the keys that both have; ``paired_strictly`` demands the same keys of both."""
     return baseline.select(*key, F.col(value).alias("baseline")).join(candidate.select(*key, F.col(value).alias("candidate")), list(key))
 
 
+def _one_row_a_key(df: DataFrame, key: Sequence[str], side: str) -> DataFrame:
+    """(key..., r): the row of each key as a struct; a key met twice, or with a NULL, fails when it is read."""
+    named = F.concat(F.lit(f"{side}: repeated or missing key "), F.to_json(F.struct(*key)))
+    twice = (F.count("*") > 1) | F.max(F.when(F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)), True).otherwise(False))
+    rest = F.struct(*[c for c in df.columns if c not in key])
+    kind = df.select(rest.alias("r")).schema["r"].dataType
+    return df.groupBy(*key).agg(F.first(rest).alias("r"), twice.alias("__twice")).select(*key, F.when(F.col("__twice"), F.raise_error(named).cast(kind)).otherwise(F.col("r")).alias("r"))
+
+
+def matched(sides: Mapping[str, DataFrame], key: Sequence[str], *, optional: Sequence[str] = ()) -> DataFrame:
+    """(key..., a struct for each side): rows of several relations by a key that each has once.
+
+    A repeated key, and a key that a side lacks, fail when they are read and are named; NULL is no key. A side among
+    ``optional`` may have keys more than the others, which are left out. The checks are part of the one join.
+    """
+    out, names = None, list(sides)
+    for name, df in sides.items():
+        r = _one_row_a_key(df, key, name).withColumnRenamed("r", name)
+        out = r if out is None else out.join(r, list(key), "full")
+    needed = [n for n in names if n not in optional]
+    if optional:
+        out = out.where(F.greatest(*[F.col(n).isNotNull() for n in needed], F.lit(False)))
+    lacking = F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.lit(n)) for n in names])
+    named = F.concat(F.lit("no row of "), lacking, F.lit(" for key "), F.to_json(F.struct(*key)))
+    first = names[0]
+    kind = out.schema[first].dataType
+    whole = F.when(lacking == "", F.col(first)).otherwise(F.raise_error(named).cast(kind))
+    return out.withColumn(first, whole)
+
+
+def paired_strictly(baseline: DataFrame, candidate: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """(key..., baseline, candidate): both sides have the same keys, each once; anything else fails when it is read (see ``matched``)."""
+    found = matched({"baseline": baseline.select(*key, F.col(value).alias("v")), "candidate": candidate.select(*key, F.col(value).alias("v"))}, key)
+    return found.select(*key, F.col("baseline.v").alias("baseline"), F.col("candidate.v").alias("candidate"))
+
+
+def missing_partners(sides: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
+    """(key..., missing): the keys that not every side has, once, with the names of the sides that lack them."""
+    out = None
+    for name, df in sides.items():
+        r = df.select(*key).distinct().withColumn(f"__{name}", F.lit(True))
+        out = r if out is None else out.join(r, list(key), "full")
+    lacking = F.concat_ws(",", *[F.when(F.col(f"__{n}").isNull(), F.lit(n)) for n in sides])
+    return out.select(*key, lacking.alias("missing")).where("missing <> ''")
+
+
+def required_but_missing(required: DataFrame, observed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key...): what is required but not observed; none if the required set lies within the observed one."""
+    return required.select(*key).distinct().join(observed.select(*key).distinct(), list(key), "left_anti")
+
+
+def bag_union(parts: Mapping[str, DataFrame], source: str = "source") -> DataFrame:
+    """The rows of all relations with the name of theirs; a column that one lacks is NULL there. Repeated rows stay."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn(source, F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def join_groups_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on ``keys`` in which NULL equals NULL; the left's keys stay."""
     renamed = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])

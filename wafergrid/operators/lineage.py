@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wafergrid.operators.metrics import exact_quantiles
 from wafergrid.session import written
 
 #: Which method's results a method needs, of the same category, fold, shots and seed.
@@ -39,6 +41,22 @@ def ablation_matrix(spark: SparkSession, ablations: Mapping[str, str], categorie
     return a.select(run_id(F.col("method"), F.col("category"), F.lit(fold), F.lit(k), F.lit(seed), F.col("variant")).alias("run_id"), "method", "category", "variant")
 
 
+def filtered_runs(runs: DataFrame, *, run_id: str | None = None, method: str | None = None, category: str | None = None) -> DataFrame:
+    """The runs of a matrix that fit all filters given; ValueError if none does."""
+    for name, value in (("run_id", run_id), ("method", method), ("category", category)):
+        runs = runs if value is None else runs.where(F.col(name) == value)
+    if not runs.limit(1).count():
+        raise ValueError("the filters select no run")
+    return runs
+
+
+def matrix_ok(runs: DataFrame, failures: DataFrame) -> DataFrame:
+    """(method, n_runs, n_failed, ok): by method, how many runs of a matrix have a failure. ``failures``: run_id, any number of rows a run."""
+    bad = failures.select("run_id").distinct().withColumn("__bad", F.lit(1))
+    g = runs.select("run_id", "method").distinct().join(bad, "run_id", "left").groupBy("method").agg(F.count("*").alias("n_runs"), F.count("__bad").alias("n_failed"))
+    return g.withColumn("ok", F.col("n_failed") == 0)
+
+
 def dependency_edges(runs: DataFrame) -> DataFrame:
     """(run_id, needs): the runs whose results a run reads, by the rules of ``NEEDS``. ``runs``: run_id, method, category, fold_id, k, seed."""
     rules = F.create_map(*[x for m, ns in NEEDS.items() for x in (F.lit(m), F.array(*map(F.lit, ns)))])
@@ -132,8 +150,29 @@ def identity(fields: Mapping[str, Column]) -> Column:
 
 
 def table_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(n_rows, checksum): of the set of rows, whatever their order."""
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+    """(n_rows, checksum): of the bag of rows, whatever their order: the sum of the first 48 bits of each row's MD5. The columns are text, or turned to it, and parted by a unit separator; NULL is a record separator."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns])
+    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("checksum"))
+
+
+def evidence_manifest(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """(name, n_rows, checksum) of each relation (see ``table_checksum``): two states of the evidence are the same if their manifests are."""
+    return reduce(DataFrame.unionByName, [table_checksum(df, columns).select(F.lit(n).alias("name"), "n_rows", "checksum") for n, (df, columns) in tables.items()])
+
+
+def changed_identities(before: DataFrame, after: DataFrame, key: str, identity_: str) -> DataFrame:
+    """(key, change): what can't be resumed: keys whose identity is 'changed', 'added' or 'removed'. NULL identities are equal to each other only."""
+    a, b = before.select(key, F.col(identity_).alias("__a"), F.lit(True).alias("__x")), after.select(key, F.col(identity_).alias("__b"), F.lit(True).alias("__y"))
+    change = F.when(F.col("__x").isNull(), "added").when(F.col("__y").isNull(), "removed").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
+    return a.join(b, key, "full").select(key, change.alias("change")).where("change is not null")
+
+
+def recalibrated(thresholds: DataFrame, scores: DataFrame, by: Sequence[str], threshold: str, score: str, quantile: float) -> DataFrame:
+    """(by..., threshold, n_scores, again, close): stored thresholds beside those worked out again from the scores of their group; without scores ``close`` is NULL."""
+    again = exact_quantiles(scores, by, score, [quantile]).select(*by, F.col("q0").alias("again"), F.col("n").alias("n_scores"))
+    j = thresholds.select(*by, F.col(threshold).alias("threshold")).join(again, list(by), "left")
+    return j.select(*by, "threshold", F.coalesce("n_scores", F.lit(0)).alias("n_scores"), "again", close_to(F.col("threshold"), F.col("again")).alias("close"))
 
 
 def support_violations(support: DataFrame, manifest: DataFrame, runs: DataFrame) -> DataFrame:

@@ -45,6 +45,14 @@ def too_small(df: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") < k)
 
 
+def few_shots(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int) -> DataFrame:
+    """As ``first_k``; a group with fewer than ``k`` different keys fails when it is read."""
+    chosen = first_k(df, by, key, k, seed)
+    n = F.count("*").over(Window.partitionBy(*by))  # of at most k rows
+    named = F.concat(F.lit(f"fewer than {k} samples in "), F.to_json(F.struct(*by)))
+    return chosen.withColumn("place", F.when(n >= k, F.col("place")).otherwise(F.raise_error(named).cast(chosen.schema["place"].dataType)))
+
+
 def train_validation(df: DataFrame, by: Sequence[str], key: str, split: str, ratio: float, seed: int) -> DataFrame:
     """``df`` with a part of each group's train rows turned to 'val': the rounded fraction, at least 1, and not the last one; other rows stay."""
     placed = seeded_places(df, [*by, split], key, seed, "__place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,31 @@ def macro_by_seed(df: DataFrame, by: Sequence[str], category: str, seed: str, va
     return own.unionByName(macro)
 
 
+def checked_grid(df: DataFrame, by: Sequence[str], category: str, seed: str) -> DataFrame:
+    """``df`` itself; ValueError if a group of ``by`` has a category and seed twice, or categories of different seeds."""
+    cells = df.groupBy(*by, category, seed).agg(F.count("*").alias("__n"))
+    sizes = cells.groupBy(*by).agg(F.max("__n").alias("most"), F.count("*").alias("cells"), F.count_distinct(category).alias("categories"), F.count_distinct(seed).alias("seeds"))
+    bad = sizes.where("most > 1 or cells <> categories * seeds").limit(1).collect()
+    if bad:
+        what = "a cell more than once" if bad[0]["most"] > 1 else "categories that don't have the same seeds"
+        raise ValueError(f"{ {b: bad[0][b] for b in by} } has {what}")
+    return df
+
+
+def macro_with_intervals(df: DataFrame, by: Sequence[str], category: str, seed: str, value: str, *, confidence: float = 0.95, samples: int = 2000, random_seed: int = 4880) -> DataFrame:
+    """(by..., category, n_categories, n_seeds, mean, seed_std, ci_low, ci_high, aggregation): as ``macro_by_seed``, with intervals of the means over seeds.
+
+    The grid is checked first (see ``checked_grid``). A bootstrap is over the seeds of one group, which are few.
+    """
+    rows = checked_grid(df, by, category, seed).select(*by, F.col(category).alias("category"), F.col(seed).alias("seed"), F.col(value).cast("double").alias("v"))
+    macro = rows.groupBy(*by, "seed").agg(F.avg("v").alias("v"), F.count("*").alias("n_categories")).withColumn("category", F.lit("macro"))
+    both = rows.withColumn("n_categories", F.lit(1).cast("long")).withColumn("aggregation", F.lit("within_category")).unionByName(macro.withColumn("aggregation", F.lit("category_macro")))
+    keys = [*by, "category", "n_categories", "aggregation"]
+    spread = both.groupBy(*keys).agg(F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("seed_std"))
+    found = bootstrap_ci(both, keys, ["seed"], "v", confidence=confidence, samples=samples, seed=random_seed).withColumnRenamed("n", "n_seeds").join(spread, keys)
+    return found.select(*by, F.col("category").alias(category), "n_categories", "n_seeds", "mean", "seed_std", "ci_low", "ci_high", "aggregation")
+
+
 def unpivoted(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(ids..., metric, value): one row a metric; NULL and NaN are left out."""
     good = [F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(m) for m in metrics]
@@ -157,6 +182,24 @@ def clustered_bootstrap(df: DataFrame, by: Sequence[str], *, category: str, shot
     return df.groupBy(*by).applyInPandas(one, f"{kinds}, mean_delta double, ci_low double, ci_high double, seed_std double, n_rows long, n_images long")
 
 
+def scoped(df: DataFrame, scopes: Mapping[str, Column]) -> DataFrame:
+    """``df`` once for all rows ('overall', 'all') and once for each of ``scopes`` (name to the column of its levels), with ``scope`` and ``level``; rows whose level is NULL aren't in that scope."""
+    places = [F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("level")), *[F.struct(F.lit(n).alias("scope"), c.cast("string").alias("level")) for n, c in scopes.items()]]
+    return df.withColumn("__s", F.explode(F.array(*places))).where("__s.level is not null").select("*", "__s.scope", "__s.level").drop("__s")
+
+
+def comparison_intervals(df: DataFrame, scopes: Mapping[str, Column], metrics: Mapping[str, tuple[str, str]], **options) -> DataFrame:
+    """(metric, scope, level, mean_delta, ci_low, ci_high, seed_std, n_rows, n_images): repeated-measures intervals of candidate minus baseline, over all rows and each level of each scope.
+
+    ``metrics``: name to the columns of baseline and candidate. ``options``: those of ``clustered_bootstrap``.
+    """
+    rows = [df.select("*", F.lit(m).alias("metric"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")) for m, (a, b) in metrics.items()]
+    long = rows[0]
+    for r in rows[1:]:
+        long = long.unionByName(r)
+    return clustered_bootstrap(scoped(long, scopes), ["metric", "scope", "level"], baseline="__a", candidate="__b", **options)
+
+
 def decision(f1_low: Column, f1_high: Column, iou_low: Column, iou_high: Column) -> Column:
     """'improves' if both intervals lie above 0, 'inferior' if both lie below, else 'mixed'."""
     return F.when((f1_low > 0) & (iou_low > 0), "improves").when((f1_high < 0) & (iou_high < 0), "inferior").otherwise("mixed")

@@ -340,6 +340,7 @@ ORACLE = {
     "classify_errors": """WITH l AS (SELECT lower(coalesce(text, '')) AS t FROM documents) SELECT CASE WHEN contains(t, 'missing') OR contains(t, 'no such') OR contains(t, 'directory must be real') THEN 'missing' WHEN contains(t, 'failed') OR contains(t, 'not complete') THEN 'failed'
       WHEN contains(t, 'duplicate') THEN 'duplicate' WHEN contains(t, 'dependency') OR contains(t, 'ancestor') THEN 'dependency' WHEN contains(t, 'stale') OR contains(t, 'identity') OR contains(t, 'checksum') THEN 'stale' WHEN contains(t, 'manifest row set') OR contains(t, 'metric') OR contains(t, 'evidence class') THEN 'semantic' ELSE 'artifact' END AS failure, count(*) AS n_docs FROM l GROUP BY 1""",
     "lineage_hash": f"""WITH {_RUNS} SELECT run_id, sha256('{{"category":"' || category || '","k":' || k || ',"method":"' || method || '","seed":' || seed || '}}') AS identity FROM runs""",
+    "table_checksum": f"WITH {_RUNS} SELECT count(*) AS n_rows, coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}::VARCHAR, chr(30))" for c in ("run_id", "method", "category", "fold_id", "k", "seed")) + ")), 1, 12))::BIGINT), 0)::HUGEINT::VARCHAR AS checksum FROM runs",
     "support_violations": f"""WITH {RECORDS}, {_RUNS}, r AS (SELECT category, sample_id, row_number() OVER (PARTITION BY category ORDER BY record_id) AS n FROM records WHERE sample_id IS NOT NULL), s AS (SELECT run_id, runs.category, sample_id, k FROM runs JOIN r USING (category) WHERE k > 0 AND n <= k),
       c AS (SELECT run_id, k, count(sample_id) AS n, count(DISTINCT sample_id) AS d FROM runs LEFT JOIN s USING (run_id, k) WHERE k > 0 GROUP BY ALL), g AS (SELECT DISTINCT category, sample_id FROM records WHERE split = 'train' AND label = 0)
       SELECT run_id, 'count' AS violation FROM c WHERE n <> k UNION ALL SELECT run_id, 'repeated' FROM c WHERE n <> d UNION ALL SELECT DISTINCT run_id, 'not_normal_train' FROM s ANTI JOIN g USING (category, sample_id)""",
