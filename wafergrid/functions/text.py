@@ -82,12 +82,16 @@ def looks_like_test(path: Column) -> Column:
     return F.lower(stem(path)).rlike("test")
 
 
+def id_variants(token: Column, stem_: Column, bare: Column) -> Column:
+    """As ``split_id_variants``, of a token whose stem, and stem without the mark of a test, are worked out already."""
+    base = F.nullif(bare, F.lit(""))
+    more = F.when(bare.isNull(), F.array(F.concat(stem_, F.lit("_test")))).otherwise(F.when(base.isNotNull(), F.array(base, F.concat(base, F.lit("_test")))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(F.array(token, file_name(token), stem_), more))
+
+
 def split_id_variants(token: Column) -> Column:
     """The ways a line of a split list may name a sample: as it is, the file name, the stem, and the stem without or with the mark of a test."""
-    s = stem(token)
-    base = F.nullif(without_marker(s), F.lit(""))
-    more = F.when(without_marker(s).isNull(), F.array(F.concat(s, F.lit("_test")))).otherwise(F.when(base.isNotNull(), F.array(base, F.concat(base, F.lit("_test")))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(F.array(token, file_name(token), s), more))
+    return id_variants(token, stem(token), without_marker(stem(token)))
 
 
 def annotation_stems(path: Column) -> Column:

@@ -149,8 +149,8 @@ def cache_lookup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, root: str) -> DataFrame:
-    """One row a run."""
-    r = table(spark, root, "run_specs").where("variant = 'primary'")
+    """One row a run, ablations too."""
+    r = table(spark, root, "run_specs")
     return r.select("run_id", "method", "category", F.col("fold_id"), "k", "seed").distinct()
 
 
@@ -289,7 +289,7 @@ def _pair(a: str, b: str) -> str:
     return f"(SELECT x.category, x.k, x.seed, y.price - x.price AS d FROM results x JOIN results y USING (category, k, seed) WHERE x.method = '{a}' AND y.method = '{b}')"
 
 
-_RUNS = "runs AS (SELECT DISTINCT run_id, method, category, fold_id, k, seed FROM run_specs WHERE variant = 'primary')"
+_RUNS = "runs AS (SELECT DISTINCT run_id, method, category, fold_id, k, seed FROM run_specs)"
 _EDGES = "edges AS (SELECT run_id, n || '__' || category || '__fold' || fold_id || '__k' || k || '__seed' || seed AS needs FROM runs JOIN (VALUES ('dinov2_single_sam2', 'dinov2_single'), ('dinov2_multi_sam2', 'dinov2_multi'), ('anomaly_consistent_sam2', 'dinov2_multi'), ('anomaly_consistent_sam2', 'dinov2_multi_sam2')) v(m, n) ON m = method)"
 _CLOSE = "reach(run_id, needs, depth) AS (SELECT run_id, needs, 1 FROM e UNION ALL SELECT r.run_id, e.needs, depth + 1 FROM reach r JOIN e ON e.run_id = r.needs)"
 _LISTED = "e AS (SELECT DISTINCT run_id, unnest(dependencies) AS needs FROM run_specs)"

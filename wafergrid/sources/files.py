@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wafergrid.functions import text
+from wafergrid.functions.paths import once
 from wafergrid.operators.joins import last_of_each
 from wafergrid.operators.stats import with_mean_row
 from wafergrid.session import path_exists
@@ -66,7 +67,9 @@ def read_split_list(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id): every way in which the tokens of a split list may name a sample. Blank lines and those that start with # are passed over; of a line the tokens between blanks count."""
     lines = spark.read.text(path).where("trim(value) <> '' and not trim(value) like '#%'")
     token = lines.select(F.explode(F.split(F.trim("value"), r"[\s,]+")).alias("t")).where("t <> ''")
-    return token.select(F.explode(text.split_id_variants(F.col("t"))).alias("sample_id")).distinct()
+    for name, value in (("s", text.stem(F.col("t"))), ("bare", text.without_marker(F.col("s"))), ("v", text.id_variants(F.col("t"), F.col("s"), F.col("bare")))):
+        token = once(token, name, value)  # step by step: as one expression it is too long to compile
+    return token.select(F.explode("v").alias("sample_id")).distinct()
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
