@@ -60,7 +60,9 @@ def _oracle() -> dict[str, str]:
       r AS (SELECT DISTINCT {place_sql('p', 'output_root')} AS place FROM p LEFT JOIN o USING (run_id)),
       f AS (SELECT file_id, size_bytes, {place_sql('file_path', "''")} AS place FROM artifact_files WHERE size_bytes > 0 AND size_bytes < {TINY}),
       t AS (SELECT place, min(file_id) AS file_id, arg_min(size_bytes, file_id) AS size_bytes FROM f WHERE place IN (SELECT place FROM r) GROUP BY place)"""
-    return {"p2_found": f"{tiny} SELECT file_id FROM t"}
+    # the files published: one shard's bytes by the wanted size, as long as there is one shard
+    report = f"{tiny} SELECT list_extract(string_split(place, '/'), -2) AS kind, count(*) AS n_artifacts, sum(size_bytes)::BIGINT AS n_bytes, count(DISTINCT place) AS n_places, (SELECT greatest(1, round(sum(size_bytes) / {128 << 20}))::BIGINT FROM t) AS n_output_files FROM t GROUP BY 1"
+    return {"p2_found": f"{tiny} SELECT file_id FROM t", "p2_compacted_report": report}
 
 
 ORACLE = _oracle()
