@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from wafergrid.llm import bpe, packing, reading
 
-tiktoken = pytest.importorskip("tiktoken")
-
 
 @pytest.fixture(scope="module")
 def other():
+    tiktoken = pytest.importorskip("tiktoken")
     with open(bpe.VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("other", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -88,6 +87,21 @@ def test_pieces(spark):
         packing.pack(spark.createDataFrame(rows, "id int, n long"), "id", "n", 0)
 
 
+def test_waste_is_bounded(spark):
+    """Best fit leaves at most one container of a shard no more than half full, and needs at most 11/9 of the least number and a few."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(np.minimum(rng.lognormal(5, 1.2, 4_000), 2048).astype(int))], "id int, n long")
+    got = packing.pack(items, "id", "n", 2048, shard_items=1_000).groupBy("container").agg(F.sum("n_tokens").alias("n")).collect()
+    shards: dict[int, list] = {}
+    for r in got:
+        shards.setdefault(r.container >> 40, []).append(r.n)
+    assert len(shards) == 4
+    for used in shards.values():
+        assert sum(u <= 1024 for u in used) <= 1 and len(used) <= 11 / 9 * -(-sum(used) // 2048) + 1
+
+
 def test_shards_never_share_containers(spark):
     items = spark.range(3_000).select("id", (F.col("id") * 37 % 300).alias("n"))
     got = packing.pack(items, "id", "n", 512, shard_items=500)

@@ -96,10 +96,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _standard(thumbs: list[bytes], kind_of: type = np.float64) -> np.ndarray:
     """Rows of packed thumbs less their mean, of length 1."""
     x = np.empty((len(thumbs), 64), kind_of)
+    if len(data := b"".join(thumbs)) == 64 * len(thumbs) and all(len(t) == 64 for t in thumbs):
+        x[:] = np.frombuffer(data, "u1").reshape(-1, 64)
+        return _centred(x)
     for size, kind in ((64, "u1"), (128, "<i2")):
         at = [i for i, t in enumerate(thumbs) if len(t) == size]
         if at:
             x[at] = np.frombuffer(b"".join([thumbs[i] for i in at]), kind).reshape(len(at), 64)
+    return _centred(x)
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
     x -= x.mean(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -117,7 +124,7 @@ def jaccard(p: np.ndarray, q: np.ndarray, params: BandParams) -> np.ndarray:
 
 
 def bucket_arrays(thumbs: DataFrame, params: BandParams) -> DataFrame:
-    """(class_id, buckets ARRAY<BIGINT>): the bucket of each band."""
+    """(class_id, buckets ARRAY<INT>): the bucket of each band. Of 32 bits, since chance brings two thumbs together far less often than their shingles do."""
     n, levels = params.offsets, 2 * math.ceil(8 / params.step) + 2  # standardised values lie between -8 and 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +146,12 @@ def bucket_arrays(thumbs: DataFrame, params: BandParams) -> DataFrame:
                 for r in range(params.rows):
                     bucket += (least[:, taken[:, r]].astype(np.uint64) + np.uint64(1)) * odd[r]
                     bucket ^= bucket >> np.uint64(29)
-                parts.append(bucket.view(np.int64).ravel())
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                parts.append((bucket >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * params.bands, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("class_id"), lists], names=["class_id", "buckets"])
 
-    return thumbs.select("class_id", "thumb").mapInArrow(run, "class_id long, buckets array<long>")
+    return thumbs.select("class_id", "thumb").mapInArrow(run, "class_id long, buckets array<int>")
 
 
 def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:

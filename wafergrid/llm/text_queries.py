@@ -37,10 +37,10 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_container_report(spark: SparkSession, root: str) -> DataFrame:
-    """How well the containers are filled."""
+    """How well the containers are filled; ``n_least`` is the number that no packing can do with less than."""
     bins = p7_packed(spark, root).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n_pieces"))
     return bins.agg(
-        F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.sum("n_pieces").alias("n_pieces"),
+        F.count("*").alias("n_containers"), F.ceil(F.sum("used") / CAPACITY).alias("n_least"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.sum("n_pieces").alias("n_pieces"),
         F.round(F.sum("used") / (F.count("*") * CAPACITY), 6).alias("filled"),
     )
 
