@@ -8,7 +8,7 @@ from wafergrid.llm import queries
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 #: The rows of these follow the rows given, which are other ones with NULL and repeated rows in them; they must run.
-FOLLOW = {"p6_ids", "p7_packed", "p7_container_report", "p8_found", "p8_levels", "p8_level_profile", "p5_overlap_report"}
+FOLLOW = {"p6_ids", "p7_packed", "p7_container_report", "p8_found", "p8_levels", "p8_level_profile", "p8_heldout_accuracy", "p5_overlap_report"}
 
 
 @pytest.fixture(scope="module", params=degenerate.KINDS)

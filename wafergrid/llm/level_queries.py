@@ -68,7 +68,7 @@ def p8_heldout_accuracy(spark: SparkSession, root: str) -> DataFrame:
     calibration = calibrated(measures.join(labels.where(~held), KEY), "reading_level", PARAMS)
     judged = with_level(measures.join(labels.where(held), KEY), calibration, PARAMS)
     off = F.abs(F.col("level") - F.col("reading_level"))
-    return judged.agg(F.count("*").alias("n_opinions"), F.round(F.avg((off == 0).cast("int")), 4).alias("same"), F.round(F.avg((off <= 1).cast("int")), 4).alias("within_one"))
+    return judged.agg(F.count("*").alias("n_opinions"), F.round(F.avg((off == 0).cast("int")), 4).alias("same"), F.round(F.avg((off <= 1).cast("int")), 4).alias("within_one")).where("n_opinions > 0")
 
 
 QUERIES = {"p8_found": p8_found, "p8_levels": p8_levels, "p8_level_profile": p8_level_profile, "p8_heldout_accuracy": p8_heldout_accuracy}
