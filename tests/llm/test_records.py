@@ -282,7 +282,8 @@ def test_overlaps_near_by_their_layout(spark):
     m = spark.createDataFrame([(f"s{i}", None, t) for i, t in enumerate(thumbs)], "sample_id string, image_sha256 string, thumb array<smallint>")
     c = np.corrcoef(np.array(thumbs))
     want = {(a, b) for a in range(0, 400, 2) for b in range(1, 400, 2) if c[a, b] >= 0.95}
-    assert {(x.train_id, x.eval_id) for x in overlaps.cross_split_pairs(r, m).collect()} == want
+    for params in (overlaps.BandParams(), overlaps.BandParams(slice_thumbs=40), overlaps.BandParams(slice_thumbs=6, together=256)):  # in slices, and in blocks of them
+        assert {(x.train_id, x.eval_id) for x in overlaps.cross_split_pairs(r, m, params).collect()} == want
     assert len(want) > 1000
 
 

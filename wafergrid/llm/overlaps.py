@@ -42,18 +42,20 @@ _NARROW = "".join(map(chr, range(0x21, 0x7F)))
 @dataclass(frozen=True)
 class BandParams:
     """Correlation asked for; least Jaccard similarity of the shingles, below what that correlation leaves; width of a step in
-    deviations, and offsets; minwise hashes a thumb; bands, hashes a band, and bands that a candidate shares. A band takes
-    its hashes from all of them, so several bands have one in common. With the defaults a pair at a correlation of exactly
-    0.95 becomes a candidate with a chance of 0.997, at 0.96 of 0.9999, and from 0.97 on none was missed in 10,000."""
+    deviations, and offsets; minwise hashes a thumb; bands, and hashes a band. A band takes its hashes from all of them,
+    so several bands have one in common. With the defaults a pair at a correlation of exactly 0.95 becomes a candidate with a
+    chance of 0.998, at 0.96 of 0.9998, and from 0.97 on none was missed in 10,000. ``together``: bands whose buckets are looked
+    through in one task; ``slice_thumbs``: thumbs whose buckets of these bands are as many as one task should hold of a side."""
 
     correlation: float = 0.95
     jaccard: float = 0.6
     step: float = 1.5
     offsets: int = 8
     hashes: int = 512
-    bands: int = 320
+    bands: int = 256
     rows: int = 10
-    shared: int = 2
+    together: int = 32
+    slice_thumbs: int = 65_536
     seed: int = 4880
 
 
@@ -93,9 +95,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=batch.schema.names)
 
 
-def _standard(thumbs: list[bytes], kind_of: type = np.float64) -> np.ndarray:
+def _standard(thumbs: list[bytes]) -> np.ndarray:
     """Rows of packed thumbs less their mean, of length 1."""
-    x = np.empty((len(thumbs), 64), kind_of)
+    x = np.empty((len(thumbs), 64))
     if len(data := b"".join(thumbs)) == 64 * len(thumbs) and all(len(t) == 64 for t in thumbs):
         x[:] = np.frombuffer(data, "u1").reshape(-1, 64)
         return _centred(x)
@@ -113,69 +115,142 @@ def _centred(x: np.ndarray) -> np.ndarray:
 
 def quantised(z: np.ndarray, params: BandParams) -> np.ndarray:
     """Rows of ``_standard`` as whole numbers of the distance between two offsets: the steps of all offsets follow from these."""
-    return np.floor(z * (8 * params.offsets / params.step)).astype(np.int16)
+    return np.floor(z * (8 * params.offsets / params.step)).astype(np.int8)
 
 
 def jaccard(p: np.ndarray, q: np.ndarray, params: BandParams) -> np.ndarray:
     """Jaccard similarity of the shingle sets of quantised thumbs, row by row: of so many offsets two values share the steps of all but as many as they differ by."""
     n = params.offsets
-    common = np.maximum(n - np.abs(p - q), 0).sum(1, dtype=np.int64)
+    common = np.maximum(n - np.abs(p - q), 0).sum(1, dtype=np.int32)
     return common / (2 * n * p.shape[1] - common)
 
 
-def bucket_arrays(thumbs: DataFrame, params: BandParams) -> DataFrame:
-    """(class_id, buckets ARRAY<INT>): the bucket of each band. Of 32 bits, since chance brings two thumbs together far less often than their shingles do."""
+def _bucket_maker(params: BandParams):
+    """A function from quantised thumbs to their buckets, a column a band. Of 32 bits, since chance brings two thumbs together far less often than their shingles do."""
     n, levels = params.offsets, 2 * math.ceil(8 / params.step) + 2  # standardised values lie between -8 and 8
+    rng = np.random.default_rng(params.seed)
+    ranks = rng.integers(0, 1 << 16, (64 * n * levels, params.hashes), dtype=np.uint16)  # of each shingle in each order
+    taken = np.stack([rng.choice(params.hashes, params.rows, replace=False) for _ in range(params.bands)])
+    odd = rng.integers(0, 1 << 63, (params.rows, params.bands)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    salt = rng.integers(0, 1 << 63, params.bands).astype(np.uint64)
+    first = np.arange(64 * n) * levels + levels // 2
+
+    def buckets(q: np.ndarray) -> np.ndarray:
+        out = np.empty((len(q), params.bands), np.uint32)
+        for i in range(0, len(q), 512):
+            part = q[i : i + 512].astype(np.int64)
+            shingle = ((part[:, :, None] + np.arange(n)) // n).reshape(len(part), 64 * n) + first
+            least = np.full((len(part), params.hashes), 65_535, np.uint16)
+            for j in range(64 * n):
+                np.minimum(least, ranks[shingle[:, j]], out=least)
+            bucket = np.tile(salt, (len(part), 1))
+            for r in range(params.rows):
+                bucket += (least[:, taken[:, r]].astype(np.uint64) + np.uint64(1)) * odd[r]
+                bucket ^= bucket >> np.uint64(29)
+            out[i : i + 512] = bucket >> np.uint64(32)
+        return out
+
+    return buckets
+
+
+_PACKED = "bands int, slice int, train boolean, block long, n long, ids binary, quantised binary, counts binary, buckets binary"
+
+
+def packed_buckets(classes: DataFrame, params: BandParams, slices: int) -> DataFrame:
+    """The buckets of a batch of thumbs as one row for each side, group of bands and slice of the buckets: class ids, quantised thumbs, how many buckets each has here, and the buckets."""
+    names = [c.split()[0] for c in _PACKED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(params.seed)
-        ranks = rng.integers(0, 1 << 16, (64 * n * levels, params.hashes), dtype=np.uint16)  # of each shingle in each order
-        taken = np.stack([rng.choice(params.hashes, params.rows, replace=False) for _ in range(params.bands)])
-        odd = rng.integers(0, 1 << 63, (params.rows, params.bands)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        salt = rng.integers(0, 1 << 63, params.bands).astype(np.uint64)
-        first = np.arange(64 * n) * levels + levels // 2
+        make = _bucket_maker(params)
         for batch in batches:
-            parts = []
-            for i in range(0, batch.num_rows, 512):
-                q = quantised(_standard(batch.column("thumb").slice(i, 512).to_pylist()), params).astype(np.int64)
-                shingle = ((q[:, :, None] + np.arange(n)) // n).reshape(len(q), 64 * n) + first
-                least = np.full((len(q), params.hashes), 65_535, np.uint16)
-                for j in range(64 * n):
-                    np.minimum(least, ranks[shingle[:, j]], out=least)
-                bucket = np.tile(salt, (len(q), 1))
-                for r in range(params.rows):
-                    bucket += (least[:, taken[:, r]].astype(np.uint64) + np.uint64(1)) * odd[r]
-                    bucket ^= bucket >> np.uint64(29)
-                parts.append((bucket >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * params.bands, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("class_id"), lists], names=["class_id", "buckets"])
-
-    return thumbs.select("class_id", "thumb").mapInArrow(run, "class_id long, buckets array<int>")
+            if not batch.num_rows:
+                continue
+            ids, sides = batch.column("class_id").to_numpy(), [batch.column(c).to_numpy(zero_copy_only=False) for c in ("train", "eval")]
+            q = quantised(_standard(batch.column("thumb").to_pylist()), params)
+            every = make(q)
+            rows = []
+            for g in range(0, params.bands, params.together):
+                mine = every[:, g : g + params.together]
+                cell = (mine % slices).ravel()
+                order = np.argsort(cell, kind="stable")  # within a slice the rows stay in order
+                ends = np.flatnonzero(np.diff(cell[order], append=-1)) + 1
+                for start, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                    some = order[start:end]
+                    row, bucket = some // mine.shape[1], mine.ravel()[some]
+                    for train, side in zip((True, False), sides):
+                        on = side[row]
+                        if on.any():
+                            at, counts = np.unique(row[on], return_counts=True)
+                            rows.append((g // params.together, int(cell[some[0]]), train, int(ids[0]), len(at), ids[at].astype(np.int64).tobytes(), q[at].tobytes(), counts.astype(np.uint16).tobytes(), bucket[on].tobytes()))
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i : i + 64])))), schema=_PACKED_SCHEMA)
+
+    return classes.select("class_id", "thumb", "train", "eval").mapInArrow(run, _PACKED)
+
+
+_PACKED_SCHEMA = pa.schema([("bands", pa.int32()), ("slice", pa.int32()), ("train", pa.bool_()), ("block", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("ids", "quantised", "counts", "buckets")]])
 
 
 def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
     """(a, b): class ids of different thumbs, a with a training and b with an evaluation record, near enough.
 
-    ``classes``: class_id, thumb BINARY (see ``_packed``), train and eval BOOLEAN.
+    ``classes``: class_id, thumb BINARY (see ``_packed``), train and eval BOOLEAN. Buckets meet by group of bands and
+    slice, in whole arrays instead of rows. Where one bucket has so many thumbs that its slice is too large for a task,
+    both sides of the slice are dealt into blocks, and each block of one meets each of the other.
     """
-    # each side by itself: a filter isn't pushed below Python, which would work out all buckets for either side
-    left, right = (bucket_arrays(classes.where(side), params).select(F.explode("buckets").alias("bucket"), F.col("class_id").alias(n)) for side, n in (("train", "a"), ("eval", "b")))
-    met = left.join(right, "bucket").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    candidates = met.where(F.col("n") >= params.shared).select("a", "b")
+    slices = max(1, -(-classes.count() // params.slice_thumbs))
+    packed = written(packed_buckets(classes, params, slices), "buckets")
+    cell = ["bands", "slice"]
+    dealt = packed.groupBy(*cell).agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / (8 * params.slice_thumbs))).alias(n) for n, c in (("left", F.col("train")), ("right", ~F.col("train")))])
+    rows = packed.join(dealt, cell)
+    own = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("train").withColumn("i", own("left")).withColumn("j", every("right"))
+    right = rows.where("not train").withColumn("j", own("right")).withColumn("i", every("left"))
+
+    right = right.toDF(*[f"r_{c}" for c in right.columns])  # other names, since both sides come of one table
+
+    def unpacked(t: pa.Table, prefix: str = "") -> tuple[np.ndarray, ...]:
+        joined = lambda c, kind: np.frombuffer(b"".join(t.column(prefix + c).to_pylist()), kind)
+        ids, counts = joined("ids", np.int64), joined("counts", np.uint16)
+        return ids, joined("quantised", np.int8).reshape(-1, 64), np.repeat(np.arange(len(ids)), counts), joined("buckets", np.uint32)
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if one.num_rows and other.num_rows:
+            (a, p, arow, abucket), (b, q, brow, bbucket) = unpacked(one), unpacked(other, "r_")
+            order = np.argsort(bbucket, kind="stable")
+            brow, bbucket = brow[order], bbucket[order]
+            low = np.searchsorted(bbucket, abucket, "left")
+            many = np.searchsorted(bbucket, abucket, "right") - low
+            hit = np.flatnonzero(many)
+            arow, low, many = arow[hit], low[hit], many[hit]
+            ends = np.cumsum(many)
+            start = 0
+            while start < len(many):  # about so many pairs at a time
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 262_144, "right")))
+                n = many[start:stop]
+                x = np.repeat(arow[start:stop], n)
+                y = brow[np.repeat(low[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                for k in range(0, len(x), 65_536):
+                    xk, yk = x[k : k + 65_536], y[k : k + 65_536]
+                    good = (jaccard(p[xk], q[yk], params) >= params.jaccard) & (a[xk] != b[yk])
+                    if good.any():
+                        found.append((a[xk[good]], b[yk[good]]))
+                start = stop
+        pairs = np.unique(np.stack([np.concatenate(f) for f in zip(*found)], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    keys = [*cell, "i", "j"]
+    alike = left.groupBy(*keys).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(meet, "a long, b long").distinct()
     thumbs = classes.select("class_id", "thumb")
-    both = candidates.join(thumbs.toDF("a", "ta"), "a").join(thumbs.toDF("b", "tb"), "b")
+    both = alike.join(thumbs.toDF("a", "ta"), "a").join(thumbs.toDF("b", "tb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                x, y = (_standard(part.column(c).to_pylist(), np.float32) for c in ("ta", "tb"))
-                alike = np.flatnonzero(jaccard(quantised(x, params), quantised(y, params), params) >= params.jaccard)
-                part = part.take(pa.array(alike))
-                r = (_standard(part.column("ta").to_pylist()) * _standard(part.column("tb").to_pylist())).sum(1)
-                keep = pa.array(r >= params.correlation - 1e-12)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
+            r = (_standard(batch.column("ta").to_pylist()) * _standard(batch.column("tb").to_pylist())).sum(1)
+            keep = pa.array(r >= params.correlation - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
