@@ -157,14 +157,12 @@ _PACKED = "bands int, slice int, train boolean, block long, n long, ids binary,
 
 
 def packed_buckets(classes: DataFrame, params: BandParams, slices: int) -> DataFrame:
-    """The buckets of a batch of thumbs as one row for each side, group of bands and slice of the buckets: class ids, quantised thumbs, how many buckets each has here, and the buckets."""
+    """The buckets of 2,048 thumbs as one row for each side, group of bands and slice of the buckets: class ids, quantised thumbs, how many buckets each has here, and the buckets."""
     names = [c.split()[0] for c in _PACKED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = _bucket_maker(params)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 2_048) for b in batches for i in range(0, b.num_rows, 2_048)):
             ids, sides = batch.column("class_id").to_numpy(), [batch.column(c).to_numpy(zero_copy_only=False) for c in ("train", "eval")]
             q = quantised(_standard(batch.column("thumb").to_pylist()), params)
             every = make(q)
@@ -201,8 +199,10 @@ def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
     slices = max(1, -(-classes.count() // params.slice_thumbs))
     packed = written(packed_buckets(classes, params, slices), "buckets")
     cell = ["bands", "slice"]
-    dealt = packed.groupBy(*cell).agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / (8 * params.slice_thumbs))).alias(n) for n, c in (("left", F.col("train")), ("right", ~F.col("train")))])
-    rows = packed.join(dealt, cell)
+    most = 8 * params.slice_thumbs
+    sizes = packed.groupBy(*cell).agg(*[F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / most).alias(n) for n, c in (("left", F.col("train")), ("right", ~F.col("train")))])
+    large = F.broadcast(sizes.where("left > 1 or right > 1"))  # none, but for hot buckets: each holds more than ``most`` thumbs
+    rows = packed.join(large, cell, "left").withColumns({n: F.greatest(F.lit(1).cast("long"), F.coalesce(n, F.lit(1).cast("long"))) for n in ("left", "right")})
     own = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.where("train").withColumn("i", own("left")).withColumn("j", every("right"))
