@@ -144,3 +144,13 @@ def test_cores_of_a_bank_of_many_parts(spark, monkeypatch):
     assert far.max() < 1.5 and (np.array([int(r.id) for r in hot]) >= 900).sum() >= 30  # the sparse vectors are all near one that was chosen
     again = vectors.greedy_coreset(df.repartition(5), "g", "id", "v", ratio=0.1).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_draws_in_pieces_are_the_same(monkeypatch):
+    values = np.random.default_rng(2).normal(size=301)
+    want = stats.bootstrap_mean(values, samples=600)
+    whole = np.random.default_rng(4).integers(0, 301, size=(256, 301))
+    for piece in (1, 301 * 7, 301 * 100):
+        monkeypatch.setattr(stats, "PIECE", piece)
+        assert stats.bootstrap_mean(values, samples=600) == want
+        assert (np.concatenate(list(stats._draws(np.random.default_rng(4), 301, 256))) == whole).all()

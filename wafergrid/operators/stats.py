@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Replicates drawn at a time. The draws come in this order from one generator, so it belongs to the result.
 BATCH = 256
+#: So many numbers are drawn into memory at once.
+PIECE = 1 << 22
 
 
 def macro_by_seed(df: DataFrame, by: Sequence[str], category: str, seed: str, value: str) -> DataFrame:
@@ -109,10 +111,17 @@ def bootstrap_mean(values: np.ndarray, confidence: float = 0.95, samples: int =
     values, rng = np.asarray(values, dtype=np.float64), np.random.default_rng(seed)
     if not values.size or not np.isfinite(values).all():
         raise ValueError("values must be finite, and at least one")
-    drawn = [values[rng.integers(0, values.size, size=(min(BATCH, samples - a), values.size))].mean(axis=1) for a in range(0, samples, BATCH)]
+    drawn = [values[part].mean(axis=1) for a in range(0, samples, BATCH) for part in _draws(rng, values.size, min(BATCH, samples - a))]
     return float(values.mean()), *_interval(np.concatenate(drawn), confidence)
 
 
+def _draws(rng: np.random.Generator, n: int, batch: int) -> Iterator[np.ndarray]:
+    """``batch`` rows of ``n`` numbers below ``n``, in pieces of bounded size: the generator gives the same numbers as for all rows at once."""
+    rows = max(1, PIECE // n)
+    for a in range(0, batch, rows):
+        yield rng.integers(0, n, size=(min(rows, batch - a), n))
+
+
 def bootstrap_ci(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, confidence: float = 0.95, samples: int = 2000, seed: int = 4880) -> DataFrame:
     """(by..., n, mean, ci_low, ci_high) of each group; ``order`` fixes the order in which values are drawn from. NULL and NaN are left out; a group is one task."""
     _checked(confidence, samples)
@@ -167,11 +176,14 @@ def clustered_bootstrap(df: DataFrame, by: Sequence[str], *, category: str, shot
             drawn, total = rng.integers(0, len(seeds), size=(b, len(seeds))), np.zeros(b)
             for cube in cubes:
                 n = cube.shape[2]
-                images = rng.integers(0, n, size=(b, n))
                 # the mean over drawn seeds and images equals that of weights: how often each was drawn
                 ws = np.stack([(drawn == s).sum(1) for s in range(len(seeds))], 1) / len(seeds)
-                wi = np.apply_along_axis(np.bincount, 1, images, minlength=n) / n
-                total += np.einsum("bs,ksn,bn->b", ws, cube, wi, optimize=True)
+                at = 0
+                for images in _draws(rng, n, b):
+                    m = len(images)
+                    wi = np.bincount((images + np.arange(m)[:, None] * n).ravel(), minlength=m * n).reshape(m, n) / n
+                    total[at : at + m] += np.einsum("bs,ksn,bn->b", ws[at : at + m], cube, wi, optimize=True)
+                    at += m
             means.append(total / (len(cubes) * len(shots)))
         strata = np.mean([c.mean(axis=(1, 2)) for c in cubes])
         a_seed = np.mean([c.mean(axis=2) for c in cubes], axis=(0, 1))
