@@ -280,9 +280,10 @@ def overlaps(records: DataFrame, images: DataFrame, params: BandParams = BandPar
     rows = written(rows.select("record_id", "dataset", "split", "train", "sample_id", F.when(F.col("sample_key").isNotNull() & F.col("dataset").isNotNull(), sample).alias("sample_class")), "records")
 
     used = rows.where("sample_id is not null").groupBy("sample_id").agg(F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("eval"))
-    packed = images.where("sample_id is not null").select("sample_id", sha_key(F.col("image_sha256")).alias("sha"), "thumb").mapInArrow(_packed, "sample_id string, sha string, thumb binary")
-    keyed = packed.select("sample_id", F.explode(F.array(F.struct(F.lit(True).alias("sha256"), F.unhex("sha").alias("key")), F.struct(F.lit(False).alias("sha256"), F.col("thumb").alias("key")))).alias("k"))
-    shown = written(keyed.select("sample_id", "k.*").where("key is not null").distinct().join(used, "sample_id"), "shown")
+    images = images.where("sample_id is not null")
+    hashed = images.select("sample_id", F.lit(True).alias("sha256"), F.unhex(sha_key(F.col("image_sha256"))).alias("key"))
+    seen = images.where("thumb is not null").select("sample_id", "thumb").mapInArrow(_packed, "sample_id string, thumb binary").select("sample_id", F.lit(False).alias("sha256"), F.col("thumb").alias("key"))
+    shown = written(hashed.unionByName(seen).where("key is not null").distinct().join(used, "sample_id"), "shown")
 
     hashes = [F.sum(F.xxhash64(F.lit(i), "sha256", "key").cast("decimal(20,0)")).cast("string") for i in (1, 2)]
     told = shown.groupBy("sample_id", "train", "eval").agg(F.concat_ws(":", F.count("*").cast("string"), *hashes).alias("told"))
