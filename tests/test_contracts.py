@@ -154,3 +154,23 @@ def test_draws_in_pieces_are_the_same(monkeypatch):
         monkeypatch.setattr(stats, "PIECE", piece)
         assert stats.bootstrap_mean(values, samples=600) == want
         assert (np.concatenate(list(stats._draws(np.random.default_rng(4), 301, 256))) == whole).all()
+
+
+def test_reconciled_measures(spark):
+    rows = [(1, 0.5, 0.5), (2, 0.5, 0.5 + 1e-13), (3, 0.5, 0.6), (4, None, 0.5), (5, None, None), (6, math.inf, math.inf), (7, math.inf, 1.0), (8, math.nan, 1.0), (9, 1e12, 1e12 + 1)]
+    df = frame(spark, rows, "id int, a double, b double")
+    assert sorted(r.id for r in lineage.reconciled(df, ["id"], {"m": (F.col("a"), F.col("b"))}).collect()) == [3, 4, 7, 8]
+
+
+def test_unmet_dependencies(spark):
+    edges = frame(spark, [("c", "b"), ("b", "a"), ("c", "x"), ("b", "n"), ("b", "m")], "run_id string, needs string")
+    runs = frame(spark, [("a", "1"), ("a", "1"), ("b", "2"), ("c", "3"), ("n", None), ("m", "4"), ("m", "5")], "run_id string, h string")
+    got = {(r.run_id, r.needs): (r.depth, r.problem) for r in lineage.unmet_dependencies(runs, edges, "h").collect()}
+    assert got == {("c", "x"): (1, "missing"), ("b", "n"): (1, "unnamed"), ("c", "n"): (2, "unnamed"), ("b", "m"): (1, "ambiguous"), ("c", "m"): (2, "ambiguous")}
+
+
+def test_referenced_artifacts(spark):
+    asked = frame(spark, [("p",), ("p",), ("q",), ("gone",), (None,)], "place string")
+    files = frame(spark, [("p", 1, "x"), ("p", 2, "x"), ("q", 3, "x"), ("q", 4, "y"), ("other", 5, "z")], "place string, file_id long, payload string")
+    got = {r.place: (r.n_references, r.n_files, r.problem, r.sha256 is None) for r in lineage.referenced_artifacts(asked, files, "payload").collect()}
+    assert got == {"p": (2, 2, None, False), "q": (1, 2, "several", True), "gone": (1, 0, "missing", True), None: (1, 0, "outside", True)}

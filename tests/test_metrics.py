@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wafergrid.operators import grids, masks, metrics
+from wafergrid.operators import cumulative, grids, masks, metrics
 from wafergrid.operators.cumulative import running_totals
+from wafergrid.session import written
 
 
 def rows(spark, data, schema):
@@ -135,16 +136,27 @@ def test_exact_quantiles_equal_numpy(spark, q):
     assert got.n == 400 and got.q0 == pytest.approx(np.quantile(v, q))
 
 
-def test_running_totals_of_a_hot_group_and_of_text(spark):
-    n = 30_000
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_running_totals_of_a_hot_group_and_of_text(spark, coalesced, monkeypatch):
+    """In one range, and in as many as the session's shuffles have."""
+    n, ranges = 30_000, []
+    monkeypatch.setattr(cumulative, "written", lambda df, name: ranges.append(written(df, name)) or ranges[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("g"), F.format_string("%08d", F.col("id") * 7919 % 30_011).alias("o"), F.lit(1).alias("v"))
-    got = running_totals(df, ["g"], "o", ["v"], descending=True)
+    try:
+        got = running_totals(df, ["g"], "o", ["v"], descending=True)
+        found = {r.o: r.v_upto for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    if coalesced == "false":
+        pieces = ranges[0].where("g = 'hot'").select("__piece").distinct().count()
+        assert pieces > 1  # a hot group is several tasks
     order = sorted(((f"{i * 7919 % 30_011:08d}", "cold" if i % 3 == 0 else "hot") for i in range(n)), reverse=True)
     seen, want = {"cold": 0, "hot": 0}, {}
     for o, g in order:
         seen[g] += 1
         want[o] = seen[g]
-    assert {r.o: r.v_upto for r in got.collect()} == want
+    assert found == want
 
 
 def test_components_of_images_longer_than_a_batch(spark):

@@ -27,3 +27,8 @@ def test_scans_read_what_is_asked(spark):
     p = plan(spark, "record_filter")
     assert "EqualTo(label,0)" in p and "In(category" in p
     assert "payload" not in plan(spark, "relative_paths")
+
+
+@pytest.mark.parametrize("name,never", [("components", "FlatMapGroupsInPandas"), ("region_topk", "FlatMapGroupsInPandas"), ("greedy_coreset", "FlatMapGroupsInPandas"), ("nn_score_sql", "Generate")])
+def test_no_task_for_a_whole_bank_or_bucket_of_images(spark, name, never):
+    assert never not in plan(spark, name)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wafergrid.operators.metrics import exact_quantiles
+from wafergrid.operators.metrics import exact_quantiles, finite
 from wafergrid.session import written
 
 #: Which method's results a method needs, of the same category, fold, shots and seed.
@@ -121,6 +121,38 @@ def close_to(a: Column, b: Column, relative: float = 1e-10, absolute: float = 1e
     return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
+def reconciled(df: DataFrame, key: Sequence[str], pairs: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """(key..., measure, reported, again): measures whose reported value isn't close to the one worked out again (see ``close_to``). Both NULL, or both the same infinity, agree."""
+    rows = F.array(*[F.struct(F.lit(n).alias("measure"), a.cast("double").alias("reported"), b.cast("double").alias("again")) for n, (a, b) in pairs.items()])
+    r = df.select(*key, F.explode(rows).alias("m")).select(*key, "m.*")
+    both = finite(F.col("reported")) & finite(F.col("again"))
+    same = F.col("reported").eqNullSafe(F.col("again")) | F.coalesce(both & close_to(F.col("reported"), F.col("again")), F.lit(False))
+    return r.where(~same)
+
+
+def unmet_dependencies(runs: DataFrame, edges: DataFrame, identity_: str) -> DataFrame:
+    """(run_id, needs, depth, problem): of all runs that a run needs, directly or not, those that aren't there ('missing'), have no identity ('unnamed') or several ('ambiguous').
+
+    ``runs``: run_id and ``identity_``, any number of rows a run; ``edges``: run_id, needs.
+    """
+    known = runs.groupBy(F.col("run_id").alias("needs")).agg(F.count_distinct(identity_).alias("__n"))
+    problem = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") == 0, "unnamed").when(F.col("__n") > 1, "ambiguous")
+    return closure(edges).join(known, "needs", "left").select("run_id", "needs", "depth", problem.alias("problem")).where("problem is not null")
+
+
+def referenced_artifacts(references: DataFrame, files: DataFrame, content: str) -> DataFrame:
+    """(place, n_references, n_files, n_contents, problem, sha256): each place referred to, with the hash of what is stored there.
+
+    ``references``: place (NULL for a path that leads out of the store); ``files``: place, file_id and ``content``. Problems:
+    'outside', 'missing', 'several' (listings of different contents); NULL without one.
+    """
+    asked = references.groupBy("place").agg(F.count("*").alias("n_references"))
+    stored = files.groupBy("place").agg(F.count_distinct("file_id").alias("n_files"), F.count_distinct(content).alias("n_contents"), F.sha2(F.min(content), 256).alias("__sha"))
+    j = asked.join(stored, "place", "left").na.fill(0, ["n_files", "n_contents"])
+    problem = F.when(F.col("place").isNull(), "outside").when(F.col("n_files") == 0, "missing").when(F.col("n_contents") > 1, "several")
+    return j.select("place", "n_references", "n_files", "n_contents", problem.alias("problem"), F.when(F.col("n_contents") == 1, F.col("__sha")).alias("sha256"))
+
+
 def not_constant(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(by..., n_identities): groups whose rows don't all have the same ``fields``."""
     return df.groupBy(*by).agg(F.count_distinct(F.to_json(F.struct(*fields))).alias("n_identities")).where("n_identities > 1")

@@ -239,10 +239,38 @@ def grid_gaps(spark: SparkSession, root: str) -> DataFrame:
     return lineage.grid_violations(runs.join(table(spark, root, "mask_scores").select("run_id"), "run_id", "left_semi"), ["method", "category", "k", "seed"])
 
 
+def reconcile_measures(spark: SparkSession, root: str) -> DataFrame:
+    """Mask rows whose counts and ratios don't follow from one another, by measure."""
+    m = table(spark, root, "mask_scores").select("mask_row_id", "mask_iou", "sam2_to_anomaly_area_ratio", "anomaly_pixels", "sam2_pixels", "intersection_pixels", "union_pixels").distinct()
+    a, b, i, u = (F.col(f"{c}_pixels") for c in ("anomaly", "sam2", "intersection", "union"))
+    pairs = {
+        "union": (u, a + b - i), "iou": (F.col("mask_iou"), F.when(u == 0, 1.0).otherwise(i / F.when(u != 0, u))),
+        "ratio": (F.col("sam2_to_anomaly_area_ratio"), F.when(a > 0, b / F.when(a > 0, a)).when(b == 0, 1.0).when(b > 0, float("inf"))),
+    }
+    off = lineage.reconciled(m, ["mask_row_id"], pairs)
+    return off.groupBy("measure").agg(F.count("*").alias("n_rows"), F.count_if(F.col("reported").isNull()).alias("n_missing"), F.min("mask_row_id").alias("first_row"))
+
+
+def dependency_identities(spark: SparkSession, root: str) -> DataFrame:
+    """Dependencies, direct or not, whose configuration can't be told."""
+    r = table(spark, root, "run_specs")
+    return lineage.unmet_dependencies(r.select("run_id", "config_sha256"), r.select("run_id", F.explode("dependencies").alias("needs")), "config_sha256")
+
+
+def artifact_references(spark: SparkSession, root: str) -> DataFrame:
+    """Places that mask rows refer to, by what is wrong with them."""
+    roots = table(spark, root, "run_specs").groupBy("run_id").agg(F.min("output_root").alias("output_root"))
+    m = table(spark, root, "mask_scores").select("run_id", F.explode(F.array("pred_mask_path", "sam2_mask_path")).alias("path")).where("trim(path) <> ''")
+    asked = with_stored_place(m.join(roots, "run_id", "left"), "path", "output_root", "place", store=STORE)
+    files = with_stored_place(table(spark, root, "artifact_files").select("file_path", "file_id", "payload"), "file_path", None, "place", store=STORE).where("place is not null")
+    found = lineage.referenced_artifacts(asked.select("place"), files.select("place", "file_id", "payload"), "payload")
+    return found.groupBy("problem").agg(F.count("*").alias("n_places"), F.sum("n_references").alias("n_references"), F.count_distinct("sha256").alias("n_hashes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        macro_intervals, comparison_intervals, decision_by_intervals, strict_pairs, triplet_missing, triplet_join, audit_rows, audit_masks, mask_rows_evaluation, matrix_filter, paper_rows, report_order,
+        reconcile_measures, dependency_identities, artifact_references, macro_intervals, comparison_intervals, decision_by_intervals, strict_pairs, triplet_missing, triplet_join, audit_rows, audit_masks, mask_rows_evaluation, matrix_filter, paper_rows, report_order,
         required_roles, run_bag, calibration_recheck, evidence_manifest, parse_options, matrix_report, resume_identity, one_sided_runs, grid_gaps,
     )
 }
@@ -284,6 +312,16 @@ def _oracle() -> dict[str, str]:
     means = ", ".join(f"round(avg({part[c]}), 6) AS mean_{c}, round(avg({part[c]}) FILTER (label = 1), 6) AS mean_anomaly_{c}" for c in ("precision", "recall", "f1", "iou"))
     bag = "SELECT kind, label, count(*) AS n_rows, count(image_score) AS n_scores, count(mask_iou) AS n_ious, count(DISTINCT run_id) AS n_runs FROM (SELECT 'scores' AS kind, run_id, label, image_score, NULL AS mask_iou FROM scores UNION ALL SELECT 'masks', run_id, label, NULL, mask_iou FROM mask_scores) GROUP BY ALL"
     return {
+        "reconcile_measures": """WITH m AS (SELECT DISTINCT mask_row_id, mask_iou, sam2_to_anomaly_area_ratio AS r, anomaly_pixels::DOUBLE AS a, sam2_pixels::DOUBLE AS b, intersection_pixels::DOUBLE AS i, union_pixels::DOUBLE AS u FROM mask_scores),
+          l AS (SELECT mask_row_id, 'union' AS measure, u AS x, a + b - i AS y FROM m UNION ALL SELECT mask_row_id, 'iou', mask_iou, CASE WHEN u = 0 THEN 1.0 ELSE i / nullif(u, 0) END FROM m UNION ALL SELECT mask_row_id, 'ratio', r, CASE WHEN a > 0 THEN b / nullif(a, 0) WHEN b = 0 THEN 1.0 WHEN b > 0 THEN 'inf'::DOUBLE END FROM m)
+          SELECT measure, count(*) AS n_rows, count(*) FILTER (x IS NULL) AS n_missing, min(mask_row_id) AS first_row FROM l WHERE NOT (x IS NOT DISTINCT FROM y OR coalesce(NOT isinf(x) AND NOT isinf(y) AND NOT isnan(x) AND NOT isnan(y) AND abs(x - y) <= greatest(1e-10 * greatest(abs(x), abs(y)), 1e-12), false)) GROUP BY measure""",
+        "dependency_identities": """WITH RECURSIVE e AS (SELECT DISTINCT run_id, unnest(dependencies) AS needs FROM run_specs), reach(run_id, needs, depth) AS (SELECT run_id, needs, 1 FROM e UNION ALL SELECT r.run_id, e.needs, depth + 1 FROM reach r JOIN e ON e.run_id = r.needs),
+          c AS (SELECT run_id, needs, max(depth)::INT AS depth FROM reach GROUP BY ALL), k AS (SELECT run_id AS needs, count(DISTINCT config_sha256) AS n FROM run_specs GROUP BY run_id)
+          SELECT * FROM (SELECT run_id, needs, depth, CASE WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'unnamed' WHEN n > 1 THEN 'ambiguous' END AS problem FROM c LEFT JOIN k USING (needs)) WHERE problem IS NOT NULL""",
+        "artifact_references": f"""WITH o AS (SELECT run_id, min(output_root) AS base FROM run_specs GROUP BY run_id), p AS (SELECT run_id, unnest([pred_mask_path, sam2_mask_path]) AS p FROM mask_scores), q AS (SELECT {place_sql('p', 'base')} AS place FROM p LEFT JOIN o USING (run_id) WHERE trim(p) <> ''),
+          a AS (SELECT place, count(*) AS n_references FROM q GROUP BY place), f AS (SELECT place, count(DISTINCT file_id) AS n_files, count(DISTINCT payload) AS n_contents, min(payload) AS payload FROM (SELECT file_id, payload, {place_sql('file_path', "''")} AS place FROM artifact_files) WHERE place IS NOT NULL GROUP BY place),
+          j AS (SELECT a.place, n_references, CASE WHEN a.place IS NULL THEN 'outside' WHEN coalesce(n_files, 0) = 0 THEN 'missing' WHEN n_contents > 1 THEN 'several' END AS problem, CASE WHEN n_contents = 1 THEN sha256(payload) END AS h FROM a LEFT JOIN f USING (place))
+          SELECT problem, count(*) AS n_places, sum(n_references)::BIGINT AS n_references, count(DISTINCT h) AS n_hashes FROM j GROUP BY problem""",
         "strict_pairs": f"WITH {CELLS} SELECT category, k, seed, sample_id, round(candidate - baseline, 9) AS delta FROM cells WHERE label = 1",
         "triplet_missing": f"WITH {triplet}, a AS (SELECT {key} FROM heat UNION SELECT {key} FROM guided UNION SELECT {key} FROM fused) SELECT * FROM (SELECT a.*, concat_ws(',', CASE WHEN h.sample_id IS NULL THEN 'heat' END, CASE WHEN g.sample_id IS NULL THEN 'guided' END, CASE WHEN f.sample_id IS NULL THEN 'fused' END) AS missing FROM a "
         + " ".join(f"LEFT JOIN (SELECT {key} FROM {t}) {n} USING ({key})" for t, n in (("heat", "h"), ("guided", "g"), ("fused", "f"))) + ") WHERE missing <> ''",
