@@ -114,15 +114,17 @@ def board_records(spark: SparkSession, root: str, dataset: str = "deeppcb", spli
         test = test.join(named, "path", "left_semi")
     other = images.select(folder("path").alias("folder"), text.stem(F.col("path")).alias("s"), F.col("path").alias("found"))
 
-    def first(candidates: Column, there: DataFrame, name: str) -> DataFrame:
-        c = test.select("path", F.posexplode(candidates).alias("n", "c")).select("path", "n", "c.folder", "c.s")
+    def first(stems: Column, folders: Sequence[Column], there: DataFrame, name: str) -> DataFrame:
+        c = once(test.select("path", "folder"), "stems", stems)  # step by step: as one expression it is too long to compile
+        within = lambda f: F.transform("stems", lambda s: F.struct(f.alias("folder"), s.alias("s")))
+        places = F.concat(*map(within, folders))
+        c = once(c, "places", places).select("path", F.posexplode("places").alias("n", "c")).select("path", "n", "c.folder", "c.s")
         return c.join(there, ["folder", "s"]).groupBy("path").agg(F.min_by("found", "n").alias(name))
 
-    at = lambda stems, where: F.transform(stems, lambda s: F.struct(where.alias("folder"), s.alias("s")))
-    templates = first(at(text.template_stems(F.col("path")), F.col("folder")), other, "template_path")
-    stems = text.annotation_stems(F.col("path"))
-    near = F.concat(at(stems, F.col("folder")), at(stems, F.concat("folder", F.lit("_not"))))
-    boxes = first(near, notes.select(folder("path").alias("folder"), text.stem(F.col("path")).alias("s"), F.col("path").alias("found")), "box_path")
+    own = F.col("folder")
+    templates = first(text.template_stems(F.col("path")), [own], other, "template_path")
+    noted = notes.select(folder("path").alias("folder"), text.stem(F.col("path")).alias("s"), F.col("path").alias("found"))
+    boxes = first(text.annotation_stems(F.col("path")), [own, F.concat("folder", F.lit("_not"))], noted, "box_path")
     out = test.join(templates, "path", "left").join(boxes, "path", "left")
     return out.select(
         F.lit(dataset).alias("dataset"), text.file_name(F.col("folder")).alias("category"), text.stem(F.col("path")).alias("sample_id"), F.lit(split).alias("split"), F.col("path").alias("image_path"),
