@@ -287,6 +287,24 @@ def test_overlaps_near_by_their_layout(spark):
     assert len(want) > 1000
 
 
+def test_buckets_take_no_disk(spark):
+    """What is written follows the thumbs, however many blocks there are: 64 bytes and a number for each side, no buckets."""
+    from pathlib import Path
+
+    from wafergrid.session import shared_dir
+
+    n, rng = 4_000, np.random.default_rng(8)
+    rows = [(i, rng.integers(0, 256, 64).astype("u1").tobytes(), i % 2 == 0, i % 2 == 1) for i in range(n)]
+    rows[1] = (1, bytes([*rows[0][1][:-1], rows[0][1][-1] ^ 1]), False, True)
+    classes = spark.createDataFrame(rows, "class_id long, thumb binary, train boolean, eval boolean")
+    used = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    before = used()
+    found = overlaps.near_thumbs(classes, overlaps.BandParams(slice_thumbs=1_000))
+    assert [tuple(r) for r in found.collect()] == [(0, 1)]
+    assert used() - before < 200 * n
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_overlaps_of_nothing(spark):
     r = spark.createDataFrame([], "record_id long, dataset string, sample_id string, split string")
     m = spark.createDataFrame([], "sample_id string, image_sha256 string, thumb array<smallint>")

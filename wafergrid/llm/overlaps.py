@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wafergrid.functions.paths import BLANK, once, strip_blank
-from wafergrid.session import written
+from wafergrid.session import scratch_path, written
 
 #: How the splits are written, in lower case without blanks at the ends.
 TRAIN = ("train", "training")
@@ -44,8 +44,8 @@ class BandParams:
     """Correlation asked for; least Jaccard similarity of the shingles, below what that correlation leaves; width of a step in
     deviations, and offsets; minwise hashes a thumb; bands, and hashes a band. A band takes its hashes from all of them,
     so several bands have one in common. With the defaults a pair at a correlation of exactly 0.95 becomes a candidate with a
-    chance of 0.998, at 0.96 of 0.9998, and from 0.97 on none was missed in 10,000. ``together``: bands whose buckets are looked
-    through in one task; ``slice_thumbs``: thumbs whose buckets of these bands are as many as one task should hold of a side."""
+    chance of 0.998, at 0.96 of 0.9998, and from 0.97 on none was missed in 10,000. ``together``: bands after which
+    pairs that were found several times are made one; ``slice_thumbs``: the most thumbs that a task holds of a side."""
 
     correlation: float = 0.95
     jaccard: float = 0.6
@@ -125,134 +125,148 @@ def jaccard(p: np.ndarray, q: np.ndarray, params: BandParams) -> np.ndarray:
     return common / (2 * n * p.shape[1] - common)
 
 
-def _bucket_maker(params: BandParams):
-    """A function from quantised thumbs to their buckets, a column a band. Of 32 bits, since chance brings two thumbs together far less often than their shingles do."""
-    n, levels = params.offsets, 2 * math.ceil(8 / params.step) + 2  # standardised values lie between -8 and 8
-    rng = np.random.default_rng(params.seed)
-    ranks = rng.integers(0, 1 << 16, (64 * n * levels, params.hashes), dtype=np.uint16)  # of each shingle in each order
-    taken = np.stack([rng.choice(params.hashes, params.rows, replace=False) for _ in range(params.bands)])
-    odd = rng.integers(0, 1 << 63, (params.rows, params.bands)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    salt = rng.integers(0, 1 << 63, params.bands).astype(np.uint64)
-    first = np.arange(64 * n) * levels + levels // 2
-
-    def buckets(q: np.ndarray) -> np.ndarray:
-        out = np.empty((len(q), params.bands), np.uint32)
+class _Hasher:
+    """Minwise hashes of quantised thumbs, and from these the buckets of a band."""
+
+    def __init__(self, params: BandParams) -> None:
+        n, levels = params.offsets, 2 * math.ceil(8 / params.step) + 2  # standardised values lie between -8 and 8
+        rng = np.random.default_rng(params.seed)
+        ranks = rng.integers(0, 1 << 16, (64 * n * levels, params.hashes), dtype=np.uint16).reshape(64, n, levels, params.hashes)  # of each shingle in each order
+        self.taken = np.stack([rng.choice(params.hashes, params.rows, replace=False) for _ in range(params.bands)])
+        self.odd = rng.integers(0, 1 << 63, (params.rows, params.bands)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salt = rng.integers(0, 1 << 63, params.bands).astype(np.uint64)
+        self.low = math.ceil(8 * n / params.step) + 1
+        value = np.arange(-self.low, self.low)
+        step = lambda i: np.clip((value + i) // n + levels // 2, 0, levels - 1)
+        #: By pixel and quantised value the least ranks of the shingles of all offsets.
+        self.ranks = np.minimum.reduce([ranks[:, i, step(i)] for i in range(n)])
+
+    def hashes(self, q: np.ndarray) -> np.ndarray:
+        """Of each order the least rank of each thumb, an order a row."""
+        out = np.empty((self.ranks.shape[2], len(q)), np.uint16)
         for i in range(0, len(q), 512):
-            part = q[i : i + 512].astype(np.int64)
-            shingle = ((part[:, :, None] + np.arange(n)) // n).reshape(len(part), 64 * n) + first
-            least = np.full((len(part), params.hashes), 65_535, np.uint16)
-            for j in range(64 * n):
-                np.minimum(least, ranks[shingle[:, j]], out=least)
-            bucket = np.tile(salt, (len(part), 1))
-            for r in range(params.rows):
-                bucket += (least[:, taken[:, r]].astype(np.uint64) + np.uint64(1)) * odd[r]
-                bucket ^= bucket >> np.uint64(29)
-            out[i : i + 512] = bucket >> np.uint64(32)
+            at = q[i : i + 512].astype(np.int64) + self.low
+            least = self.ranks[0][at[:, 0]]
+            for j in range(1, 64):
+                np.minimum(least, self.ranks[j][at[:, j]], out=least)
+            out[:, i : i + 512] = least.T
         return out
 
-    return buckets
-
-
-_PACKED = "bands int, slice int, train boolean, block long, n long, ids binary, quantised binary, counts binary, buckets binary"
-
-
-def packed_buckets(classes: DataFrame, params: BandParams, slices: int) -> DataFrame:
-    """The buckets of 2,048 thumbs as one row for each side, group of bands and slice of the buckets: class ids, quantised thumbs, how many buckets each has here, and the buckets."""
-    names = [c.split()[0] for c in _PACKED.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = _bucket_maker(params)
-        for batch in (b.slice(i, 2_048) for b in batches for i in range(0, b.num_rows, 2_048)):
-            ids, sides = batch.column("class_id").to_numpy(), [batch.column(c).to_numpy(zero_copy_only=False) for c in ("train", "eval")]
-            q = quantised(_standard(batch.column("thumb").to_pylist()), params)
-            every = make(q)
-            rows = []
-            for g in range(0, params.bands, params.together):
-                mine = every[:, g : g + params.together]
-                cell = (mine % slices).ravel()
-                order = np.argsort(cell, kind="stable")  # within a slice the rows stay in order
-                ends = np.flatnonzero(np.diff(cell[order], append=-1)) + 1
-                for start, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-                    some = order[start:end]
-                    row, bucket = some // mine.shape[1], mine.ravel()[some]
-                    for train, side in zip((True, False), sides):
-                        on = side[row]
-                        if on.any():
-                            at, counts = np.unique(row[on], return_counts=True)
-                            rows.append((g // params.together, int(cell[some[0]]), train, int(ids[0]), len(at), ids[at].astype(np.int64).tobytes(), q[at].tobytes(), counts.astype(np.uint16).tobytes(), bucket[on].tobytes()))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i : i + 64])))), schema=_PACKED_SCHEMA)
-
-    return classes.select("class_id", "thumb", "train", "eval").mapInArrow(run, _PACKED)
-
-
-_PACKED_SCHEMA = pa.schema([("bands", pa.int32()), ("slice", pa.int32()), ("train", pa.bool_()), ("block", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("ids", "quantised", "counts", "buckets")]])
+    def buckets(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        """Of 32 bits, since chance brings two thumbs together far less often than their shingles do."""
+        bucket = np.full(hashes.shape[1], self.salt[band])
+        for r, k in enumerate(self.taken[band]):
+            bucket += (hashes[k].astype(np.uint64) + np.uint64(1)) * self.odd[r, band]
+            bucket ^= bucket >> np.uint64(29)
+        return (bucket >> np.uint64(32)).astype(np.uint32)
+
+
+def _candidates(one: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``one`` and of ``other`` that are in one bucket, about 65,536 pairs at a time, however many thumbs a bucket has."""
+    order = np.argsort(other)
+    other = other[order]
+    low = np.searchsorted(other, one, "left")
+    hit = np.flatnonzero(other[np.minimum(low, len(other) - 1)] == one)
+    low = low[hit]
+    many = np.searchsorted(other, one[hit], "right") - low
+    ends, start = np.cumsum(many), 0
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 65_536, "right")))
+        n = many[start:stop]
+        x = np.repeat(hit[start:stop], n)
+        y = order[np.repeat(low[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        for k in range(0, len(x), 65_536):
+            yield x[k : k + 65_536], y[k : k + 65_536]
+        start = stop
+
+
+class _Block:
+    """Thumbs of the files of a block: class ids, standardised values as they are needed, quantised values, minwise hashes."""
+
+    def __init__(self, files: list[str], hasher: _Hasher, params: BandParams) -> None:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        read = []
+        for uri in files:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as f:
+                read.append(pq.ParquetFile(f).read(columns=["class_id", "thumb"]))
+        rows = pa.concat_tables(read)
+        self.ids, self.thumbs = rows.column("class_id").to_numpy(), rows.column("thumb").combine_chunks()
+        self.quantised = np.empty((len(self.ids), 64), np.int8)
+        for i in range(0, len(self.ids), 8_192):
+            self.quantised[i : i + 8_192] = quantised(_standard(self.thumbs.slice(i, 8_192).to_pylist()), params)
+        self.hashes = hasher.hashes(self.quantised)
+
+    def standard(self, at: np.ndarray) -> np.ndarray:
+        return _standard(self.thumbs.take(pa.array(at)).to_pylist())
+
+
+def _alike(one: _Block, other: _Block, hasher: _Hasher, params: BandParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Class ids of the pairs near enough, each once. Those found so far are held once too, though many bands find them again."""
+    codes, found, size = np.zeros(0, np.int64), [], 0
+    for band in range(params.bands):
+        for x, y in _candidates(hasher.buckets(one.hashes, band), hasher.buckets(other.hashes, band)):
+            good = (jaccard(one.quantised[x], other.quantised[y], params) >= params.jaccard) & (one.ids[x] != other.ids[y])
+            if good.any():
+                found.append(x[good] * len(other.ids) + y[good])
+                size += len(found[-1])
+                if size > max(1 << 20, len(codes)):
+                    codes, found, size = np.unique(np.concatenate([codes, *found])), [], 0
+        if band % params.together == params.together - 1 or band == params.bands - 1:
+            codes, found, size = np.unique(np.concatenate([codes, *found])), [], 0
+    for i in range(0, len(codes), 65_536):
+        x, y = np.divmod(codes[i : i + 65_536], len(other.ids))
+        near = (one.standard(x) * other.standard(y)).sum(1) >= params.correlation - 1e-12
+        yield one.ids[x[near]], other.ids[y[near]]
+
+
+def _blocks(classes: DataFrame, size: int, name: str) -> list[list[str]]:
+    """``classes`` written to files of at most ``size`` rows; blocks of files that together have no more."""
+    spark = classes.sparkSession
+    classes.write.option("maxRecordsPerFile", size).parquet(path := scratch_path(spark, name))
+    out, room = [], 0
+    for file, n in sorted(spark.read.schema(classes.schema).parquet(path).groupBy("_metadata.file_path").count().collect()):
+        if n > room:
+            out.append([])
+            room = size
+        out[-1].append(file)
+        room -= n
+    return out
 
 
 def near_thumbs(classes: DataFrame, params: BandParams) -> DataFrame:
     """(a, b): class ids of different thumbs, a with a training and b with an evaluation record, near enough.
 
-    ``classes``: class_id, thumb BINARY (see ``_packed``), train and eval BOOLEAN. Buckets meet by group of bands and
-    slice, in whole arrays instead of rows. Where one bucket has so many thumbs that its slice is too large for a task,
-    both sides of the slice are dealt into blocks, and each block of one meets each of the other.
+    ``classes``: class_id, thumb BINARY (see ``_packed``), train and eval BOOLEAN. Thumbs of either side are written in
+    blocks, once; each block of one side meets each of the other in a task, which makes their buckets, looks these through
+    band by band, and verifies what it finds. Buckets and candidates are neither stored nor shuffled, so that disk follows the
+    thumbs; only pairs that are near enough leave a task.
     """
-    slices = max(1, -(-classes.count() // params.slice_thumbs))
-    packed = written(packed_buckets(classes, params, slices), "buckets")
-    cell = ["bands", "slice"]
-    most = 8 * params.slice_thumbs
-    sizes = packed.groupBy(*cell).agg(*[F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / most).alias(n) for n, c in (("left", F.col("train")), ("right", ~F.col("train")))])
-    large = F.broadcast(sizes.where("left > 1 or right > 1"))  # none, but for hot buckets: each holds more than ``most`` thumbs
-    rows = packed.join(large, cell, "left").withColumns({n: F.greatest(F.lit(1).cast("long"), F.coalesce(n, F.lit(1).cast("long"))) for n in ("left", "right")})
-    own = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rows.where("train").withColumn("i", own("left")).withColumn("j", every("right"))
-    right = rows.where("not train").withColumn("j", own("right")).withColumn("i", every("left"))
-
-    right = right.toDF(*[f"r_{c}" for c in right.columns])  # other names, since both sides come of one table
-
-    def unpacked(t: pa.Table, prefix: str = "") -> tuple[np.ndarray, ...]:
-        joined = lambda c, kind: np.frombuffer(b"".join(t.column(prefix + c).to_pylist()), kind)
-        ids, counts = joined("ids", np.int64), joined("counts", np.uint16)
-        return ids, joined("quantised", np.int8).reshape(-1, 64), np.repeat(np.arange(len(ids)), counts), joined("buckets", np.uint32)
-
-    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if one.num_rows and other.num_rows:
-            (a, p, arow, abucket), (b, q, brow, bbucket) = unpacked(one), unpacked(other, "r_")
-            order = np.argsort(bbucket, kind="stable")
-            brow, bbucket = brow[order], bbucket[order]
-            low = np.searchsorted(bbucket, abucket, "left")
-            many = np.searchsorted(bbucket, abucket, "right") - low
-            hit = np.flatnonzero(many)
-            arow, low, many = arow[hit], low[hit], many[hit]
-            ends = np.cumsum(many)
-            start = 0
-            while start < len(many):  # about so many pairs at a time
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 262_144, "right")))
-                n = many[start:stop]
-                x = np.repeat(arow[start:stop], n)
-                y = brow[np.repeat(low[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                for k in range(0, len(x), 65_536):
-                    xk, yk = x[k : k + 65_536], y[k : k + 65_536]
-                    good = (jaccard(p[xk], q[yk], params) >= params.jaccard) & (a[xk] != b[yk])
-                    if good.any():
-                        found.append((a[xk[good]], b[yk[good]]))
-                start = stop
-        pairs = np.unique(np.stack([np.concatenate(f) for f in zip(*found)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    keys = [*cell, "i", "j"]
-    alike = left.groupBy(*keys).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(meet, "a long, b long").distinct()
-    thumbs = classes.select("class_id", "thumb")
-    both = alike.join(thumbs.toDF("a", "ta"), "a").join(thumbs.toDF("b", "tb"), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = (_standard(batch.column("ta").to_pylist()) * _standard(batch.column("tb").to_pylist())).sum(1)
-            keep = pa.array(r >= params.correlation - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+    spark = classes.sparkSession
+    n, m = classes.agg(F.count_if("train"), F.count_if("eval")).first()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    across = max(1, -(-m // params.slice_thumbs))
+    size = min(params.slice_thumbs, max(params.slice_thumbs // 16, -(-n * across // tasks)))
+    left, right = (_blocks(classes.where(side).select("class_id", "thumb"), k, side) for side, k in (("train", size), ("eval", params.slice_thumbs)))
+    pairs = len(left) * len(right)
+    if not pairs:
+        return spark.createDataFrame([], "a long, b long")
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, at, one = _Hasher(params), -1, None
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                i, j = divmod(k, len(right))
+                if i != at:
+                    one = None  # before the next is read
+                    at, one = i, _Block(left[i], hasher, params)
+                for a, b in _alike(one, _Block(right[j], hasher, params), hasher, params):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts = min(pairs, max(4 * tasks, -(-pairs // 16)))
+    return spark.range(0, pairs, 1, parts).mapInArrow(run, "a long, b long")
 
 
 @dataclass(frozen=True)
