@@ -46,6 +46,42 @@ def test_repeated_measures(spark):
     assert r.ci_low <= r.mean_delta <= r.ci_high
 
 
+def test_comparisons_hold_sums_of_images(spark):
+    """All metrics and levels against the replicates of whole cubes; what a comparison gathers is a row an image, without its cells."""
+    rng = np.random.default_rng(2)
+    rows = [(c, k, s, i, *rng.random(4).tolist(), None if i == 0 else "ab"[i % 2]) for c, n in (("p", 5), ("o", 3)) for i in range(n) for k in (4, 1, 2) for s in (9, 7)]
+    df = spark.createDataFrame(rows, "category string, k int, seed int, sample_id int, a double, b double, c double, d double, stratum string")
+    scopes, metrics = {n: F.col(n) for n in ("k", "category", "stratum")}, {"f1": ("a", "b"), "iou": ("c", "d")}
+    out = stats.comparison_intervals(df, scopes, metrics, category="category", shot="k", seed="seed", sample="sample_id", samples=300)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow", plan.index("FlatMapGroupsInArrow") + 20)
+    pdf = df.toPandas()
+    levels = [("overall", "all", pdf), *[(n, str(v), part) for n in scopes for v, part in pdf.groupby(n)]]
+    want = {}
+    for m, (x, y) in metrics.items():
+        for scope, level, part in levels:
+            cubes = []
+            for _, own in sorted(part.assign(v=part[y] - part[x]).groupby("category"), key=lambda g: g[0]):
+                cubes.append(own.pivot(index=["k", "seed"], columns="sample_id", values="v").to_numpy().reshape(part.k.nunique(), part.seed.nunique(), -1))
+            draw, means = np.random.default_rng(4880), []
+            for a in range(0, 300, 256):
+                b = min(256, 300 - a)
+                seeds = draw.integers(0, part.seed.nunique(), size=(b, part.seed.nunique()))
+                images = [draw.integers(0, c.shape[2], size=(b, c.shape[2])) for c in cubes]
+                means += [np.mean([c[:, seeds[r]][:, :, i[r]].mean() for c, i in zip(cubes, images)]) for r in range(b)]
+            std = np.mean([c.mean(axis=2) for c in cubes], axis=(0, 1)).std(ddof=1)
+            want[m, scope, level] = (np.mean([c.mean() for c in cubes]), *np.percentile(means, [2.5, 97.5]), std, len(part), sum(c.shape[2] for c in cubes))
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("column", ["category", "k", "seed", "sample_id", "a"])
+def test_cells_with_a_null_are_refused(spark, column):
+    df = _cells(spark).withColumn(column, F.when((F.col("category") == "c") & (F.col("k") == 1) & (F.col("seed") == 7) & (F.col("sample_id") == "a"), None).otherwise(F.col(column)))
+    with pytest.raises(Exception, match="a cell without"):
+        stats.clustered_bootstrap(df, ["cmp"], **KEYS, samples=8).collect()
+
+
 @pytest.mark.parametrize("how,violation", [({"drop": 1}, "incomplete"), ({"twice": True}, "duplicate")])
 def test_unbalanced_grids(spark, how, violation):
     df = _cells(spark, **how)

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,63 +155,135 @@ def clustered_bootstrap(df: DataFrame, by: Sequence[str], *, category: str, shot
     """(by..., mean_delta, ci_low, ci_high, seed_std, n_rows, n_images) of repeated measures on a complete grid.
 
     Every (category, shot) counts the same. A replicate draws support seeds once for all of them, and images once a
-    category, shared by shots and seeds. An incomplete or repeated grid raises ValueError. A comparison is one task:
-    its grid has as many rows as it has results.
+    category, shared by shots and seeds. An incomplete or repeated grid raises ValueError, and so does a cell with a NULL. A
+    comparison is one task: it holds, of each image, one sum a seed over the shots, which is all that the replicates need.
     """
-    _checked(confidence, samples)
-    kinds = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
+    found = _clustered(df, by, {}, {"": (baseline, candidate)}, category, shot, seed, sample, confidence, samples, random_seed)
+    return found.select(*by, *_MEASURES)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__d=pdf[candidate] - pdf[baseline])
-        if pdf.duplicated([category, shot, seed, sample]).any():
+
+_MEASURES = {"mean_delta": "double", "ci_low": "double", "ci_high": "double", "seed_std": "double", "n_rows": "long", "n_images": "long"}
+
+
+def _places(cells: pa.StructArray, image: np.ndarray, level: np.ndarray, metrics: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Cells summed up by image and level, a row for each pair: the first cell of each, and its columns. A cell whose level is negative takes no part."""
+    used = np.flatnonzero(level >= 0)
+    used = used[np.lexsort((level[used], image[used]))]
+    first = np.ones(len(used), bool)
+    first[1:] = (np.diff(image[used]) != 0) | (np.diff(level[used]) != 0)
+    row = np.cumsum(first) - 1
+
+    codes = {c: pc.rank(cells.field(c), tiebreaker="dense").to_numpy()[used] for c in ("shot", "seed")}
+
+    def distinct(c: str) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """An order of the cells by row and value; where in it each distinct value of a row begins; the lists of these values."""
+        order = np.lexsort((codes[c], row))
+        starts = np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), (np.diff(row[order]) != 0) | (np.diff(codes[c][order]) != 0)])
+        ends = np.r_[0, np.cumsum(np.bincount(row[order][starts], minlength=int(first.sum())))]
+        return order, starts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells.field(c).take(pa.array(used[order[starts]])))
+
+    shots, (order, starts, seeds) = distinct("shot")[2], distinct("seed")
+    by_cell = np.lexsort((codes["seed"], codes["shot"], row))
+    same = np.logical_and.reduce([np.diff(v[by_cell]) == 0 for v in (row, *codes.values())])
+    twice = np.zeros(int(first.sum()), bool)
+    twice[row[by_cell][1:][same]] = True
+    sums = np.stack([np.add.reduceat(cells.field(f"d{m}").to_numpy()[used][order], starts) if len(starts) else np.zeros(0) for m in range(metrics)], 1)
+    ends = pa.array(seeds.offsets.to_numpy() * metrics, pa.int32())
+    return used[first], {"n": pa.array(np.bincount(row, minlength=int(first.sum())), pa.int64()), "twice": pa.array(twice), "shots": shots, "seeds": seeds, "sums": pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))}
+
+
+def _clustered(df: DataFrame, by: Sequence[str], scopes: Mapping[str, Column], metrics: Mapping[str, tuple[str, str]], category: str, shot: str, seed: str, sample: str, confidence: float, samples: int, random_seed: int) -> DataFrame:
+    """(by..., metric, scope, level, measures...): ``clustered_bootstrap`` of each metric over all rows ('overall', 'all') and each level of each scope.
+
+    The cells of an image are gathered first, and summed up over shots for each level that they have: only these sums go to
+    the comparisons. All metrics of a level are drawn together, as they have the same grid.
+    """
+    _checked(confidence, samples)
+    of = {"category": category, "image": sample, "shot": shot, "seed": seed}
+    kinds = {c: df.schema[name].dataType.simpleString() for c, name in of.items()}
+    keys = [f"__b{i}" for i in range(len(by))]
+    key_kinds = [df.schema[b].dataType.simpleString() for b in by]
+    named = [F.coalesce(F.col(name), F.raise_error(f"a cell without {name}").cast(kinds[c])).alias(c) for c, name in of.items()]
+    levels = [c.cast("string").alias(f"l{i}") for i, c in enumerate(scopes.values())]
+    deltas = [F.col(y).cast("double") - F.col(x).cast("double") for x, y in metrics.values()]
+    deltas = [F.nanvl(d, F.lit(None).cast("double")) for d in deltas]
+    deltas = [F.coalesce(d, F.raise_error("the grid of a category isn't complete: a cell without a value").cast("double")).alias(f"d{i}") for i, d in enumerate(deltas)]
+    cells = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *named, *levels, *deltas)
+    rest = [c for c in cells.columns if c not in {*keys, "category", "image"}]
+    gathered = cells.groupBy(*keys, "category", "image").agg(F.collect_list(F.struct(*rest)).alias("cells"))
+    own = [*zip(keys, key_kinds), ("category", kinds["category"]), ("image", kinds["image"])]
+    schema = ", ".join(f"{n} {k}" for n, k in [*own, ("scope", "string"), ("level", "string"), ("n", "long"), ("twice", "boolean"), ("shots", f"array<{kinds['shot']}>"), ("seeds", f"array<{kinds['seed']}>"), ("sums", "array<double>")])
+    names, count = list(scopes), len(metrics)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells")
+            flat, image = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            for i, scope in enumerate(["overall", *names]):
+                if i:
+                    told = flat.field(f"l{i - 1}").dictionary_encode()
+                    level, words = pc.fill_null(told.indices, -1).to_numpy(zero_copy_only=False), told.dictionary
+                else:
+                    level, words = np.zeros(len(flat), np.int32), pa.array(["all"])
+                at, columns = _places(flat, image, level, count)
+                kept = batch.select([n for n, _ in own]).take(pa.array(image[at]))
+                columns = {"scope": pa.array([scope] * len(at), pa.string()), "level": words.take(pa.array(level[at])), **columns}
+                yield pa.RecordBatch.from_arrays([*kept.columns, *columns.values()], names=[*kept.schema.names, *columns])
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        if pc.any(t.column("twice")).as_py():
             raise ValueError("a cell is met more than once")
-        shots, seeds = sorted(pdf[shot].unique()), sorted(pdf[seed].unique())
-        cubes = []
-        for _, part in sorted(pdf.groupby(category), key=lambda x: x[0]):
-            cube = part.pivot(index=[shot, seed], columns=sample, values="__d").reindex(pd.MultiIndex.from_product([shots, seeds]))
-            if cube.isna().any().any():
-                raise ValueError("the grid of a category isn't complete")
-            cubes.append(cube.to_numpy(float).reshape(len(shots), len(seeds), -1))
-        rng, means = np.random.default_rng(random_seed), []
-        for a in range(0, samples, BATCH):
-            b = min(BATCH, samples - a)
-            drawn, total = rng.integers(0, len(seeds), size=(b, len(seeds))), np.zeros(b)
-            for cube in cubes:
-                n = cube.shape[2]
-                # the mean over drawn seeds and images equals that of weights: how often each was drawn
-                ws = np.stack([(drawn == s).sum(1) for s in range(len(seeds))], 1) / len(seeds)
-                at = 0
-                for images in _draws(rng, n, b):
-                    m = len(images)
-                    wi = np.bincount((images + np.arange(m)[:, None] * n).ravel(), minlength=m * n).reshape(m, n) / n
-                    total[at : at + m] += np.einsum("bs,ksn,bn->b", ws[at : at + m], cube, wi, optimize=True)
-                    at += m
-            means.append(total / (len(cubes) * len(shots)))
-        strata = np.mean([c.mean(axis=(1, 2)) for c in cubes])
-        a_seed = np.mean([c.mean(axis=2) for c in cubes], axis=(0, 1))
-        std = float(a_seed.std(ddof=1)) if len(seeds) > 1 else 0.0
-        row = (*key, float(strata), *_interval(np.concatenate(means), confidence), std, len(pdf), sum(c.shape[2] for c in cubes))
-        return pd.DataFrame([row], columns=[*by, "mean_delta", "ci_low", "ci_high", "seed_std", "n_rows", "n_images"])
-
-    return df.groupBy(*by).applyInPandas(one, f"{kinds}, mean_delta double, ci_low double, ci_high double, seed_std double, n_rows long, n_images long")
-
-
-def scoped(df: DataFrame, scopes: Mapping[str, Column]) -> DataFrame:
-    """``df`` once for all rows ('overall', 'all') and once for each of ``scopes`` (name to the column of its levels), with ``scope`` and ``level``; rows whose level is NULL aren't in that scope."""
-    places = [F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("level")), *[F.struct(F.lit(n).alias("scope"), c.cast("string").alias("level")) for n, c in scopes.items()]]
-    return df.withColumn("__s", F.explode(F.array(*places))).where("__s.level is not null").select("*", "__s.scope", "__s.level").drop("__s")
-
-
-def comparison_intervals(df: DataFrame, scopes: Mapping[str, Column], metrics: Mapping[str, tuple[str, str]], **options) -> DataFrame:
-    """(metric, scope, level, mean_delta, ci_low, ci_high, seed_std, n_rows, n_images): repeated-measures intervals of candidate minus baseline, over all rows and each level of each scope.
-
-    ``metrics``: name to the columns of baseline and candidate. ``options``: those of ``clustered_bootstrap``.
+        shots, seeds = (t.column(c)[0].as_py() for c in ("shots", "seeds"))
+        lists = [(t.column("shots"), len(shots)), (t.column("seeds"), len(seeds))]
+        same = all(pc.count_distinct(pc.list_flatten(v)).as_py() == n and pc.all(pc.equal(pc.list_value_length(v), n)).as_py() for v, n in lists)
+        if not same or not pc.all(pc.equal(t.column("n"), len(shots) * len(seeds))).as_py():
+            raise ValueError("the grid of a category isn't complete")
+        n_rows = pc.sum(t.column("n")).as_py()
+        order = pc.sort_indices(t, sort_keys=[("category", "ascending"), ("image", "ascending")])
+        words = t.column("category").dictionary_encode().combine_chunks().take(order).indices.to_numpy()
+        sums = pc.list_flatten(t.column("sums")).to_numpy().reshape(t.num_rows, len(seeds), count)[order.to_numpy()]
+        bounds = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
+        means, strata, a_seed = _replicates([sums[a:b] for a, b in zip(bounds, bounds[1:])], len(shots), samples, random_seed)
+        rows = []
+        for m, name in enumerate(metrics):
+            std = float(a_seed[:, m].std(ddof=1)) if len(seeds) > 1 else 0.0
+            rows.append((*(k.as_py() for k in key), name, float(strata[m]), *_interval(means[:, m], confidence), std, n_rows, len(sums)))
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), [*(k.type for k in key), pa.string(), *[pa.float64()] * 4, pa.int64(), pa.int64()])], names=[*keys, "scope", "level", "metric", *_MEASURES])
+
+    out = ", ".join(f"{n} {k}" for n, k in [*zip(keys, key_kinds), ("scope", "string"), ("level", "string"), ("metric", "string"), *_MEASURES.items()])
+    found = gathered.mapInArrow(placed, schema).groupBy(*keys, "scope", "level").applyInArrow(one, out)
+    return found.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "metric", "scope", "level", *_MEASURES)
+
+
+def _replicates(sums: Sequence[np.ndarray], shots: int, samples: int, random_seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each category the sums over shots, by image, seed and metric: means of the replicates by metric, mean by metric, means by seed and metric."""
+    seeds, metrics = sums[0].shape[1:]
+    flat = [c.reshape(len(c), -1) for c in sums]
+    rng, means = np.random.default_rng(random_seed), []
+    for a in range(0, samples, BATCH):
+        b = min(BATCH, samples - a)
+        drawn = rng.integers(0, seeds, size=(b, seeds))
+        # the mean over drawn seeds and images equals that of weights: how often each was drawn
+        ws, total = np.stack([(drawn == s).sum(1) for s in range(seeds)], 1) / seeds, np.zeros((b, metrics))
+        for c in flat:
+            at, n = 0, len(c)
+            for images in _draws(rng, n, b):
+                m = len(images)
+                images += np.arange(m)[:, None] * n
+                wi = np.bincount(images.ravel(), minlength=m * n).reshape(m, n).astype(float)
+                total[at : at + m] += np.einsum("bs,bsm->bm", ws[at : at + m], (wi @ c / n).reshape(m, seeds, metrics))
+                at += m
+        means.append(total / (len(flat) * shots))
+    a_seed = np.mean([c.mean(axis=0) for c in sums], axis=0) / shots
+    return np.concatenate(means), a_seed.mean(axis=0), a_seed
+
+
+def comparison_intervals(df: DataFrame, scopes: Mapping[str, Column], metrics: Mapping[str, tuple[str, str]], *, category: str, shot: str, seed: str, sample: str, confidence: float = 0.95, samples: int = 2000, random_seed: int = 4880) -> DataFrame:
+    """(metric, scope, level, mean_delta, ci_low, ci_high, seed_std, n_rows, n_images): repeated-measures intervals of candidate minus baseline, over all rows and each level of each scope; rows whose level is NULL aren't in that scope.
+
+    ``metrics``: name to the columns of baseline and candidate. All else as for ``clustered_bootstrap``.
     """
-    rows = [df.select("*", F.lit(m).alias("metric"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")) for m, (a, b) in metrics.items()]
-    long = rows[0]
-    for r in rows[1:]:
-        long = long.unionByName(r)
-    return clustered_bootstrap(scoped(long, scopes), ["metric", "scope", "level"], baseline="__a", candidate="__b", **options)
+    return _clustered(df, [], scopes, metrics, category, shot, seed, sample, confidence, samples, random_seed)
 
 
 def decision(f1_low: Column, f1_high: Column, iou_low: Column, iou_high: Column) -> Column:
