@@ -244,3 +244,18 @@ def test_metrics_that_a_file_lacks(spark, tmp_path):
     got = {r.category: r for r in files.metric_summary(files.read_metrics(spark, [str(tmp_path / "*/metrics.json")])).collect()}
     assert (got["pcb2"].image_auroc, got["pcb2"].aupro) == (0.0, None)
     assert (got["mean"].num_images, got["mean"].image_auroc, got["mean"].aupro, got["mean"].best_pixel_f1) == (5, 0.4, 0.5, 0.0)
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """The same files that Spark's own scan finds, at any depth; the driver keeps no list of them."""
+    for name in ("a/x 1.png", "a/b/ü#%20.PNG", "_h/y.png", ".z/q.png", "a/_w.png", "a/k=_1.png", "c.txt", "_p=1/m.png", "d/e/f/g.jpg", "d/e/n.gif"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "none").mkdir()
+    found = files.list_files(spark, str(tmp_path), ("png", "txt", "jpg"))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    assert sorted(r.path for r in found.collect()) == sorted(r.path for r in scan.collect() if not r.path.endswith(".gif"))
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert files.list_files(spark, str(tmp_path / "none"), ("png",)).collect() == []
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(tmp_path / "missing"), ("png",))

@@ -20,7 +20,7 @@ from wafergrid.functions import text
 from wafergrid.functions.paths import once
 from wafergrid.operators.joins import last_of_each
 from wafergrid.operators.stats import with_mean_row
-from wafergrid.session import path_exists
+from wafergrid.session import _file_system, path_exists, shuffle_width, written
 from wafergrid.sources import schemas
 
 #: Usual categories, and the names that a manifest's column of images goes by.
@@ -72,10 +72,40 @@ def read_split_list(spark: SparkSession, path: str) -> DataFrame:
     return token.select(F.explode("v").alias("sample_id")).distinct()
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, folder BOOLEAN) of what lies in each folder, without names that Spark's readers pass over."""
+    import pyarrow.fs as pafs
+
+    hidden = lambda n: n.startswith(".") or n.startswith("_") and "=" not in n or n.endswith("._COPYING_")
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            fs, at = (pafs.LocalFileSystem(), uri.removeprefix("file:")) if uri.startswith("file:/") else pafs.FileSystem.from_uri(uri)  # names of local files may hold any character
+            found = [f for f in fs.get_file_info(pafs.FileSelector(at)) if not hidden(f.base_name)]
+            for i in range(0, len(found), 10_000):
+                part = found[i : i + 10_000]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([f"{uri}/{f.base_name}" for f in part], pa.string()), "folder": pa.array([f.type == pafs.FileType.Directory for f in part], pa.bool_())})
+
+
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
-    """(path): files below a folder with one of the suffixes; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
+    """(path): files below a folder with one of the suffixes; contents aren't read.
+
+    Folders are listed level by level in tasks, a folder in one, and what they hold is written: the driver sees no
+    file and no folder but the root (or those that match it, if it is a pattern). A root that isn't there fails.
+    """
+    fs, at = _file_system(spark, root)
+    roots = [str(f.getPath()) for f in (fs.globStatus(at) or [])]
+    if not roots:
+        raise FileNotFoundError(f"{root}: no such folder")
+    level = spark.createDataFrame([(r.rstrip("/"), True) for r in roots], "path string, folder boolean")
+    files = None
+    while True:
+        below = level.where("folder").select("path")
+        below = below.repartition(shuffle_width(spark), "path") if files is not None else below
+        level = written(below.mapInArrow(_listed, "path string, folder boolean"), "listing")
+        files = level if files is None else files.unionByName(level)
+        if not level.where("folder").limit(1).count():
+            break
+    return files.where("not folder").select("path").where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
 
 
 def image_records(spark: SparkSession, root: str, dataset: str, categories: Sequence[str]) -> DataFrame:
@@ -105,7 +135,8 @@ def board_records(spark: SparkSession, root: str, dataset: str = "deeppcb", spli
     Every board counts as anomalous; its category is the parent folder. With a split list only images that it names by
     stem, file name or path are kept (see ``read_split_list``); ``split`` is the name that the records get.
     """
-    images, notes = list_files(spark, root, ("jpg", "jpeg", "png", "bmp")), list_files(spark, root, ("txt",))
+    every, noted = list_files(spark, root, ("jpg", "jpeg", "png", "bmp", "txt")), F.lower("path").endswith(".txt")
+    images, notes = every.where(~noted), every.where(noted)
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     test = images.where(text.looks_like_test(F.col("path"))).withColumn("folder", folder("path"))
     if split_file is not None:
