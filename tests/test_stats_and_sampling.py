@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from wafergrid.operators import joins, lineage, sampling, stats
 
@@ -75,6 +77,39 @@ def test_comparisons_hold_sums_of_images(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_comparisons_take_rows_in_batches(spark):
+    """As in one batch, though categories and images come in any order; a grid is refused also where its gap lies between batches."""
+    rng = np.random.default_rng(5)
+    rows = [(c, k, s, i, *rng.random(2).tolist()) for c in ("q", "p") for i in range(9) for k in (1, 2) for s in (7, 8)]
+    df = spark.createDataFrame(rows, "category string, k int, seed int, sample_id int, a double, b double")
+    options = {"category": "category", "shot": "k", "seed": "seed", "sample": "sample_id", "samples": 300}
+    found = lambda d: sorted(map(tuple, stats.comparison_intervals(d, {"k": F.col("k")}, {"m": ("a", "b")}, **options).collect()))
+    want = found(df)
+    given = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        out = stats.comparison_intervals(df, {}, {"m": ("a", "b")}, **options)
+        assert out._jdf.queryExecution().analyzed().child().functionExpr().evalType() == PythonEvalType.SQL_GROUPED_MAP_ARROW_ITER_UDF
+        got = found(df)
+        assert [r[:3] for r in got] == [r[:3] for r in want] and all(g[3:] == pytest.approx(w[3:]) for g, w in zip(got, want))
+        for lacking in ("k = 2", "seed = 8"):
+            for where in ("sample_id = 0", "sample_id = 8", "category = 'p'", "category = 'q'"):
+                with pytest.raises(Exception, match="isn't complete"):
+                    stats.comparison_intervals(df.where(f"not ({lacking} and {where})"), {}, {"m": ("a", "b")}, **options).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+
+
+def test_replicates_are_drawn_in_small_pieces():
+    sums = [np.random.default_rng(6).random((30_000, 3, 2))]
+    tracemalloc.start()
+    try:
+        stats._replicates(sums, 3, 300, 4880)
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("column", ["category", "k", "seed", "sample_id", "a"])
 def test_cells_with_a_null_are_refused(spark, column):
     df = _cells(spark).withColumn(column, F.when((F.col("category") == "c") & (F.col("k") == 1) & (F.col("seed") == 7) & (F.col("sample_id") == "a"), None).otherwise(F.col(column)))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH = 256
 #: So many numbers are drawn into memory at once.
 PIECE = 1 << 22
+#: So many where draws are counted: the counts of a piece stay in the CPU's cache.
+COUNTED = 1 << 18
 
 
 def macro_by_seed(df: DataFrame, by: Sequence[str], category: str, seed: str, value: str) -> DataFrame:
@@ -117,9 +119,9 @@ def bootstrap_mean(values: np.ndarray, confidence: float = 0.95, samples: int =
     return float(values.mean()), *_interval(np.concatenate(drawn), confidence)
 
 
-def _draws(rng: np.random.Generator, n: int, batch: int) -> Iterator[np.ndarray]:
-    """``batch`` rows of ``n`` numbers below ``n``, in pieces of bounded size: the generator gives the same numbers as for all rows at once."""
-    rows = max(1, PIECE // n)
+def _draws(rng: np.random.Generator, n: int, batch: int, piece: int | None = None) -> Iterator[np.ndarray]:
+    """``batch`` rows of ``n`` numbers below ``n``, in pieces of bounded size (``PIECE``, unless given): the generator gives the same numbers as for all rows at once."""
+    rows = max(1, (piece or PIECE) // n)
     for a in range(0, batch, rows):
         yield rng.integers(0, n, size=(min(rows, batch - a), n))
 
@@ -156,7 +158,8 @@ def clustered_bootstrap(df: DataFrame, by: Sequence[str], *, category: str, shot
 
     Every (category, shot) counts the same. A replicate draws support seeds once for all of them, and images once a
     category, shared by shots and seeds. An incomplete or repeated grid raises ValueError, and so does a cell with a NULL. A
-    comparison is one task: it holds, of each image, one sum a seed over the shots, which is all that the replicates need.
+    comparison is one task: it holds, of each image, one sum a seed over the shots, which is all that the replicates need. Its
+    rows come in batches, of which nothing else is kept.
     """
     found = _clustered(df, by, {}, {"": (baseline, candidate)}, category, shot, seed, sample, confidence, samples, random_seed)
     return found.select(*by, *_MEASURES)
@@ -230,31 +233,53 @@ def _clustered(df: DataFrame, by: Sequence[str], scopes: Mapping[str, Column], m
                 columns = {"scope": pa.array([scope] * len(at), pa.string()), "level": words.take(pa.array(level[at])), **columns}
                 yield pa.RecordBatch.from_arrays([*kept.columns, *columns.values()], names=[*kept.schema.names, *columns])
 
-    def one(key: tuple, t: pa.Table) -> pa.Table:
-        if pc.any(t.column("twice")).as_py():
-            raise ValueError("a cell is met more than once")
-        shots, seeds = (t.column(c)[0].as_py() for c in ("shots", "seeds"))
-        lists = [(t.column("shots"), len(shots)), (t.column("seeds"), len(seeds))]
-        same = all(pc.count_distinct(pc.list_flatten(v)).as_py() == n and pc.all(pc.equal(pc.list_value_length(v), n)).as_py() for v, n in lists)
-        if not same or not pc.all(pc.equal(t.column("n"), len(shots) * len(seeds))).as_py():
-            raise ValueError("the grid of a category isn't complete")
-        n_rows = pc.sum(t.column("n")).as_py()
-        order = pc.sort_indices(t, sort_keys=[("category", "ascending"), ("image", "ascending")])
-        words = t.column("category").dictionary_encode().combine_chunks().take(order).indices.to_numpy()
-        sums = pc.list_flatten(t.column("sums")).to_numpy().reshape(t.num_rows, len(seeds), count)[order.to_numpy()]
-        bounds = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
-        means, strata, a_seed = _replicates([sums[a:b] for a, b in zip(bounds, bounds[1:])], len(shots), samples, random_seed)
+    def one(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, shots, n_rows = _image_sums(batches, count)
+        means, strata, a_seed = _replicates(sums, shots, samples, random_seed)
         rows = []
         for m, name in enumerate(metrics):
-            std = float(a_seed[:, m].std(ddof=1)) if len(seeds) > 1 else 0.0
-            rows.append((*(k.as_py() for k in key), name, float(strata[m]), *_interval(means[:, m], confidence), std, n_rows, len(sums)))
-        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), [*(k.type for k in key), pa.string(), *[pa.float64()] * 4, pa.int64(), pa.int64()])], names=[*keys, "scope", "level", "metric", *_MEASURES])
+            std = float(a_seed[:, m].std(ddof=1)) if len(a_seed) > 1 else 0.0
+            rows.append((*(k.as_py() for k in key), name, float(strata[m]), *_interval(means[:, m], confidence), std, n_rows, sum(map(len, sums))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [*(k.type for k in key), pa.string(), *[pa.float64()] * 4, pa.int64(), pa.int64()])], names=[*keys, "scope", "level", "metric", *_MEASURES])
 
     out = ", ".join(f"{n} {k}" for n, k in [*zip(keys, key_kinds), ("scope", "string"), ("level", "string"), ("metric", "string"), *_MEASURES.items()])
     found = gathered.mapInArrow(placed, schema).groupBy(*keys, "scope", "level").applyInArrow(one, out)
     return found.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "metric", "scope", "level", *_MEASURES)
 
 
+def _image_sums(batches: Iterator[pa.RecordBatch], metrics: int) -> tuple[list[np.ndarray], int, int]:
+    """Rows of a comparison: of each category, in order, the sums by image, seed and metric; how many shots and cells there are. A batch is copied from and let go."""
+    categories, images, parts, n_rows, whole = [], [], [], 0, True
+    values, sizes = {"shots": None, "seeds": None}, {"shots": set(), "seeds": set()}
+    for batch in batches:
+        if pc.any(batch.column("twice")).as_py():
+            raise ValueError("a cell is met more than once")
+        cells = 1
+        for c, known in values.items():
+            lists = batch.column(c)
+            values[c] = pc.unique(pa.concat_arrays([lists.flatten(), *([] if known is None else [known])]))
+            size = pc.list_value_length(lists).to_numpy()
+            sizes[c].update(np.unique(size).tolist())
+            cells = cells * size
+        whole &= bool((batch.column("n").to_numpy() == cells).all())
+        n_rows += pc.sum(batch.column("n")).as_py()
+        every = pa.array(np.arange(batch.num_rows))
+        categories.append(batch.column("category").take(every).dictionary_encode())
+        images.append(batch.column("image").take(every))
+        parts.append(batch.column("sums").flatten().to_numpy().copy())
+    if not whole or any(sizes[c] != {len(values[c])} for c in values):
+        raise ValueError("the grid of a category isn't complete")
+    seeds, told = len(values["seeds"]), pa.chunked_array(categories).unify_dictionaries()
+    place = pc.rank(told.chunk(0).dictionary, tiebreaker="first").to_numpy()[np.concatenate([c.indices.to_numpy() for c in told.chunks])]
+    order = pc.sort_indices(pa.table({"place": place, "image": pa.chunked_array(images)}), sort_keys=[("place", "ascending"), ("image", "ascending")]).to_numpy()
+    to, end, out = np.empty_like(order), len(order), np.empty((len(order), seeds, metrics))
+    to[order] = np.arange(end)
+    while parts:
+        part = parts.pop().reshape(-1, seeds, metrics)
+        out[to[end - len(part) : end]], end = part, end - len(part)
+    return np.split(out, np.flatnonzero(np.diff(place[order])) + 1), len(values["shots"]), n_rows
+
+
 def _replicates(sums: Sequence[np.ndarray], shots: int, samples: int, random_seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each category the sums over shots, by image, seed and metric: means of the replicates by metric, mean by metric, means by seed and metric."""
     seeds, metrics = sums[0].shape[1:]
@@ -267,7 +292,7 @@ def _replicates(sums: Sequence[np.ndarray], shots: int, samples: int, random_see
         ws, total = np.stack([(drawn == s).sum(1) for s in range(seeds)], 1) / seeds, np.zeros((b, metrics))
         for c in flat:
             at, n = 0, len(c)
-            for images in _draws(rng, n, b):
+            for images in _draws(rng, n, b, COUNTED):
                 m = len(images)
                 images += np.arange(m)[:, None] * n
                 wi = np.bincount(images.ravel(), minlength=m * n).reshape(m, n).astype(float)
