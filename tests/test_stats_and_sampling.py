@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
+from tests.oracle import DATA
 from wafergrid.operators import joins, lineage, sampling, stats
+from wafergrid.plans import contract_queries
 
 
 def test_bootstrap_regression():
@@ -189,6 +191,27 @@ def test_tertiles(spark):
     assert {r.s for r in sampling.tertiles(flat, "v", F.col("label") == 1, "s").collect()} == {"single", "normal"}
 
 
+def test_tertiles_of_samples(spark):
+    """Rows that are many a sample have the thirds of the samples."""
+    cells = spark.createDataFrame([(float(i), 1) for i in range(9) for _ in range(1 + 20 * (i == 8))], "v double, label int")
+    got = {r.v: r.s for r in sampling.tertiles(cells, "v", F.col("label") == 1, "s", of=cells.distinct()).collect()}
+    assert got == {float(i): ("small", "medium", "large")[i // 3] for i in range(9)}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_strata_join_no_table_of_samples(spark):
+    """Such a table has a row a sample; where its file is below Spark's threshold, the driver would have to hold and broadcast it."""
+    found = contract_queries._strata(spark, str(DATA))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    samples = found.select("category", "sample_id", "area", "thinness").distinct()
+    for name in ("area", "thinness"):
+        samples = sampling.tertiles(samples, name, F.lit(True), f"{name}_of_sample")
+    both = found.join(samples.drop("area", "thinness"), ["category", "sample_id"])
+    assert both.count() == found.count() > 0
+    assert both.where("area_stratum <> area_of_sample or thinness_stratum <> thinness_of_sample").count() == 0
+    assert found.select("area_stratum").distinct().count() == found.select("thinness_stratum").distinct().count() == 3
+
+
 def test_fill_takes_the_last_and_survives_clashing_names(spark):
     left = spark.createDataFrame([(1, "", "x"), (2, None, "y"), (3, "own", "z")], "k int, p string, __other string")
     right = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (3, 1, "not")], "k int, o int, p string")

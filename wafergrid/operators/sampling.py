@@ -130,9 +130,12 @@ def extremes(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str],
     return out[0].unionByName(out[1])
 
 
-def tertiles(df: DataFrame, value: str, eligible: Column, out: str) -> DataFrame:
-    """``df`` with a stratum: 'small', 'medium', 'large' at the exact thirds of the eligible rows, edges belonging to the lower one; 'single' for all if there are fewer than 3 or the edges are equal; 'normal' for other rows."""
-    edges = exact_quantiles(df.where(eligible), [], value, [1 / 3, 2 / 3]).first()
+def tertiles(df: DataFrame, value: str, eligible: Column, out: str, *, of: DataFrame | None = None) -> DataFrame:
+    """``df`` with a stratum: 'small', 'medium', 'large' at the exact thirds of the eligible rows, edges belonging to the lower one; 'single' for all if there are fewer than 3 or the edges are equal; 'normal' for other rows.
+
+    ``of`` has the rows whose thirds count, if not those of ``df``: where ``df`` has several rows a sample, say, the samples. It isn't joined.
+    """
+    edges = exact_quantiles((df if of is None else of).where(eligible), [], value, [1 / 3, 2 / 3]).first()
     n, low, high = edges or (0, None, None)
     if n < 3 or low == high:
         return df.withColumn(out, F.when(eligible, "single").otherwise("normal"))

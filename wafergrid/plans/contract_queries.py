@@ -25,12 +25,11 @@ def macro_intervals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _strata(spark: SparkSession, root: str) -> DataFrame:
-    """The cells of anomalous samples with the tertile of their area and thinness."""
+    """The cells of anomalous samples with the tertile of their area and thinness, whose edges are those of the samples."""
     c = paired_cells(spark, root).where("label = 1")
     samples = c.select("category", "sample_id", "area", "thinness").distinct()
     for name in ("area", "thinness"):
-        samples = sampling.tertiles(samples, name, F.lit(True), f"{name}_stratum")
-    c = c.join(samples.select("sample_id", "category", "area_stratum", "thinness_stratum"), ["category", "sample_id"])
+        c = sampling.tertiles(c, name, F.lit(True), f"{name}_stratum", of=samples)
     return c.withColumn("baseline_iou", F.col("baseline") / (2 - F.col("baseline"))).withColumn("candidate_iou", F.col("candidate") / (2 - F.col("candidate")))
 
 
